@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tidewater.llm.decontam import OP4_SQL, op4_decontamination
+from tidewater.llm.langid import op10_language_id
 from tidewater.llm.secrets import op5_secret_scan
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+}
