@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from tidewater.llm.decontam import OP4_SQL, op4_decontamination
 from tidewater.llm.langid import op10_language_id
+from tidewater.llm.pieces import op8_sentencepiece
 from tidewater.llm.secrets import op5_secret_scan
+from tidewater.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
+    "op6_warc": op6_warc,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op6_warc": OP6_SQL,
 }
