@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tidewater.llm.decontam import OP4_SQL, op4_decontamination
 from tidewater.llm.langid import op10_language_id
+from tidewater.llm.linededup import OP2_SQL, op2_line_dedup
 from tidewater.llm.pieces import op8_sentencepiece
 from tidewater.llm.secrets import op5_secret_scan
 from tidewater.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op6_warc": OP6_SQL,
 }
