@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.decontam import OP4_SQL, op4_decontamination
+from tidewater.llm.jaccard import op3_ngram_jaccard_join
 from tidewater.llm.langid import op10_language_id
 from tidewater.llm.linededup import OP2_SQL, op2_line_dedup
 from tidewater.llm.pieces import op8_sentencepiece
@@ -11,6 +12,7 @@ from tidewater.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
