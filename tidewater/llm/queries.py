@@ -9,6 +9,7 @@ from tidewater.llm.linededup import OP2_SQL, op2_line_dedup
 from tidewater.llm.pieces import op8_sentencepiece
 from tidewater.llm.secrets import op5_secret_scan
 from tidewater.llm.warc import OP6_SQL, op6_warc
+from tidewater.llm.wrapper import op7_html_extraction
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
+    "op7_html_extraction": op7_html_extraction,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_language_id": op10_language_id,
 }
