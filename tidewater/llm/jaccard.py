@@ -41,25 +41,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import materialize, slices, table, text_buffers
 from tidewater.llm.graph import components
+from tidewater.llm.words import POWERS, mix, word_codes
 
 SKETCH_BITS, SALTS = 20, 8
-ODD = np.uint64(0x9E3779B97F4A7C15)
-_RNG = np.random.default_rng(20240229)
-BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of 64-bit words."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS = np.array([pow(int(ODD), k, 2**64) for k in range(4096)], np.uint64)
 
 
 def shingles(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -67,35 +51,20 @@ def shingles(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarr
     rows = len(offs) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    first = offs[:-1][np.diff(offs) > 0]
-    begins[first] = solid[first]  # a word ends with its row
-    at = np.flatnonzero(solid)
-    if not len(at):
+    words, row = word_codes(raw, offs)
+    if not len(words):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    starts = np.flatnonzero(begins)
-    word = np.cumsum(begins)[at] - 1
-    place = at - starts[word]
-    codes = BYTE_CODES[LOWER[raw[at]]]
-    powers = _POWERS[place & 4095]
-    if place.max() >= 4096:  # very long words: the block number is mixed in
-        powers = powers + mix((place >> 12).astype(np.uint64)) * np.uint64(2)
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-    words = mix(np.add.reduceat(codes * powers, edges) + np.diff(np.append(edges, len(at))).astype(np.uint64) * ODD)
-    row = np.searchsorted(offs, starts, side="right") - 1
     count = np.bincount(row, minlength=rows)
     ends = np.cumsum(count)
     total = words.copy()
     for k in range(1, size):  # the sum of the next words, each times a power of its place
-        total[: len(words) - k] += words[k:] * _POWERS[k]
+        total[: len(words) - k] += words[k:] * POWERS[k]
     left = ends[row] - np.arange(len(words))
     whole = mix(total[left >= size] ^ np.uint64(size))
     owner = row[left >= size]
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
-        rest = np.array([int(mix(np.array([sum(int(w) * int(_POWERS[k]) for k, w in enumerate(words[ends[i] - count[i] : ends[i]])) % 2**64 ^ int(count[i])], np.uint64))[0]) for i in short.tolist()], np.uint64)
+        rest = np.array([int(mix(np.array([sum(int(w) * int(POWERS[k]) for k, w in enumerate(words[ends[i] - count[i] : ends[i]])) % 2**64 ^ int(count[i])], np.uint64))[0]) for i in short.tolist()], np.uint64)
         whole, owner = np.concatenate([whole, rest]), np.concatenate([owner, short])
     order = np.lexsort((whole, owner))
     whole, owner = whole[order], owner[order]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.cotrain import op9_quality_classifier
 from tidewater.llm.decontam import OP4_SQL, op4_decontamination
 from tidewater.llm.jaccard import op3_ngram_jaccard_join
 from tidewater.llm.langid import op10_language_id
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_html_extraction": op7_html_extraction,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
 
