@@ -144,16 +144,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = _keyed(docs, id_col, text_col).join(gone, DOC, "left")
     lines = F.split(F.col(text_col), "\n")
     real = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    # linear in the lines: places of the non-blank lines, then the set of places that stay
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    solid = F.filter(places, lambda i: real(F.get(lines, i)))
-    stay = F.array_except(places, F.transform("gone", lambda g: F.get(F.col("_solid"), g)))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.get(F.col("_lines"), i))))
+    # linear in the lines: places of the non-blank lines, then the set of places that stay. Each is bound to
+    # a lambda variable, as the optimizer would otherwise evaluate it again for every line.
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def rebuilt(held: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(held) - 1)
+        solid = F.filter(places, lambda i: real(F.get(held, i)))
+        bad = bind(solid, lambda s: F.transform("gone", lambda g: F.get(s, g)))
+        return bind(F.array_except(places, bad), lambda stay: F.concat_ws("\n", F.transform(stay, lambda i: F.get(held, i))))
+
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(bind(lines, rebuilt))
     n_lines = F.coalesce(F.size(F.filter(lines, real)), F.lit(0)).cast("long")
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     return (
         joined.withColumn("_n", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines)).withColumn("_g", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone))
-        .withColumn("_lines", F.when(F.col("gone").isNotNull(), lines)).withColumn("_solid", F.when(F.col("gone").isNotNull(), solid))
         .withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n").alias("n_lines"), F.col("_g").alias("n_deleted"), ((F.col("_n") > 0) & (F.col("_n") == F.col("_g"))).alias("emptied"))
     )
 
