@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewater.llm.cotrain import op9_quality_classifier
 from tidewater.llm.decontam import OP4_SQL, op4_decontamination
+from tidewater.llm.hnsw import op1_embedding_near_dedup
 from tidewater.llm.jaccard import op3_ngram_jaccard_join
 from tidewater.llm.langid import op10_language_id
 from tidewater.llm.linededup import OP2_SQL, op2_line_dedup
@@ -13,6 +14,7 @@ from tidewater.llm.warc import OP6_SQL, op6_warc
 from tidewater.llm.wrapper import op7_html_extraction
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_decontamination": op4_decontamination,
