@@ -90,6 +90,8 @@ class Shard:
         # back links, as many as there is room for, so that every node can be reached
         src, dst = np.repeat(np.arange(size), m), out[:, :m].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
+        new = ~(out[dst, :m] == src[:, None]).any(1)
+        src, dst = src[new], dst[new]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         place = np.arange(len(dst)) - np.searchsorted(dst, dst)
@@ -160,7 +162,8 @@ class Shard:
                 step.append(np.stack([pair_row[close], pair_node[close]]))
             front = np.concatenate(step, 1)
             found = np.concatenate([found, front], 1)
-        return found[0], found[1]
+        keys = np.unique(found[0] * n + found[1])
+        return keys // n, keys % n
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:

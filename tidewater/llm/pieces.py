@@ -359,5 +359,19 @@ def summarise(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
+def token_table(encoded: DataFrame) -> DataFrame:
+    """(doc_id, ids, n_tokens): the tokens themselves, as a list a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("ids").to_pylist()
+            counts = np.array([len(i) // 4 for i in raw], np.int64)
+            values = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids, "n_tokens": counts})
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(encode(table(spark, sf_dir, "documents")))
