@@ -54,30 +54,45 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, max_br
     for row in few:
         by_size.setdefault(row["size"], []).append(row["window"])
     docs = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    empty = F.expr("cast(array() as array<struct<at:int,size:int,window:string>>)")
     if len(few) > max_broadcast:
         return _scan_joined(docs, windows, sorted({r["size"] for r in windows.select("size").distinct().collect()}))
-    found = []
-    for size, texts in sorted(by_size.items()):
-        first = sorted({t.split(" ", 1)[0] for t in texts})
-        starts = F.filter(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i: F.element_at("words", i).isin(first))
-        made = F.transform(starts, lambda i: F.struct(i.cast("int").alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("words", i, size)).alias("window")))
-        found.append(F.when(F.size("words") >= size, F.filter(made, lambda x: x["window"].isin(texts))).otherwise(empty))
-    return docs.select("doc_id", "words", (reduce(lambda a, b: F.concat(a, b), found) if found else empty).alias("hits"))
+
+    def hits_of(words: Column) -> Column:
+        return reduce(lambda x, y: F.concat(x, y), [_hits_of_size(words, size, texts) for size, texts in sorted(by_size.items())], _no_hits())
+
+    both = bind(F.col("words"), lambda w: F.struct(w.alias("words"), hits_of(w).alias("hits")))
+    return docs.select("doc_id", both.alias("x")).select("doc_id", "x.words", "x.hits")
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once: as a lambda variable it cannot be copied into inner lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hits_of_size(words: Column, size: int, texts: list[str]) -> Column:
+    """Occurrences of windows of one size; the first words are looked up before a window's text is made."""
+    first = sorted({t.split(" ", 1)[0] for t in texts})
+    starts = F.filter(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.element_at(words, i).isin(first))
+    made = F.transform(starts, lambda i: F.struct(i.cast("int").alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice(words, i, size)).alias("window")))
+    return F.when(F.size(words) >= size, F.filter(made, lambda x: x["window"].isin(texts))).otherwise(_no_hits())
+
+
+def _numbered(words: Column, size: int) -> Column:
+    return F.transform(windows_of(words, size), lambda w, i: F.struct((i + 1).cast("int").alias("at"), F.lit(size).alias("size"), w.alias("window")))
+
+
+def _no_hits() -> Column:
+    return F.expr("cast(array() as array<struct<at:int,size:int,window:string>>)")
 
 
 def _scan_joined(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """The same with windows as rows, for item sets too large to broadcast; the documents' own text stays out of the shuffle."""
     keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("words").alias("h")))
-    made = F.concat(*[
-        F.transform(windows_of(F.col("words"), size), lambda w, i, size=size: F.struct((i + 1).cast("int").alias("at"), F.lit(size).alias("size"), w.alias("window")))
-        for size in sizes
-    ])
+    made = bind(F.col("words"), lambda w: F.concat(*[_numbered(w, size) for size in sizes]))
     rows = keyed.select("_row", F.explode(made).alias("x"))
     hit = rows.join(windows.select(F.col("window").alias("_w")).distinct(), F.col("x.window") == F.col("_w"), "left_semi")
     hits = hit.groupBy("_row").agg(F.sort_array(F.collect_set("x")).alias("hits"))
-    empty = F.expr("cast(array() as array<struct<at:int,size:int,window:string>>)")
-    return keyed.join(hits, "_row", "left").select("doc_id", "words", F.coalesce("hits", empty).alias("hits"))
+    return keyed.join(hits, "_row", "left").select("doc_id", "words", F.coalesce("hits", _no_hits()).alias("hits"))
 
 
 def hit_positions(hits: Column) -> Column:
@@ -119,9 +134,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_c
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000) -> DataFrame:
     """(doc_id, text) with the words of hits taken out; what is left is the normalised words, one space apart."""
     found = scan(docs, item_windows(benchmark, n, "item_id", "text"), id_col, text_col, max_broadcast)
-    bad = hit_positions(F.col("hits"))
-    kept = F.filter("words", lambda w, i: ~F.array_contains(F.col("_bad"), i + 1))
-    return found.withColumn("_bad", bad).select("doc_id", F.concat_ws(" ", kept).alias("text"))
+    places = F.sequence(F.lit(1), F.size("words"))
+    kept = F.when(F.size("words") > 0, F.array_except(places, hit_positions(F.col("hits"))))
+    return found.select("doc_id", bind(F.col("words"), lambda w: F.concat_ws(" ", F.transform(kept, lambda i: F.element_at(w, i)))).alias("text"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
