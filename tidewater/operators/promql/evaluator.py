@@ -183,7 +183,7 @@ class PromQL:
         until = F.floor((F.col("ts") + grid.lookback - 1 - grid.start) / grid.step).cast("long")
         until = F.least(until, F.coalesce(after - 1, F.lit(grid.points - 1)), F.lit(grid.points - 1))
         spread = last.withColumn("_to", until).where("_to >= k")
-        return Vector(spread.select(*src.labels, (F.explode(F.sequence("k", "_to")) * grid.step + grid.start).alias("_t"), "_v"), src.labels)
+        return Vector(spread.select(*src.labels, F.explode(F.sequence(F.col("k") * grid.step + grid.start, F.col("_to") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t"), "_v"), src.labels)
 
     def pinned(self, node, grid: Grid) -> Vector:
         at = {"start": grid.start, "end": grid.end}.get(node.at, None) if isinstance(node.at, str) else round(node.at * 1000)
@@ -210,7 +210,7 @@ class PromQL:
         low = F.greatest(F.lit(0), F.ceil((F.col("ts") - grid.start) / grid.step)).cast("long")
         high = F.least(F.lit(grid.points - 1), F.floor((F.col("ts") + span - 1 - grid.start) / grid.step)).cast("long")
         spread = with_last.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo")
-        return Vector(spread.select(*src.labels, "ts", "v", "p", "pt", (F.explode(F.sequence("_lo", "_hi")) * grid.step + grid.start).alias("_t")), src.labels), span
+        return Vector(spread.select(*src.labels, "ts", "v", "p", "pt", F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t")), src.labels), span
 
     # evaluation
 
@@ -414,7 +414,7 @@ class PromQL:
         low = F.greatest(F.lit(0), F.ceil((F.col("ts") - grid.start) / grid.step)).cast("long")
         high = F.least(F.lit(grid.points - 1), F.floor((F.col("ts") + grid.lookback - 1 - grid.start) / grid.step)).cast("long")
         df = src.df.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo")
-        df = df.select(*src.labels, "ts", "v", (F.explode(F.sequence("_lo", "_hi")) * grid.step + grid.start).alias("_t"))
+        df = df.select(*src.labels, "ts", "v", F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t"))
         return Vector(df.groupBy(*src.labels, "_t").agg(F.max_by("v", "ts").alias("_v")), src.labels)
 
     def relabel(self, name: str, args: list, grid: Grid) -> Vector:

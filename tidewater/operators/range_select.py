@@ -69,7 +69,7 @@ def range_select(df: DataFrame, time_index: str, items: list[Item], align: str,
         slotted = rows.withColumn("_slot", last * step + phase)
     else:
         back = -(-longest // step)
-        slotted = rows.withColumn("_slot", F.explode(F.sequence(last - back + 1, last)) * step + phase)
+        slotted = rows.withColumn("_slot", F.explode(F.sequence((last - back + 1) * step + phase, last * step + phase, F.lit(step).cast("long"))))
     slotted = slotted.where(F.col("_us") < F.col("_slot") + longest)
     aggs = []
     for item, span in zip(items, spans):
@@ -94,11 +94,11 @@ def _filled(out: DataFrame, by: list[str], items: list[Item], fills: list, step:
     """Missing slots between a group's first and last one are made and filled."""
     bounds = out.groupBy(*by).agg(F.min("_slot").alias("_a"), F.max("_slot").alias("_b"))
     dense = bounds.select(*by, F.explode(F.sequence("_a", "_b", F.lit(step))).alias("_slot"))
-    same = [dense[c].eqNullSafe(out[c]) for c in by]
-    cond = dense["_slot"] == out["_slot"]
-    for c in same:
-        cond = cond & c
-    df = dense.join(out, cond, "left").select(*[dense[c] for c in by], dense["_slot"], *[out[i.name] for i in items])
+    held = out.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slot").alias("_s"), *[i.name for i in items])
+    cond = F.col("_slot") == F.col("_s")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    df = dense.join(held, cond, "left").select(*by, "_slot", *[i.name for i in items])
     before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     made = {}

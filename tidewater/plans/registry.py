@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidewater.plans import timeseries
+from tidewater.plans.engine import Engine
+from tidewater.plans.relational import SQL
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    return lambda spark, sf_dir: Engine(spark).load(sf_dir, names).sql(text)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(text) for name, (text, _) in SQL.items()} | timeseries.QUERIES
+ORACLE_SQL: dict[str, str] = {name: duck or text for name, (text, duck) in SQL.items()} | timeseries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy().agg(F.count(F.lit(1)).alias("n"))
+    """Hourly rate of every series."""
+    return QUERIES["promql_rate"](spark, sf_dir)
