@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 EARTH_M = 6_371_008.8
@@ -66,7 +67,7 @@ def _area(wkt: str) -> float:
     return size[0] - sum(size[1:])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def st_contains(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether polygon a holds every point of b."""
     return pd.Series([None if x is None or y is None else all(_inside(*p, _points(x)) for r in _points(y) for p in r) for x, y in zip(a, b)], dtype=object)
@@ -76,7 +77,7 @@ def st_within(a: Column, b: Column) -> Column:
     return st_contains(b, a)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def st_intersects(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two shapes share a point: a vertex inside the other, equal vertices, or crossing edges."""
 
@@ -95,6 +96,6 @@ def st_intersects(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else meet(x, y) for x, y in zip(a, b)], dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def st_area(a: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else _area(x) for x in a], dtype=float)

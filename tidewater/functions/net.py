@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ipv4_num_to_string(n: Column) -> Column:
@@ -39,7 +40,7 @@ def ipv4_in_range(s: Column, cidr: Column) -> Column:
     return ipv4_string_to_num(s).bitwiseAND(mask) == ipv4_string_to_num(net).bitwiseAND(mask)
 
 
-def _each(f, kind: str):
+def _each(f, kind: T.DataType):
     def safe(*values):
         try:
             return None if any(v is None for v in values) else f(*values)
@@ -57,7 +58,7 @@ def _each(f, kind: str):
     return one, two
 
 
-ipv6_num_to_string = _each(lambda h: str(ipaddress.IPv6Address(int(h, 16))), "string")[0]
-ipv6_string_to_num = _each(lambda s: ipaddress.IPv6Address(s).packed.hex(), "string")[0]
-ipv6_to_cidr = _each(lambda s, bits: str(ipaddress.IPv6Network((s, int(bits)), strict=False)), "string")[1]
-ipv6_in_range = _each(lambda s, cidr: ipaddress.IPv6Address(s) in ipaddress.IPv6Network(cidr, strict=False), "boolean")[1]
+ipv6_num_to_string = _each(lambda h: str(ipaddress.IPv6Address(int(h, 16))), T.StringType())[0]
+ipv6_string_to_num = _each(lambda s: ipaddress.IPv6Address(s).packed.hex(), T.StringType())[0]
+ipv6_to_cidr = _each(lambda s, bits: str(ipaddress.IPv6Network((s, int(bits)), strict=False)), T.StringType())[1]
+ipv6_in_range = _each(lambda s, cidr: ipaddress.IPv6Address(s) in ipaddress.IPv6Network(cidr, strict=False), T.BooleanType())[1]
