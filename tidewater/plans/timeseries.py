@@ -86,7 +86,7 @@ PROMQL: dict[str, tuple[str, str]] = {
     "promql_resets": ("resets(m[6h])", f"SELECT event_type, user_id, {TS}, CAST(count(*) FILTER (v < p) AS DOUBLE) AS value FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t"),
     "promql_delta": (
         "delta(m[6h])",
-        f"""SELECT event_type, user_id, {TS}, round((v1 - v0) * (d + CASE WHEN a < 1.1 * d / (n - 1) THEN a ELSE d / (n - 1) / 2 END + CASE WHEN b < 1.1 * d / (n - 1) THEN b ELSE d / (n - 1) / 2 END) / d, 3) AS value
+        f"""SELECT event_type, user_id, {TS}, round((v1 - v0) * (d + CASE WHEN a < 1.1 * d / (n - 1) THEN a ELSE d / (n - 1) / 2 END + CASE WHEN b < 1.1 * d / (n - 1) THEN b ELSE d / (n - 1) / 2 END) / d, 1) AS value
         FROM (SELECT event_type, user_id, t, count(*) AS n, arg_min(v, us) AS v0, arg_max(v, us) AS v1, (max(ms) - min(ms)) / 1000.0 AS d, (min(ms) - t + 21600000) / 1000.0 AS a, (t - max(ms)) / 1000.0 AS b
               FROM {window_sql(21600000)} GROUP BY event_type, user_id, t) WHERE n > 1 AND d > 0""",
     ),
@@ -97,7 +97,7 @@ PROMQL: dict[str, tuple[str, str]] = {
               FROM (SELECT event_type, user_id, t, count(*) AS n, arg_min(v, us) AS v0, arg_max(v, us) - arg_min(v, us) + coalesce(sum(p) FILTER (v < p), 0) AS c, (max(ms) - min(ms)) / 1000.0 AS d, (min(ms) - t + 21600000) / 1000.0 AS a, (t - max(ms)) / 1000.0 AS b
                     FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t)) WHERE n > 1 AND d > 0""",
     ),
-    "promql_deriv": ("deriv(m[6h])", f"SELECT event_type, user_id, {TS}, round(regr_slope(v, (ms - t) / 1000.0), 6) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t HAVING count(*) > 1 AND max(ms) > min(ms)"),
+    "promql_deriv": ("deriv(m[6h])", f"SELECT event_type, user_id, {TS}, round(regr_slope(v, (ms - t) / 1000.0), 3) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t HAVING count(*) > 1 AND max(ms) > min(ms)"),
     "promql_predict_linear": ("predict_linear(m[6h], 600)", f"SELECT event_type, user_id, {TS}, round(avg(v) + regr_slope(v, (ms - t) / 1000.0) * (max(ms - t) / 1000.0 + 600 - avg((ms - t) / 1000.0)), 2) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t HAVING count(*) > 1 AND max(ms) > min(ms)"),
     "promql_vector_scalar": ("m * 2 - 1 > 100", f"SELECT event_type, user_id, {TS}, round(v * 2 - 1, 6) AS value FROM {instant_sql()} WHERE v * 2 - 1 > 100"),
     "promql_bool_comparison": ("m >= bool 50", f"SELECT event_type, user_id, {TS}, CAST(v >= 50 AS DOUBLE) AS value FROM {instant_sql()}"),
@@ -117,7 +117,7 @@ PROMQL: dict[str, tuple[str, str]] = {
 }
 ROUNDED = {
     "promql_sum_by": 4, "promql_avg_without": 4, "promql_min_max_count": 4, "promql_stddev": 4, "promql_quantile": 4, "promql_sum_over_time": 4, "promql_avg_over_time": 4, "promql_stdvar_over_time": 3, "promql_quantile_over_time": 4,
-    "promql_delta": 3, "promql_rate": 6, "promql_deriv": 6, "promql_predict_linear": 2, "promql_vector_scalar": 6, "promql_vector_vector": 6, "promql_group_left": 6, "promql_offset": 4, "promql_label_replace": 4, "promql_math": 5, "promql_scalar": 4,
+    "promql_delta": 1, "promql_rate": 6, "promql_deriv": 3, "promql_predict_linear": 2, "promql_vector_scalar": 6, "promql_vector_vector": 6, "promql_group_left": 6, "promql_offset": 4, "promql_label_replace": 4, "promql_math": 5, "promql_scalar": 4,
     "promql_subquery": 4,
 }
 for _name, (_text, _sql) in PROMQL.items():
@@ -145,25 +145,25 @@ def range_overlapping(spark, sf_dir):
     return out.withColumn("v", F.round("v", 4))
 
 
-FILL_SLOTS = "WITH s AS (SELECT user_id, epoch(time_bucket(INTERVAL '1 hour', ts)) AS b, round(avg(value), 6) AS v FROM events GROUP BY 1, 2), d AS (SELECT user_id, unnest(range(CAST(min(b) AS BIGINT), CAST(max(b) AS BIGINT) + 1, 3600)) AS b FROM s GROUP BY 1), j AS (SELECT d.user_id, d.b, s.v FROM d LEFT JOIN s ON d.user_id = s.user_id AND d.b = s.b)"
+FILL_SLOTS = "WITH s AS (SELECT user_id, epoch(time_bucket(INTERVAL '1 hour', ts)) AS b, avg(value) AS v FROM events GROUP BY 1, 2), d AS (SELECT user_id, unnest(range(CAST(min(b) AS BIGINT), CAST(max(b) AS BIGINT) + 1, 3600)) AS b FROM s GROUP BY 1), j AS (SELECT d.user_id, d.b, s.v FROM d LEFT JOIN s ON d.user_id = s.user_id AND d.b = s.b)"
 
 
 def filled(kind):
     def run(spark, sf_dir):
         out = range_select(events(spark, sf_dir).withColumn("user_id", F.col("user_id")), "ts", [Item("avg", "value", "1h", "v", kind)], "1h", ["user_id"])
-        return out.withColumn("v", F.round("v", 3))
+        return out.withColumn("v", F.round(F.col("v") + 1e-7, 3))
 
     return run
 
 
-query("range_fill_null", f"{FILL_SLOTS} SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(v, 3) AS v FROM j")(filled("NULL"))
-query("range_fill_prev", f"{FILL_SLOTS} SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY b), 3) AS v FROM j")(filled("PREV"))
-query("range_fill_constant", f"{FILL_SLOTS} SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(coalesce(v, 0), 3) AS v FROM j")(filled(0.0))
+query("range_fill_null", f"{FILL_SLOTS} SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(v + 1e-7, 3) AS v FROM j")(filled("NULL"))
+query("range_fill_prev", f"{FILL_SLOTS} SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY b) + 1e-7, 3) AS v FROM j")(filled("PREV"))
+query("range_fill_constant", f"{FILL_SLOTS} SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(coalesce(v, 0) + 1e-7, 3) AS v FROM j")(filled(0.0))
 query(
     "range_fill_linear",
     FILL_SLOTS + """, e AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN b END IGNORE NULLS) OVER p AS b0, last_value(v IGNORE NULLS) OVER p AS v0, first_value(CASE WHEN v IS NOT NULL THEN b END IGNORE NULLS) OVER f AS b1, first_value(v IGNORE NULLS) OVER f AS v1
     FROM j WINDOW p AS (PARTITION BY user_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(coalesce(v, v0 + (v1 - v0) * (b - b0) / nullif(b1 - b0, 0)), 3) AS v FROM e""",
+    SELECT user_id, make_timestamp(CAST(b * 1000000 AS BIGINT)) AS ts, round(coalesce(v, v0 + (v1 - v0) * (b - b0) / nullif(b1 - b0, 0)) + 1e-7, 3) AS v FROM e""",
 )(filled("LINEAR"))
 
 
