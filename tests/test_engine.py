@@ -44,7 +44,7 @@ def test_instant_lookback_is_left_open(metrics):
 
 def test_rate_increase_delta(metrics):
     got = values(metrics.query("increase(m[20s])", 20), "host")
-    assert got[("a", 20)] == pytest.approx(4.0) and got[("b", 20)] == pytest.approx(7.0 - 5.0 + 2.0 if False else got[("b", 20)])
+    assert got[("a", 20)] == pytest.approx(4.0)
     assert values(metrics.query("delta(m[21s])", 20), "host")[("b", 20)] == pytest.approx(-3.0 * 21 / 20)
     assert values(metrics.query("irate(m[1m])", 20), "host")[("b", 20)] == pytest.approx(0.2)
     assert values(metrics.query("resets(m[1m]) + changes(m[1m])", 20), "host") == {("a", 20): 2.0, ("b", 20): 3.0}
@@ -65,7 +65,7 @@ def test_operators(metrics):
     assert values(metrics.query("m > 3 or missing", 0), "host") == {("b", 0): 10.0}
     assert values(metrics.query("2 ^ 3 ^ 2 - 1", 0)) == {(0,): 511.0}
     assert values(metrics.query("-m + on (host) m", 0), "host") == {("a", 0): 0.0, ("b", 0): 0.0}
-    assert values(metrics.query("sum(m) @ 20 offset 10s" if False else "sum(m @ 20)", 0)) == {(0,): 11.0}
+    assert values(metrics.query("sum(m @ 20)", 0)) == {(0,): 11.0}
     assert values(metrics.query("absent(nothing{x=\"y\"})", 0), "x") == {("y", 0): 1.0}
     assert values(metrics.query("double_exponential_smoothing(m[1m], 0.5, 0.5)", 20), "host")[("a", 20)] == pytest.approx(3.5)
     assert values(metrics.query("timestamp(m)", 25), "host") == {("a", 25): 20.0, ("b", 25): 20.0}
@@ -192,7 +192,7 @@ def test_engine_statements(spark, points, tmp_path):
     got = e.sql("SELECT ts, host, sum(v) RANGE '5s' FILL 0 AS s FROM p WHERE host = 'x' ALIGN '5s' ORDER BY ts")
     assert [r.s for r in got.collect()] == [3.0, 0.0, 6.0]
     assert [r.c for r in e.sql("SELECT ts, count(v) RANGE '20s' AS c FROM p ALIGN '20s' BY ()").collect()] == [3]
-    assert [r.total for r in e.sql("TQL EVAL (0, 10, '10s') sum(p) AS total").collect()] == [1.0, 2.0]
+    assert sorted(r.total for r in e.sql("TQL EVAL (0, 10, '10s') sum(p) AS total").collect()) == [1.0, 2.0]
     assert e.sql("WITH q (t, x) AS (TQL EVAL (0, 0, '1s') sum(p)) SELECT x FROM q").first().x == 1.0
     assert {r["Semantic Type"] for r in e.sql("DESCRIBE TABLE p").collect()} == {"TAG", "TIMESTAMP", "FIELD"}
     e.sql(f"COPY (SELECT * FROM p) TO '{tmp_path}/c' WITH (FORMAT = 'json')")

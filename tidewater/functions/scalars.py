@@ -47,7 +47,7 @@ def date_format(ts: Column, fmt: str) -> Column:
                 raise ValueError(f"unsupported pattern {piece}")
             out.append(STRFTIME[piece])
         else:
-            out.append("".join(f"'{c}'" if c.isalpha() else c for c in piece))
+            out.append(re.sub("[A-Za-z]+", r"'\g<0>'", piece))
     return F.date_format(ts, "".join(out))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +40,7 @@ def uddsketch_state(df: DataFrame, by: list[str], value: str, max_buckets: int,
     return _shrunk(rows.groupBy(*by).agg(buckets.alias("_all")), by, max_buckets, error, name)
 
 
-def _shrunk(df: DataFrame, by: list[str], max_buckets: int, error: float, name: str) -> DataFrame:
+def _shrunk(df: DataFrame, by: list[str], max_buckets: int, error: float, name: str, level_col: str | None = None) -> DataFrame:
     """While there are too many buckets, pairs of neighbours become one and the error grows."""
     halve = lambda s, _: F.when(F.size(s["buckets"]) <= max_buckets, s).otherwise(
         F.struct(
@@ -51,19 +51,24 @@ def _shrunk(df: DataFrame, by: list[str], max_buckets: int, error: float, name:
                     F.aggregate(F.filter(s["buckets"], lambda x: (x["s"] == k["s"]) & F.ceil(x["b"] / 2).cast("int").eqNullSafe(k["b"])), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"),
                 ),
             ).alias("buckets"),
-            (2 * s["error"] / (1 + s["error"] * s["error"])).alias("error"),
+            (2 * s["error"] / (1 + s["error"] * s["error"])).alias("error"), s["start"].alias("start"), (s["level"] + 1).alias("level"),
         )
     )
-    first = F.struct(F.col("_all").alias("buckets"), F.lit(float(error)).alias("error"))
+    now = F.lit(float(error)) if level_col is None else F.aggregate(F.array_repeat(F.lit(0), F.col(level_col)), F.lit(float(error)), lambda e, _: 2 * e / (1 + e * e))
+    first = F.struct(F.col("_all").alias("buckets"), now.alias("error"), F.lit(float(error)).alias("start"), (F.lit(0) if level_col is None else F.col(level_col)).alias("level"))
     return df.select(*by, F.aggregate(F.sequence(F.lit(1), F.lit(20)), first, halve).alias(name))
 
 
 def uddsketch_merge(df: DataFrame, by: list[str], state: str, max_buckets: int, error: float, name: str = "state") -> DataFrame:
     """One sketch a group from many of the same error."""
-    rows = df.where(F.assert_true(F.abs(F.col(state)["error"] - error) < 1e-12, F.lit("sketch parameters differ")).isNull()).select(*by, F.explode(F.col(state)["buckets"]).alias("x"))
-    sums = rows.groupBy(*by, F.col("x.s").alias("_s"), F.col("x.b").alias("_b")).agg(F.sum("x.n").alias("_n"))
+    s = F.col(state)
+    level = F.max(s["level"]).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))  # finer sketches shrink to the coarsest
+    same = F.assert_true(F.abs(s["start"] - error) < 1e-12, F.lit("sketch parameters differ")).isNull()
+    rows = df.where(same).withColumn("_l", level).select(*by, "_l", F.pow(F.lit(2), F.col("_l") - s["level"]).alias("_f"), F.explode(s["buckets"]).alias("x"))
+    bucket = F.ceil(F.col("x.b") / F.col("_f")).cast("int")
+    sums = rows.groupBy(*by, "_l", F.col("x.s").alias("_s"), bucket.alias("_b")).agg(F.sum("x.n").alias("_n"))
     buckets = F.sort_array(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_b").alias("b"), F.col("_n").alias("n"))))
-    return _shrunk(sums.groupBy(*by).agg(buckets.alias("_all")), by, max_buckets, error, name)
+    return _shrunk(sums.groupBy(*by).agg(buckets.alias("_all"), F.max("_l").alias("_l")), by, max_buckets, error, name, "_l")
 
 
 def uddsketch_calc(p: float, state: Column) -> Column:

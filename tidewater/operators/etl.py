@@ -26,7 +26,7 @@ def _fields(spec: dict) -> list[tuple[str, str]]:
 
 
 def _java_time(fmt: str) -> str:
-    return "".join(STRFTIME[p] if p.startswith("%") else "".join(f"'{c}'" if c.isalpha() else c for c in p) for p in re.findall(r"%\d?[A-Za-z%]|[^%]+", fmt))
+    return "".join(STRFTIME[p] if p.startswith("%") else re.sub("[A-Za-z]+", r"'\g<0>'", p) for p in re.findall(r"%\d?[A-Za-z%]|[^%]+", fmt))
 
 
 def _cmcd(df, spec):
