@@ -233,3 +233,31 @@ def test_registry(spark, sf_dir):
     assert entry.entry(spark).count() >= 0
     for name in ("pricing_summary", "promql_sum_by", "range_fill_prev", "lateral_join"):
         assert entry.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_statements(spark, tmp_path):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"))
+    e.sql("INSERT INTO t (s, k) VALUES ('c', 3)")
+    e.sql("DELETE FROM t WHERE k = 1")
+    e.sql("CREATE VIEW v AS SELECT k * 10 AS x FROM t")
+    assert sorted(r.x for r in e.sql("SELECT x FROM v").collect()) == [20, 30]
+    e.sql("PREPARE q AS SELECT s FROM t WHERE k = $1")
+    assert [r.s for r in e.sql("EXECUTE q (3)").collect()] == ["c"]
+    e.sql("DEALLOCATE q")
+    e.sql(f"COPY t TO '{tmp_path}/t' WITH (FORMAT = 'parquet')")
+    e.sql(f"CREATE EXTERNAL TABLE x WITH (location = '{tmp_path}/t', format = 'parquet')")
+    e.sql("TRUNCATE TABLE t")
+    assert e.sql("SELECT count(*) AS n FROM x").first().n == 2 and e.sql("SELECT count(*) AS n FROM t").first().n == 0
+    e.sql("DROP VIEW v")
+    assert [r.Tables for r in e.sql("SHOW TABLES").collect()] == ["t", "x"]
+
+
+def test_traces(spark):
+    from tidewater.plans import traces
+
+    rows = [("web", f"op{i % 2}", "client", f"t{i // 5}", f"s{i}", at(i), i * 10, {"k": str(i)}) for i in range(20)]
+    spans = spark.createDataFrame(rows, "service_name string, span_name string, span_kind string, trace_id string, span_id string, ts timestamp, duration_ns long, attributes map<string,string>")
+    assert traces.services(spans).count() == 1 and traces.operations(spans, "web").count() == 2 and traces.get_trace(spans, "t1").count() == 5
+    got = traces.find_traces(spans, "web", "op0", min_ns=100, limit=1).collect()
+    assert sorted(r.span_id for r in got) == ["s15", "s16", "s17"]

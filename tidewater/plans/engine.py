@@ -47,6 +47,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
+        self.prepared: dict[str, str] = {}
 
     def register(self, name: str, table: TimeSeriesTable | DataFrame) -> None:
         """A time-series table, or a plain frame without a time index."""
@@ -81,9 +82,55 @@ class Engine:
             return self.spark.createDataFrame([(n,) for n in sorted(self.tables)], "Tables string")
         if m := re.match(r"^\s*DESC(?:RIBE)?(?:\s+TABLE)?\s+(\w+)\s*;?\s*$", text, re.I):
             return self.describe(m[1])
+        done = self._statement(text)
+        if done is not None:
+            return done
         text = re.sub(r"(\w+)\s*@@\s*'([^']*)'", lambda m: f"{m[1]} RLIKE '(?<![A-Za-z0-9_]){re.escape(m[2])}(?![A-Za-z0-9_])'", text)
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
+    def _statement(self, text: str) -> DataFrame | None:
+        """DDL and DML over registered tables; None for anything else."""
+        ok = lambda n: self.spark.createDataFrame([(n,)], "result string")
+        text = text.strip().rstrip(";").strip()
+        if m := re.match(r"^CREATE\s+EXTERNAL\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s+WITH\s*\((.*)\)$", text, re.I | re.S):
+            opts = {k.lower(): v for k, v in re.findall(r"(\w+)\s*=\s*'([^']*)'", m[2])}
+            self.register(m[1], files.read(self.spark, opts.pop("location"), opts.pop("format", "parquet").lower(), opts))
+            return ok(m[1])
+        if m := re.match(r"^CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+(\w+)\s+AS\s+(.*)$", text, re.I | re.S):
+            self.register(m[1], self.sql(m[2]))
+            return ok(m[1])
+        if m := re.match(r"^DROP\s+(?:TABLE|VIEW)\s+(?:IF\s+EXISTS\s+)?(\w+)$", text, re.I):
+            self.tables.pop(m[1], None)
+            self.spark.catalog.dropTempView(m[1])
+            return ok(m[1])
+        if m := re.match(r"^(?:DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?|TRUNCATE\s+(?:TABLE\s+)?(\w+))$", text, re.I | re.S):
+            name = m[1] or m[3]
+            self._replace(name, lambda df: df.where(~F.coalesce(F.expr(m[2]), F.lit(False))) if m[2] else df.limit(0))
+            return ok(name)
+        if m := re.match(r"^INSERT\s+INTO\s+(\w+)(?:\s*\(([^)]*)\))?\s+(VALUES.*|SELECT.*)$", text, re.I | re.S):
+            new = self.sql(m[3])
+            names = [c.strip() for c in m[2].split(",")] if m[2] else None
+            self._replace(m[1], lambda df: df.unionByName(files.conform(new.toDF(*(names or df.columns)), df.schema)))
+            return ok(m[1])
+        if m := re.match(r"^PREPARE\s+(\w+)\s+(?:FROM\s+'(.*)'|AS\s+(.*))$", text, re.I | re.S):
+            self.prepared[m[1]] = m[2] or m[3]
+            return ok(m[1])
+        if m := re.match(r"^EXECUTE\s+(\w+)(?:\s+USING\s+(.*)|\s*\((.*)\))?$", text, re.I | re.S):
+            given = split_top(m[2] or m[3] or "")
+            return self.sql(re.sub(r"\$(\d+)", lambda d: given[int(d[1]) - 1], re.sub(r"\?", lambda _, it=iter(given): next(it), self.prepared[m[1]])))
+        if m := re.match(r"^DEALLOCATE\s+(?:PREPARE\s+)?(\w+)$", text, re.I):
+            del self.prepared[m[1]]
+            return ok(m[1])
+        return None
+
+    def _replace(self, name: str, change) -> None:
+        table = self.tables[name]
+        if isinstance(table, TimeSeriesTable):
+            table.df = change(table.df)
+            self.register(name, table)
+        else:
+            self.register(name, change(table))
+
     def describe(self, name: str) -> DataFrame:
         t = self.tables[name]
         df = t.df if isinstance(t, TimeSeriesTable) else t
