@@ -18,8 +18,9 @@ from tidewater.llm.common import materialize, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from rows of the training folds; rows with lang_pred 'und' go."""
-    found = langid.identify(docs, docs.where(langid.fold_of("doc_id") != 1), keep=docs.columns)
-    return found.where("lang_pred != 'und'").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # whatever the columns are called
+    found = langid.identify(whole, docs.where(langid.fold_of("doc_id") != 1), keep=["_row"])
+    return found.where("lang_pred != 'und'").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

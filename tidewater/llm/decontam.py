@@ -125,8 +125,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_c
     windows = item_windows(benchmark, n, "item_id", "text")
     few = windows.select("size", "window").distinct().limit(max_broadcast + 1).collect()
     if len(few) > max_broadcast:
-        bad = decontaminate(docs, benchmark, n, id_col, text_col, max_broadcast=max_broadcast).where("contaminated").select(F.col("doc_id").alias(id_col))
-        return docs.join(bad, id_col, "left_anti")
+        bad = decontaminate(docs, benchmark, n, id_col, text_col, max_broadcast=max_broadcast).where("contaminated").select(F.col("doc_id").alias("_bad"))
+        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
     clean = scan(docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text")), windows, "_doc", "_text", max_broadcast)
     return clean.where(F.size("hits") == 0).select("doc_id.*")
 

@@ -21,7 +21,8 @@ wherever the same lines stand, so their groups are complete.
 
 Null texts have no lines. Null ids sort first. Rows that repeat both id and text
 count as one document and come back alike. Line ids are 128-bit digests. All
-columns of the input pass through.
+columns of the input pass through, but for those named n_lines, n_deleted or
+emptied, which are replaced.
 """
 
 from __future__ import annotations
@@ -41,14 +42,14 @@ def words_in(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("t", F.xxhash64(text_col))
+def _key(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text_col).alias("t")]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, no, h, w): non-blank lines with their number among all non-blank lines."""
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = _keyed(docs, id_col, text_col).where(F.col(text_col).isNotNull()).select(*DOC, F.posexplode(lines).alias("no", "line"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(*_key(id_col, text_col), F.posexplode(lines).alias("no", "line"))
     return rows.select(*DOC, "no", F.unhex(F.md5("line")).alias("h"), words_in(F.col("line")).alias("w"))
 
 
@@ -141,8 +142,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``emptied``: the document had lines and has none left.
     """
     gone = later_copies(docs, id_col, text_col, min_words)
-    joined = _keyed(docs, id_col, text_col).join(gone, DOC, "left")
-    lines = F.split(F.col(text_col), "\n")
+    joined = docs.select(F.struct("*").alias("row"), *_key(id_col, text_col)).join(gone, DOC, "left")
+    old = F.col("row")[text_col]
+    lines = F.split(old, "\n")
     real = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     # linear in the lines: places of the non-blank lines, then the set of places that stay. Each is bound to
     # a lambda variable, as the optimizer would otherwise evaluate it again for every line.
@@ -154,13 +156,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bad = bind(solid, lambda s: F.transform("gone", lambda g: F.get(s, g)))
         return bind(F.array_except(places, bad), lambda stay: F.concat_ws("\n", F.transform(stay, lambda i: F.get(held, i))))
 
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(bind(lines, rebuilt))
+    text = F.when(F.col("gone").isNull(), old).otherwise(bind(lines, rebuilt))
     n_lines = F.coalesce(F.size(F.filter(lines, real)), F.lit(0)).cast("long")
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return (
-        joined.withColumn("_n", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines)).withColumn("_g", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone))
-        .withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n").alias("n_lines"), F.col("_g").alias("n_deleted"), ((F.col("_n") > 0) & (F.col("_n") == F.col("_g"))).alias("emptied"))
+    made = joined.select(
+        "row", text.alias("new"), F.when(old.isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone).alias("n_deleted")
     )
+    own = ("n_lines", "n_deleted", "emptied")
+    kept = [(F.col("new") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in own]
+    return made.select(*kept, "n_lines", "n_deleted", ((F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_deleted"))).alias("emptied"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
