@@ -100,7 +100,8 @@ def _filled(out: DataFrame, by: list[str], items: list[Item], fills: list, step:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     df = dense.join(held, cond, "left").select(*by, "_slot", *[i.name for i in items])
     before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the next value is the last one seen from the other end: a frame that only grows, so linear in the slots
+    after = Window.partitionBy(*by).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {}
     for item, fill in zip(items, fills):
         v = F.col(item.name)
@@ -111,7 +112,7 @@ def _filled(out: DataFrame, by: list[str], items: list[Item], fills: list, step:
             made[item.name] = F.last(v, ignorenulls=True).over(before)
         elif kind == "LINEAR":
             point = F.when(v.isNotNull(), F.struct(F.col("_slot").alias("s"), v.cast("double").alias("v")))
-            lo, hi = F.last(point, ignorenulls=True).over(before), F.first(point, ignorenulls=True).over(after)
+            lo, hi = F.last(point, ignorenulls=True).over(before), F.last(point, ignorenulls=True).over(after)
             line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("_slot") - lo["s"]) / F.when(hi["s"] != lo["s"], hi["s"] - lo["s"])
             made[item.name] = F.coalesce(v.cast("double"), line)
         elif isinstance(fill, str):

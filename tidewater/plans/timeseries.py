@@ -97,7 +97,7 @@ PROMQL: dict[str, tuple[str, str]] = {
               FROM (SELECT event_type, user_id, t, count(*) AS n, arg_min(v, us) AS v0, arg_max(v, us) - arg_min(v, us) + coalesce(sum(p) FILTER (v < p), 0) AS c, (max(ms) - min(ms)) / 1000.0 AS d, (min(ms) - t + 21600000) / 1000.0 AS a, (t - max(ms)) / 1000.0 AS b
                     FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t)) WHERE n > 1 AND d > 0""",
     ),
-    "promql_deriv": ("deriv(m[6h])", f"SELECT event_type, user_id, {TS}, round(regr_slope(v, (ms - t) / 1000.0), 3) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t HAVING count(*) > 1 AND max(ms) > min(ms)"),
+    "promql_deriv": ("deriv(m[6h])", f"SELECT event_type, user_id, {TS}, round(regr_slope(v, (ms - t) / 1000.0), 3) + 0.0 AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t HAVING count(*) > 1 AND max(ms) > min(ms)"),
     "promql_predict_linear": ("predict_linear(m[6h], 600)", f"SELECT event_type, user_id, {TS}, round(avg(v) + regr_slope(v, (ms - t) / 1000.0) * (max(ms - t) / 1000.0 + 600 - avg((ms - t) / 1000.0)), 2) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t HAVING count(*) > 1 AND max(ms) > min(ms)"),
     "promql_vector_scalar": ("m * 2 - 1 > 100", f"SELECT event_type, user_id, {TS}, round(v * 2 - 1, 6) AS value FROM {instant_sql()} WHERE v * 2 - 1 > 100"),
     "promql_bool_comparison": ("m >= bool 50", f"SELECT event_type, user_id, {TS}, CAST(v >= 50 AS DOUBLE) AS value FROM {instant_sql()}"),
@@ -123,7 +123,7 @@ ROUNDED = {
 for _name, (_text, _sql) in PROMQL.items():
     _run = promql(_text)
     if _name in ROUNDED:
-        QUERIES[_name] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d))
+        QUERIES[_name] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d) + 0.0)
     else:
         QUERIES[_name] = _run
     ORACLE_SQL[_name] = _sql
