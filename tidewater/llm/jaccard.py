@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, slices, table, text_buffers
+from tidewater.llm.common import drop_table, materialize, slices, table, text_buffers
 from tidewater.llm.graph import components
 from tidewater.llm.words import POWERS, mix, word_codes
 
@@ -81,25 +81,27 @@ def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 digests, _ = shingles(*text_buffers(batch.column("text")), size)
                 total += np.bincount((digests >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         parts = total.reshape(segments, width)
-        yield pa.RecordBatch.from_pydict({"segment": pa.array(range(segments), pa.int32()), "counts": pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(range(segments), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    def add(key, batches):
+    def add(pdf):
         import pandas as pd
 
-        total = np.zeros(width, np.float64)
-        for pdf in batches if not hasattr(batches, "columns") else [batches]:
-            for part in pdf["counts"]:
-                total += np.frombuffer(part, np.uint32)
-        return pd.DataFrame({"segment": [key[0]], "logs": [np.ceil(np.log2(total + 1) * 8).astype(np.uint8).tobytes()]})
+        total = np.zeros(width, np.int64)
+        for part in pdf["counts"]:
+            total += np.frombuffer(part, np.int64)
+        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "counts": [total.tobytes()]})
 
-    parts = texts.select("text").mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInPandas(add, "segment int, logs binary").collect()
+    made = texts.select("text").mapInArrow(count, "segment int, counts binary").withColumn("part", F.spark_partition_id() % 64)
+    for keys in (("segment", "part"), ("segment",)):  # in two steps, so that no task holds a share of every partition
+        made = made.groupBy(*keys).applyInPandas(add, "segment int, counts binary")
+    parts = made.collect()
     out = np.zeros((segments, width), np.uint8)
     for row in parts:  # a fixed number of fixed-size parts
-        out[row["segment"]] = np.frombuffer(row["logs"], np.uint8)
+        out[row["segment"]] = np.ceil(np.log2(np.frombuffer(row["counts"], np.int64) + 1) * 8).astype(np.uint8)
     return out.ravel()
 
 
@@ -107,14 +109,13 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def class_table(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, prefix): set size, digest of the set, prefix shingles as int64 bytes."""
-    sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts, size))  # fixed size
+def class_table(texts: DataFrame, sketch, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, digest, prefix): set size, digest of the set, prefix shingles in the order of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = sketch.value
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 digests, bounds = shingles(*text_buffers(batch.column("text")), size)
                 weight = logs[(digests >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 sums, prefixes = [], []
@@ -145,12 +146,14 @@ def bloom(ids: DataFrame, bits: int = 26) -> np.ndarray:
     return table_
 
 
+def bloom_bits(count: int) -> int:
+    """Eight bits an id, between 2^20 and 2^26 bits in all."""
+    return min(26, max(20, (8 * count).bit_length()))
+
+
 def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, set): sets of the wanted ids, as uint64 bytes."""
-    bits = 20
-    count = wanted.count()
-    while bits < 26 and (1 << bits) < 8 * count:
-        bits += 1
+    bits = bloom_bits(wanted.count())
     filter_ = texts.sparkSession.sparkContext.broadcast(bloom(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +162,65 @@ def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             h = np.asarray(batch.column("h"))
             hit = (held[h >> 6] >> (h & 63)) & 1
             batch = batch.filter(pa.array(hit.astype(bool)))
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 digests, bounds = shingles(*text_buffers(part.column("text")), size)
                 yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "set": pa.array([digests[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())})
 
     made = texts.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(run, "id long, set binary")
-    return made.join(wanted, "id", "left_semi")
+    return made  # and a few that were not asked for
+
+
+def only_asked(table_: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of an id table that are asked for, and a few others, without a shuffle."""
+    bits = bloom_bits(ids.count())
+    held = table_.sparkSession.sparkContext.broadcast(bloom(ids, bits))
+    columns = table_.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column("h"))
+            yield batch.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))).select(columns)
+
+    return table_.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << bits))).mapInArrow(run, table_.schema)
+
+
+def both_sides(pairs: DataFrame, table_: DataFrame, column: str) -> DataFrame:
+    """pairs with the column of x as xs and of q as qs; a hot q spreads over SALTS tasks."""
+    hot = hot_values(pairs, "q")
+    ids = pairs.select(F.explode(F.array("x", "q")).alias("id")).distinct()
+    asked = only_asked(table_.select("id", column), ids)
+    left = pairs.join(asked.select(F.col("id").alias("x"), F.col(column).alias("xs")), "x")
+    pivots = pairs.select(F.col("q").alias("id")).distinct().join(asked, "id").select(F.col("id").alias("q"), F.col(column).alias("qs"))
+    return spread_join(left, pivots, ["q"], "x", hot)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, sketch, num: int, den: int) -> DataFrame:
+    """Pairs (x, n, q, qn) that their prefixes leave possible.
+
+    A prefix shingle of one side that stands before the other side's last prefix
+    shingle and is not in that prefix is not in that set at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = sketch.value
+
+        def absent(a: np.ndarray, b: np.ndarray, whole: bool) -> int:
+            rest = np.setdiff1d(a, b, assume_unique=True)
+            if whole:
+                return len(rest)
+            w = logs[(rest >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            last = logs[int(b[-1] >> np.uint64(64 - SKETCH_BITS))]
+            return int(((w < last) | ((w == last) & (rest < b[-1]))).sum())
+
+        for batch in batches:
+            keep = []
+            for a, n, b, m in zip(batch.column("xs"), batch.column("n").to_pylist(), batch.column("qs"), batch.column("qn").to_pylist()):
+                a, b = (np.asarray(v.values).astype(np.int64).view(np.uint64) for v in (a, b))
+                inter = min(n - absent(a, b, len(b) == m), m - absent(b, a, len(a) == n))
+                keep.append(inter * den >= (n + m - inter) * num)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "q"])
+
+    return both_sides(pairs, classes, "prefix").select("x", "n", "q", "qn", "xs", "qs").mapInArrow(run, "x long, q long")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,42 +238,66 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 sizes.append(len(a) + len(b))
             yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "q": batch.column("q"), "inter": pa.array(inter, pa.int64()), "sizes": pa.array(sizes, pa.int64())})
 
-    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("xs")), "x").withColumn("_s", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-    pivots = pairs.select(F.col("q").alias("id")).distinct().join(sets, "id").select(F.col("id").alias("q"), F.col("set").alias("qs"))
-    right = pivots.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, ["q", "_s"]).select("x", "q", "xs", "qs").mapInArrow(run, "x long, q long, inter long, sizes long")
+    return both_sides(pairs, sets, "set").select("x", "q", "xs", "qs").mapInArrow(run, "x long, q long, inter long, sizes long")
 
 
-def _spread(rows: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    left = rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return left.join(small.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*keys, "_s"], how).drop("_s")
+def hot_values(rows: DataFrame, key: str, most: int = 20_000, limit: int = 1000) -> list:
+    """Keys with more than ``most`` rows. More than ``limit`` of them spread over the tasks by themselves, so none is named then."""
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select(key).limit(limit + 1).collect()
+    return [] if len(found) > limit else sorted(r[0] for r in found)
+
+
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str, hot: list, how: str = "inner") -> DataFrame:
+    """Join on keys of which the first may be hot: rows of hot keys go to SALTS tasks, and only their partners are copied."""
+    if not hot:
+        return rows.join(small, keys, how)
+    named = F.col(keys[0]).isin(hot)
+    left = rows.withColumn("_s", F.when(named, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = small.withColumn("_s", F.explode(F.when(named, F.array(*[F.lit(i) for i in range(SALTS)])).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_s"], how).drop("_s")
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(t, x, n): members of the regions of two classes or more, one region for each distinct set of members."""
+    """(t, x, n): members of the regions of two classes or more, one region for each distinct set of members.
+
+    Shingles meet once, as counts with a digest of their holders, aggregated
+    partially; a bit table of the shingles that name a region then keeps all
+    other postings out of the second shuffle.
+    """
     post = classes.select(F.explode("prefix").alias("t"), F.col("id").alias("x"), "n")
-    shared = materialize(_spread(post, post.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t"), ["t"], "x"), "postings")
-    h = F.xxhash64("x")
-    marks = shared.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "x")).alias("h2"))
-    single = marks.groupBy("c", "lo", "hi", "h1", "h2").agg(F.min("t").alias("t")).select("t")
-    return _spread(shared, single, ["t"], "x")
+    marks = post.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.bit_xor(F.xxhash64("x")).alias("h")).where("c > 1")
+    single = materialize(marks.groupBy("c", "lo", "h").agg(F.min("t").alias("t")).select("t", "c"), "regions")
+    hot = [r["t"] for r in single.where("c > 20000").select("t").limit(1001).collect()]
+    bits = bloom_bits(single.count())
+    held = classes.sparkSession.sparkContext.broadcast(bloom(single.select(F.col("t").alias("id")), bits))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column("h"))
+            yield batch.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))).select(["t", "x", "n"])
+
+    likely = post.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << bits))).mapInArrow(named, "t long, x long, n long")
+    return spread_join(likely, single.select("t"), ["t"], "x", hot if len(hot) <= 1000 else [])
 
 
-def join_components(classes: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def join_components(classes: DataFrame, texts: DataFrame, sketch, size: int, num: int, den: int) -> DataFrame:
     """(id, component) of the classes that link with another."""
     members = materialize(regions(classes).select("t", "x", "n", F.col("x").alias("comp"), F.lit(None).cast("double").alias("d")), "members")
-    wanted = materialize(members.select(F.col("x").alias("id")).distinct(), "wanted")
-    sets = materialize(set_table(texts, wanted, size), "sets")
     links, comps, k = [], None, 1
     r, fits = 1 - num / den, F.least("n", "qn") * den >= F.greatest("n", "qn") * num
     while not members.isEmpty():
+        hot = hot_values(members, "t")
         # pivots: one a bucket of components, the last component of each bucket; k buckets
         bucket = F.pmod(F.xxhash64("comp"), F.lit(k))
         pivots = members.groupBy("t", bucket.alias("b")).agg(F.max(F.struct("comp", "x", "n", "d")).alias("p")).select("t", F.col("p.x").alias("q"), F.col("p.n").alias("qn"), F.col("p.comp").alias("qc"), F.col("p.d").alias("qd"))
         pivots = materialize(pivots, "pivots")
-        met = _spread(members, pivots, ["t"], "x").where((F.col("comp") != F.col("qc")) & fits)
+        met = spread_join(members, pivots, ["t"], "x", hot).where((F.col("comp") != F.col("qc")) & fits)
         met = met.where(F.col("d").isNull() | F.col("qd").isNull() | (F.abs(F.col("d") - F.col("qd")) <= r + 1e-9))  # the triangle window
-        far = materialize(distances(met.select("x", "q").distinct(), sets), "distances")
+        likely = materialize(met.select("x", "n", "q", "qn").distinct(), "likely-pairs")
+        pairs = materialize(possible(likely, classes, sketch, num, den), "pairs")
+        asked = materialize(pairs.select(F.explode(F.array("x", "q")).alias("id")).distinct(), "asked")
+        sets = materialize(set_table(texts, asked, size), "sets")  # only of the pairs of this round
+        far = materialize(distances(pairs, sets), "distances")
         near = far.where(F.col("inter") * den >= (F.col("sizes") - F.col("inter")) * num)
         links.append(near.select(F.col("x").alias("a"), F.col("q").alias("b")))
         edges = links[0]
@@ -225,14 +305,17 @@ def join_components(classes: DataFrame, texts: DataFrame, size: int, num: int, d
             edges = edges.unionByName(more)
         comps = materialize(components(edges), "components")
         # regions go on without their pivots, under the new components
-        left = _spread(members, pivots.select("t", F.col("q").alias("x"), F.lit(True).alias("done")), ["t", "x"], "x", "left").where("done is null").drop("done")
+        left = spread_join(members, pivots.select("t", F.col("q").alias("x"), F.lit(True).alias("done")), ["t", "x"], "x", [], "left").where("done is null").drop("done")
         left = left.drop("comp").join(comps.select(F.col("id").alias("x"), F.col("component").alias("comp")), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
         if k == 1:  # distances to the one pivot of the round, for the next window
             known = far.select("x", "q", (1 - F.col("inter") / (F.col("sizes") - F.col("inter"))).alias("nd"))
-            left = _spread(left, pivots.select("t", "q"), ["t"], "x").join(known, ["x", "q"], "left").withColumn("d", F.col("nd")).drop("q", "nd")
-        left = left.select("t", "x", "n", "comp", "d")
+            left = spread_join(left, pivots.select("t", "q"), ["t"], "x", hot).join(known, ["x", "q"], "left").withColumn("d", F.col("nd")).drop("q", "nd")
+        left = materialize(left.select("t", "x", "n", "comp", "d"), "left")
         open_ = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("t")
-        members = materialize(_spread(left, open_, ["t"], "x"), "members")
+        rest = materialize(spread_join(left, open_, ["t"], "x", hot), "members")
+        for table_ in (members, pivots, likely, pairs, asked, sets, left):
+            drop_table(table_)
+        members = rest
         k *= 2
     if comps is None:
         return classes.select("id", F.col("id").alias("component")).limit(0)
@@ -242,15 +325,19 @@ def join_components(classes: DataFrame, texts: DataFrame, size: int, num: int, d
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; documents link at J >= num / den."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = materialize(class_table(texts, size, num, den), "sets-of-rows")
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, size))  # fixed size
+    full = materialize(class_table(texts, sketch, size, num, den), "sets-of-rows")
     classes = (
-        rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        full.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"), F.count(F.lit(1)).alias("copies"))
         .select("digest", "copies", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
     )
     classes = materialize(classes, "classes")
-    comps = join_components(classes, texts, size, num, den)
+    rows = materialize(full.select("doc_id", "n", "digest"), "rows")
+    drop_table(full)
+    comps = join_components(classes, texts, sketch, size, num, den)
     named = classes.join(comps, "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = _spread(rows.select("doc_id", "n", F.coalesce("digest", F.lit(b"")).alias("digest")), named, ["digest"], "doc_id", "left")
+    hot = [bytearray(x) for x in hot_values(rows.where("digest is not null"), "digest")]
+    out = spread_join(rows.select("digest", "doc_id", "n"), named, ["digest"], "doc_id", hot, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
