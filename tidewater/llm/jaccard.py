@@ -141,7 +141,7 @@ def bloom(ids: DataFrame, bits: int = 26) -> np.ndarray:
         F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")
     )
     table_ = np.zeros((1 << bits) // 64, np.int64)
-    for row in words.toLocalIterator():
+    for row in words.collect():  # at most 2^26 / 64 words, whatever the input
         table_[row["w"]] = row["bits"]
     return table_
 
