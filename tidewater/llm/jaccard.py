@@ -22,7 +22,7 @@ recurs on the rest, where
 
 It ends when a region has one component left or no members left, so every pair
 within r that is not in one component already is compared: the components are
-exact. Pivots double from round to round. No step lists the pairs of a region.
+exact. Pivots a region grow fourfold from round to round. No step lists the pairs of a region.
 
 Null and word-free texts have an empty set and link with nothing. Rows without
 id are returned with no component. Rows that share an id count as one document
@@ -283,7 +283,7 @@ def regions(classes: DataFrame) -> DataFrame:
 def join_components(classes: DataFrame, texts: DataFrame, sketch, size: int, num: int, den: int) -> DataFrame:
     """(id, component) of the classes that link with another."""
     members = materialize(regions(classes).select("t", "x", "n", F.col("x").alias("comp"), F.lit(None).cast("double").alias("d")), "members")
-    links, comps, k = [], None, 1
+    comps, k = None, 1
     r, fits = 1 - num / den, F.least("n", "qn") * den >= F.greatest("n", "qn") * num
     while not members.isEmpty():
         hot = hot_values(members, "t")
@@ -299,14 +299,14 @@ def join_components(classes: DataFrame, texts: DataFrame, sketch, size: int, num
         sets = materialize(set_table(texts, asked, size), "sets")  # only of the pairs of this round
         far = materialize(distances(pairs, sets), "distances")
         near = far.where(F.col("inter") * den >= (F.col("sizes") - F.col("inter")) * num)
-        links.append(near.select(F.col("x").alias("a"), F.col("q").alias("b")))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        comps = materialize(components(edges), "components")
+        edges = materialize(near.select(F.col("x").alias("a"), F.col("q").alias("b")), "links")
+        if not edges.isEmpty():  # new links join the stars of the components so far
+            old = [comps.select(F.col("id").alias("a"), F.col("component").alias("b"))] if comps is not None else []
+            comps = materialize(components(edges.unionByName(old[0]) if old else edges), "components")
         # regions go on without their pivots, under the new components
         left = spread_join(members, pivots.select("t", F.col("q").alias("x"), F.lit(True).alias("done")), ["t", "x"], "x", [], "left").where("done is null").drop("done")
-        left = left.drop("comp").join(comps.select(F.col("id").alias("x"), F.col("component").alias("comp")), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+        if comps is not None:
+            left = left.drop("comp").join(comps.select(F.col("id").alias("x"), F.col("component").alias("comp")), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
         if k == 1:  # distances to the one pivot of the round, for the next window
             known = far.select("x", "q", (1 - F.col("inter") / (F.col("sizes") - F.col("inter"))).alias("nd"))
             left = spread_join(left, pivots.select("t", "q"), ["t"], "x", hot).join(known, ["x", "q"], "left").withColumn("d", F.col("nd")).drop("q", "nd")
@@ -316,7 +316,7 @@ def join_components(classes: DataFrame, texts: DataFrame, sketch, size: int, num
         for table_ in (members, pivots, likely, pairs, asked, sets, left):
             drop_table(table_)
         members = rest
-        k *= 2
+        k *= 4
     if comps is None:
         return classes.select("id", F.col("id").alias("component")).limit(0)
     return comps
