@@ -24,5 +24,5 @@ ORACLE_SQL: dict[str, str] = {name: duck or text for name, (text, duck) in SQL.i
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly rate of every series."""
-    return QUERIES["promql_rate"](spark, sf_dir)
+    """Hourly rate of every series over the whole table."""
+    return QUERIES["promql_rate_whole"](spark, sf_dir)

@@ -39,7 +39,7 @@ def event_metric(spark: SparkSession, sf_dir: str) -> TimeSeriesTable:
 
 
 START, END = 1704067200, 1704067200 + 86400
-#: Grid of PromQL queries: hourly over the first day.
+#: Grid of the promql_* queries that have SQL: hourly over the first day. promql_*_whole go over the whole table.
 GRID = f"(SELECT {START * 1000} + i * 3600000 AS t FROM range(0, 25) r(i))"
 SERIES = "(SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS ts, max(value) AS v FROM events GROUP BY ALL)"
 #: Samples at one time of a series in different microseconds fall together in milliseconds; the later row counts.
@@ -53,6 +53,25 @@ def promql(text: str, step: float = 3600, lookback: int | None = 3_600_000):
     return run
 
 
+def whole_span(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
+    """Seconds of the hour of the first row and of the hour at or after the last one; None where no row has a time."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events(spark, sf_dir).agg(F.min(us), F.max(us)).first()
+    return None if low is None else (low // 3_600_000_000 * 3600, -(-high // 3_600_000_000) * 3600)
+
+
+def promql_whole(text: str, ahead: int = 0, step: float = 3600, lookback: int | None = 3_600_000):
+    """As promql(), from the first hour of the table to its last and ``ahead`` seconds more, so that every row is read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        span = whole_span(spark, sf_dir)
+        low, high = span or (0, 0)
+        out = PromQL(spark, {"m": event_metric(spark, sf_dir)}).query_range(text, low, high + ahead, step, lookback)
+        return out if span else out.limit(0)
+
+    return run
+
+
 def instant_sql(extra: str = "") -> str:
     """Instant vector of m on the grid with a lookback of an hour."""
     return f"(SELECT event_type, user_id, t, arg_max(v, us) AS v FROM {SAMPLES} s JOIN {GRID} g ON s.ms <= g.t AND s.ms > g.t - 3600000 {extra} GROUP BY ALL)"
@@ -120,12 +139,14 @@ ROUNDED = {
     "promql_delta": 1, "promql_rate": 6, "promql_deriv": 3, "promql_predict_linear": 2, "promql_vector_scalar": 6, "promql_vector_vector": 6, "promql_group_left": 6, "promql_offset": 4, "promql_label_replace": 4, "promql_math": 5, "promql_scalar": 4,
     "promql_subquery": 4,
 }
+#: Seconds by which a query looks back with an offset: the whole table's last rows are seen so much later.
+AHEAD = {"promql_offset": 3600}
 for _name, (_text, _sql) in PROMQL.items():
-    _run = promql(_text)
-    if _name in ROUNDED:
-        QUERIES[_name] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d) + 0.0)
-    else:
-        QUERIES[_name] = _run
+    for _key, _run in ((_name, promql(_text)), (f"{_name}_whole", promql_whole(_text, AHEAD.get(_name, 0)))):
+        if _name in ROUNDED:
+            QUERIES[_key] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d) + 0.0)
+        else:
+            QUERIES[_key] = _run
     ORACLE_SQL[_name] = _sql
 
 
