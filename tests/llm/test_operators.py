@@ -234,6 +234,15 @@ def test_wrapper_slot_without_article():
     assert wrapper.extract(pages[1], template) == " ".join(f"Story 1 {'word ' * 40}1".split())
 
 
+def test_wrapper_template_text_in_articles(spark):
+    def page(i, extra=""):
+        return f"<body><div class='list'><article><h1>Head {i}</h1><p>{f'story{i} ' * 30}</p>{extra}<p>Share this with friends</p></article><article><p>{f'second{i} ' * 5}</p></article></div><div class='end'>All rights reserved</div></body>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(12)]
+    text = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text == {i: "\n\n".join([f"Head {i}", f"story{i} " * 29 + f"story{i}", f"second{i} " * 4 + f"second{i}"]) for i in range(12)}
+
+
 def test_simple_tree_matching():
     a, b = wrapper.parse("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>"), wrapper.parse("<div><p>x</p><p>y</p></div>")
     assert wrapper.match(a, b)[0] == 4  # root, div and two paragraphs
