@@ -243,6 +243,18 @@ def test_wrapper_template_text_in_articles(spark):
     assert text == {i: "\n\n".join([f"Head {i}", f"story{i} " * 29 + f"story{i}", f"second{i} " * 4 + f"second{i}"]) for i in range(12)}
 
 
+def test_wrapper_counts_over_all_pages(spark):
+    def page(i, note, top="<div>Site name</div>"):
+        return f"<body>{top}<div class='box'><p>{f'story{i} ' * 40}</p><p>{note}</p></div></body>"
+
+    copies = [(i, f"http://copies/{i}", "<body><div>Only text</div><div>More of it</div></body>") for i in range(9)]
+    # the note is the same on most pages but varies on a fifth, and one page lacks the first div
+    notes = [(100 + i, f"http://notes/{i}", page(i, f"Note {i}" if i % 5 == 0 else "Usual note", "" if i == 7 else "<div>Site name</div>")) for i in range(40)]
+    text = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(copies + notes, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == "Only text\n\nMore of it" for i in range(9))
+    assert all(text[100 + i] == f"story{i} " * 39 + f"story{i}\n\n" + (f"Note {i}" if i % 5 == 0 else "Usual note") for i in range(40))
+
+
 def test_simple_tree_matching():
     a, b = wrapper.parse("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>"), wrapper.parse("<div><p>x</p><p>y</p></div>")
     assert wrapper.match(a, b)[0] == 4  # root, div and two paragraphs
