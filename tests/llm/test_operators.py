@@ -346,3 +346,23 @@ def test_pipeline(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_vector_audit_averages_queries(spark):
+    dense = [(a, b) for a in range(40) for b in range(1000, 1100)]
+    small = [(100 + i, 200 + i) for i in range(10)]
+    truth = spark.createDataFrame(dense + small, "a long, b long")
+    found = spark.createDataFrame([(a, b, 1) for a, b in dense], "a long, b long, n long")
+    assert hnsw.audit(truth, found) == pytest.approx(40 / 50)  # 4000 of 4010 links, but none of 10 queries'
+
+
+def test_vectors_beyond_widest_beam(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 24))
+    v = np.repeat(centres, 3, axis=0) + rng.normal(size=(1200, 24)) * 0.1
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    index = hnsw.Index(degree=1, shrink=64)
+    got = {r.vec_id: r.n_links for r in hnsw.near_vectors(df, beam=1, max_beam=1, index=index).collect()}
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert got == {i: int(want[i]) for i in range(1200)}

@@ -5,9 +5,12 @@ hash into shards, each shard builds one hierarchical navigable small-world
 graph, and every class is searched in every shard. A search descends the layers,
 then runs a beam on the bottom layer and finally spreads from all vectors within
 the threshold through their neighbours, so that dense groups are found whole.
-An audit compares the links of a hash-chosen set of queries with brute force;
-while its recall is under the target the beam doubles. Every link is verified by
-a cosine in double precision. Components come from the links by union.
+An audit compares the links of a hash-chosen set of queries with brute force; it
+averages the recall of the queries that have a link, and more are drawn while few
+have one. While it is under the target the beam doubles, up to ``max_beam``; where
+that fails too, or too few of the queries drawn have a link to tell, every shard
+is searched exactly, in blocks. Every link is verified by a cosine in double
+precision. Components come from the links by union.
 
 Null, zero and non-finite vectors link with nothing. Vectors of another
 dimension than most are compared among their own kind only. Null ids are
@@ -46,7 +49,7 @@ class Index:
 class Shard:
     """HNSW over unit vectors, built layer by layer from exact nearest neighbours within blocks."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, marks: np.ndarray, index: Index):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, marks: np.ndarray, index: Index, graph: bool = True):
         order = np.argsort(marks, kind="stable")  # the hash decides how high a vector stands
         self.ids, self.v = ids[order], np.ascontiguousarray(vectors[order], np.float32)
         self.sizes, n = [], len(ids)
@@ -55,7 +58,7 @@ class Shard:
             n //= index.shrink
         if not self.sizes:
             self.sizes.append(len(ids))
-        self.links = [self._connect(size, index) for size in self.sizes]
+        self.links = [self._connect(size, index) for size in self.sizes] if graph else []
 
     def _connect(self, size: int, index: Index) -> np.ndarray:
         """Neighbour lists of a layer: near ones kept only if nearer to the node than to a kept one, then back links."""
@@ -99,6 +102,10 @@ class Shard:
         out[dst[room], m + place[room]] = src[room]
         return out
 
+    def exact(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All (query row, node) pairs with similarity of ``least`` or more."""
+        return np.nonzero(np.ascontiguousarray(queries, np.float32) @ self.v.T >= least)
+
     def search(self, queries: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query row, node) pairs with similarity of about ``least`` or more."""
         b = len(queries)
@@ -194,6 +201,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([np.frombuffer(x.as_buffer(), np.float64) for x in column])
 
 
+def _linked(q: np.ndarray, vectors: np.ndarray, r: np.ndarray, node: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs have a cosine of ``least`` or more in doubles, by parts of bounded memory."""
+    parts = [np.einsum("nd,nd->n", q[r[a : a + 65_536]], vectors[node[a : a + 65_536]]) >= least for a in range(0, len(r), 65_536)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 class Forest:
     """Union of ids in one task: says which edges join two trees. Cleared when large, which only repeats edges."""
 
@@ -215,9 +228,11 @@ class Forest:
         return a != b
 
 
-def search_links(classes: DataFrame, queries: DataFrame, shards: int, beam: int, least: float, index: Index, forest: bool = False) -> DataFrame:
+def search_links(classes: DataFrame, queries: DataFrame, shards: int, beam: int | None, least: float, index: Index, forest: bool = False) -> DataFrame:
     """(a, b, n): query class and found class, every shard searched for every query, cosine >= least in doubles.
 
+    Without a beam no graph is built and the shards are searched exactly.
+
     With ``forest`` a shard gives, instead of every link, one row (a, null, n)
     with the number of vectors that the query links with there, and of its links
     those that join two trees, so that dense groups give no more rows than members.
@@ -237,7 +252,7 @@ def search_links(classes: DataFrame, queries: DataFrame, shards: int, beam: int,
             marks = np.concatenate([np.asarray(h.column("mark")) for h in held])
             v = np.concatenate([_matrix(h.column("unit")) for h in held])
             order = np.argsort(marks, kind="stable")
-            return Shard(ids, v, marks, index), v[order], np.concatenate([np.asarray(h.column("copies")) for h in held])[order]
+            return Shard(ids, v, marks, index, beam is not None), v[order], np.concatenate([np.asarray(h.column("copies")) for h in held])[order]
 
         for batch in batches:
             keys = list(zip(batch.column("shard").to_pylist(), batch.column("dim").to_pylist(), batch.column("side").to_pylist()))
@@ -256,12 +271,12 @@ def search_links(classes: DataFrame, queries: DataFrame, shards: int, beam: int,
                     held = []
                 if shard is None:  # no vectors of this dimension in the shard
                     continue
-                rows = max(1, min(index.block, (32 << 20) // max(1, len(shard.v))))
+                rows = max(1, min(index.block, (32 << 20 if beam else 8 << 20) // max(1, len(shard.v))))
                 for at in range(0, part.num_rows, rows):
                     block = part.slice(at, rows)
                     q, ids = _matrix(block.column("unit")), np.asarray(block.column("id"))
-                    r, node = shard.search(q, min(beam, len(shard.v)), least - 1e-4)
-                    ok = (shard.ids[node] != ids[r]) & (np.einsum("nd,nd->n", q[r], vectors[node]) >= least)
+                    r, node = shard.search(q, min(beam, len(shard.v)), least - 1e-4) if beam else shard.exact(q, least - 1e-4)
+                    ok = (shard.ids[node] != ids[r]) & _linked(q, vectors, r, node, least)
                     a_, b_, w = ids[r][ok], shard.ids[node][ok], copies[node][ok]
                     if not forest:
                         yield pa.RecordBatch.from_pydict({"a": a_, "b": b_, "n": w})
@@ -279,11 +294,9 @@ def search_links(classes: DataFrame, queries: DataFrame, shards: int, beam: int,
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
-def audit(classes: DataFrame, asked: DataFrame, links: DataFrame, least: float) -> float:
-    """Recall of the links of the asked classes against brute force in blocks over all classes."""
-    rows = asked.collect()  # a fixed number of queries
-    if not rows:
-        return 1.0
+def true_links(classes: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """(a, b): the links of the asked classes by brute force in blocks over all classes."""
+    rows = asked.collect()  # a bounded number of queries
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r["dim"] for r in rows}:
         mine = [r for r in rows if r["dim"] == dim]
@@ -291,19 +304,41 @@ def audit(classes: DataFrame, asked: DataFrame, links: DataFrame, least: float)
     shared = classes.sparkSession.sparkContext.broadcast(by_dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.asarray(batch.column("dim"))
-            for dim, (ids, q) in shared.value.items():
-                part = batch.filter(pa.array(dims == dim))
-                if part.num_rows:
-                    own = np.asarray(part.column("id"))
-                    i, j = np.nonzero(_matrix(part.column("unit")) @ q.T >= least)
-                    ok = own[i] != ids[j]
-                    yield pa.RecordBatch.from_pydict({"a": ids[j][ok], "b": own[i][ok]})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                dims = np.asarray(batch.column("dim"))
+                for dim, (ids, q) in shared.value.items():
+                    part = batch.filter(pa.array(dims == dim))
+                    if part.num_rows:
+                        own = np.asarray(part.column("id"))
+                        i, j = np.nonzero(_matrix(part.column("unit")) @ q.T >= least)
+                        ok = own[i] != ids[j]
+                        yield pa.RecordBatch.from_pydict({"a": ids[j][ok], "b": own[i][ok]})
+
+    return materialize(classes.select("id", "dim", "unit").mapInArrow(run, "a long, b long"), "truth")
 
-    truth = classes.select("id", "dim", "unit").mapInArrow(run, "a long, b long")
-    got = truth.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k")).first()
-    return got["k"] / got["n"] if got["n"] else 1.0
+
+def audit_set(classes: DataFrame, n: int, queries: int, least: float) -> tuple[DataFrame, DataFrame, bool]:
+    """Asked classes, their true links, and whether they can tell: an eighth of ``queries`` have a link, or all classes were asked.
+
+    From about ``queries`` on, four times as many are drawn each round, 16 times at most.
+    """
+    for drawn in (queries, 4 * queries, 16 * queries):
+        every = max(1, n // drawn)
+        asked = materialize(classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).select("id", "dim", "unit"), "asked")
+        truth = true_links(classes, asked, least)
+        tells = every == 1 or truth.agg(F.count_distinct("a")).first()[0] >= max(1, queries // 8)
+        if tells:
+            break
+    return asked, truth, tells
+
+
+def audit(truth: DataFrame, links: DataFrame) -> float:
+    """Mean over the queries that have a true link of the share of them found."""
+    hits = truth.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    recall = hits.groupBy("a").agg((F.count("hit") / F.count(F.lit(1))).alias("recall")).agg(F.avg("recall")).first()[0]
+    return 1.0 if recall is None else recall
 
 
 def near_vectors(
@@ -317,11 +352,10 @@ def near_vectors(
     classes = materialize(classes, "classes")
     n = classes.count()
     shards = max(index.min_shards, -(-n // index.shard_rows))
-    asked = materialize(classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, n // audit_queries))) == 0).select("id", "dim", "unit"), "asked")
-    while beam < max_beam:  # the audit runs on the asked ones alone until the beam is wide enough
-        if audit(classes, asked, search_links(classes, asked, shards, beam, least, index), least) >= target:
-            break
-        beam *= 2
+    asked, truth, tells = audit_set(classes, n, audit_queries, least)
+    beam = beam if tells else None
+    while beam and audit(truth, search_links(classes, asked, shards, beam, least, index)) < target:
+        beam = beam * 2 if beam * 2 <= max_beam else None  # beyond, search exactly
     found = materialize(search_links(classes, classes, shards, beam, least, index, forest=True), "links")
     other = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     comps = components(found.where("b is not null"))
