@@ -219,6 +219,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(warc.write_archive(pages.limit(0))).count() == 0
 
 
+def test_warc_one_id_two_payloads(spark):
+    rows = [(1, "u", "aaa"), (1, "u", "bbb"), (1, "u", "ccc"), (2, "v", "aaa"), (3, "w", "bbb")]
+    got = warc.read_records(warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    kinds = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to) for r in got}
+    sha = {t: warc.base32(hashlib.sha1(t.encode()).digest()) for t in ("aaa", "bbb", "ccc")}
+    response = ("response", None)
+    assert len(got) == 5 and kinds == {(1, sha["aaa"]): ("revisit", 2), (1, sha["bbb"]): ("revisit", 3), (1, sha["ccc"]): response, (2, sha["aaa"]): response, (3, sha["bbb"]): response}
+
+
 def test_wrapper(spark):
     page = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>One\n two<br>three<p><b>Four</b><div class='comments'>no</div></article><footer>&copy; x</footer></body></html>"
     rows = [(1, "http://a/1", page), (2, "http://a/2", page.replace("Four", "Five")), (3, None, None), (4, "x", ""), (5, "http://b/", "<p>open <script>var x='</p>';</script>text &am"), (1, "http://a/1", page)]

@@ -12,7 +12,7 @@ between the two, record by record and piece by piece.
 Of records with equal payloads of at least ``min_revisit_bytes`` the one with
 the largest id is the response and the others are revisits of it without
 payload. Null payloads are empty payloads. Rows that repeat the largest id are
-all responses. Rows without an id are responses unless an equal payload has one.
+all responses. Rows that share an id are judged each by its own payload. Rows without an id are responses unless an equal payload has one.
 Columns other than id, URL and payload are ignored.
 """
 
@@ -71,13 +71,13 @@ def payload_digests(pages: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def find_revisits(digests: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """(page_id, refers_to) of every row that revisits another; a hot payload is spread over tasks."""
+    """(page_id, sha1, refers_to) of every row that revisits another; a hot payload is spread over tasks."""
     groups = (
         digests.where(F.col("n") >= min_revisit_bytes).groupBy("sha1", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
         .where((F.col("copies") > 1) & F.col("refers_to").isNotNull()).select("sha1", "refers_to")
     )
     joined = salted_left_join(digests.where(F.col("page_id").isNotNull()), groups, "sha1", "page_id")
-    return joined.where(F.col("refers_to").isNotNull() & (F.col("page_id") != F.col("refers_to"))).select("page_id", "refers_to").distinct()
+    return joined.where(F.col("refers_to").isNotNull() & (F.col("page_id") != F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
 
 def make_records(pages: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -137,7 +137,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
     digests = materialize(payload_digests(pages, chunk_bytes), "payload-digests")
     revisits = find_revisits(digests, min_revisit_bytes)
-    joined = pages.withColumn("seq", F.monotonically_increasing_id()).join(revisits, "page_id", "left")
+    keyed = pages.withColumn("seq", F.monotonically_increasing_id()).withColumn("sha1", F.unhex(F.sha1("payload")))
+    joined = keyed.join(revisits, ["page_id", "sha1"], "left")
     return materialize(make_records(joined, chunk_bytes), "warc-records")
 
 
