@@ -16,13 +16,15 @@ pivot's component. A pivot that has met its whole region leaves it; the region
 recurs on the rest, where
 
 * pairs in one component need no comparison any more,
-* the triangle inequality excludes members whose distances to the region's
-  last pivot differ by more than r from that of the next pivot, and
+* the triangle inequality excludes members whose distances to the one pivot of
+  the first round differ by more than r from that of the next pivot, and
 * set sizes that differ by more than a factor 0.8 exclude a pair.
 
 It ends when a region has one component left or no members left, so every pair
 within r that is not in one component already is compared: the components are
-exact. Pivots a region grow fourfold from round to round. No step lists the pairs of a region.
+exact. Links are not counted. These are regions of a prefix filter with rounds of
+pivots, not Voronoi cells: members are not assigned to a nearest pivot and none
+is replicated. Pivots a region grow fourfold from round to round. No step lists the pairs of a region.
 
 Null and word-free texts have an empty set and link with nothing. Rows without
 id are returned with no component. Rows that share an id count as one document
