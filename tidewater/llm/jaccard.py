@@ -1,53 +1,70 @@
-"""Exact n-gram Jaccard join with pivots (operator 3).
+"""Exact n-gram Jaccard join in the metric space of shingle sets (operator 3).
 
 A document's set holds its distinct shingles of five words as 64-bit digests.
 Jaccard distance d = 1 - J is a metric, and documents link at d <= r = 0.2.
 Equal sets are one class, so copies are never compared.
 
-Voronoi regions over the whole collection say nothing in this space: two texts
-without common shingles are at distance 1 from each other and from every pivot.
-Regions are therefore drawn where distances are below 1. A globally fixed order
-of shingles (rare ones first, by a frequency sketch of fixed size) gives each
-class a prefix of n - ceil(0.8 n) + 1 shingles, and two classes within r share
-one. The holders of a shared prefix shingle form a region; regions with the same
-members are one. In each round a region takes pivots among its members, exact
-distances of members to pivots are computed, and members within r join their
-pivot's component. A pivot that has met its whole region leaves it; the region
-recurs on the rest, where
-
-* pairs in one component need no comparison any more,
-* the triangle inequality excludes members whose distances to the one pivot of
-  the first round differ by more than r from that of the next pivot, and
-* set sizes that differ by more than a factor 0.8 exclude a pair.
-
-It ends when a region has one component left or no members left, so every pair
-within r that is not in one component already is compared: the components are
-exact. Links are not counted. These are regions of a prefix filter with rounds of
-pivots, not Voronoi cells: members are not assigned to a nearest pivot and none
-is replicated. Pivots a region grow fourfold from round to round. No step lists the pairs of a region.
-
-Null and word-free texts have an empty set and link with nothing. Rows without
-id are returned with no component. Rows that share an id count as one document
-with the links of all. Other columns are ignored.
+1. A globally fixed order of shingles (rare ones first, by a frequency sketch of
+   fixed size) gives each class a prefix of n - ceil(0.8 n) + 1 shingles, and two
+   classes within r share one of them. Without this step Voronoi regions would say
+   nothing: texts that share no shingle are at distance 1 from each other and from
+   every pivot.
+2. Classes joined by shared prefix shingles form cells: the components over
+   shingles with at most ``most`` holders. A component beyond ``most`` members is
+   split into the regions of its shingles, each within ``most``. The holders of
+   shingles with more form heavy cells. Linked classes share a cell.
+3. A cell is joined recursively. Pivots are compared with all members; members go
+   to the Voronoi region of their nearest pivot, or to the remainder when no pivot
+   is nearer than 1 - r. Boundary members are replicated to each region that the
+   triangle inequality allows to hold a partner: d(x, p) <= d(x, nearest) + 2 r
+   and d(x, p) <= radius of the region + r. Regions with one component left are
+   settled; regions that do not shrink are ended by pivots alone, one after the
+   other, until all members outside the largest component have met all others.
+4. Heavy cells take the same step as a job: members are dealt to parts of
+   ``block`` rows, each with a copy of the pivots. Regions within ``most`` go to
+   step 3; after ``rounds`` steps, or when few members are outside the largest
+   component, blocks of those members meet all blocks of the cell.
+
+So every pair within r that is not in one component already is compared: the
+components are exact. No step lists the pairs of a cell; a cell whose members
+neither link nor part costs the square of its size in comparisons, in blocks.
+
+Null and word-free texts have an empty set and link with nothing; very long texts
+are taken whole. Rows without id are returned with no component. Rows that share
+an id count as one document with the links of all; repeated rows give their
+result again. Equal distances to two pivots go to the first. An empty table gives
+an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_table, materialize, slices, table, text_buffers
+from tidewater.llm.common import drop_table, materialize, salted_left_join, slices, table, text_buffers
 from tidewater.llm.graph import components
 from tidewater.llm.words import POWERS, mix, word_codes
 
 SKETCH_BITS, SALTS = 20, 8
 
 
+@dataclass(frozen=True)
+class Cells:
+    """most: members of a cell that one task joins; block: rows of a part; pivots a step; rounds: steps of heavy cells; leaf: members that need no regions."""
+
+    most: int = 2048
+    block: int = 1024
+    pivots: int = 16
+    rounds: int = 3
+    leaf: int = 48
+
+
 def shingles(raw: np.ndarray, offs: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(digests, bounds): sorted distinct shingles of every row, row i in digests[bounds[i]:bounds[i + 1]]."""
     rows = len(offs) - 1
@@ -137,209 +154,388 @@ def class_table(texts: DataFrame, sketch, size: int, num: int, den: int) -> Data
     return texts.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
 
 
-def bloom(ids: DataFrame, bits: int = 26) -> np.ndarray:
-    """Bit table of ids, of fixed size; it only saves shuffling sets that nobody asks for."""
+def bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of ids, of fixed size; it only saves shuffling rows that nobody asks for."""
     words = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("h")).groupBy((F.col("h") / 64).cast("long").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")
     )
     table_ = np.zeros((1 << bits) // 64, np.int64)
-    for row in words.collect():  # at most 2^26 / 64 words, whatever the input
-        table_[row["w"]] = row["bits"]
+    found = words.toArrow()  # at most 2^25 / 64 words of 16 bytes, whatever the input
+    table_[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     return table_
 
 
 def bloom_bits(count: int) -> int:
-    """Eight bits an id, between 2^20 and 2^26 bits in all."""
-    return min(26, max(20, (8 * count).bit_length()))
+    """Eight bits an id, between 2^16 and 2^25 bits in all; beyond that it lets more through and saves less."""
+    return min(25, max(16, (8 * count).bit_length()))
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, set): sets of the wanted ids, as uint64 bytes."""
+    """(id, set): sets of the wanted ids as sorted uint64 bytes, and of a few that were not asked for."""
     bits = bloom_bits(wanted.count())
     filter_ = texts.sparkSession.sparkContext.broadcast(bloom(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filter_.value
-        for batch in batches:
-            h = np.asarray(batch.column("h"))
-            hit = (held[h >> 6] >> (h & 63)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            for part in slices(batch, "text", 1 << 20):
+        for whole in batches:
+            h = np.asarray(whole.column("h"))
+            for part in slices(whole.filter(pa.array(((held[h >> 6] >> (h & 63)) & 1).astype(bool))), "text", 1 << 20):
                 digests, bounds = shingles(*text_buffers(part.column("text")), size)
                 yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "set": pa.array([digests[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())})
 
-    made = texts.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(run, "id long, set binary")
-    return made  # and a few that were not asked for
+    return texts.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(run, "id long, set binary")
 
 
-def only_asked(table_: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of an id table that are asked for, and a few others, without a shuffle."""
-    bits = bloom_bits(ids.count())
-    held = table_.sparkSession.sparkContext.broadcast(bloom(ids, bits))
-    columns = table_.columns
+def shared_postings(classes: DataFrame) -> DataFrame:
+    """(t, x, c, lo, h): holders x of prefix shingles t with c > 1 holders, of which lo is the least and h a digest of them all.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shingles meet once, aggregated partially; a bit table of the shared ones then
+    keeps all other postings out of the second shuffle, which is salted.
+    """
+    post = classes.select(F.explode("prefix").alias("t"), F.col("id").alias("x"))
+    marks = post.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.bit_xor(F.xxhash64("x")).alias("h")).where("c > 1")
+    marks = materialize(marks, "shared")
+    bits = bloom_bits(marks.count())
+    held = classes.sparkSession.sparkContext.broadcast(bloom(marks.select(F.col("t").alias("id")), bits))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.asarray(batch.column("h"))
-            yield batch.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))).select(columns)
+            yield batch.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))).select(["t", "x"])
 
-    return table_.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << bits))).mapInArrow(run, table_.schema)
+    likely = post.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << bits))).mapInArrow(named, "t long, x long")
+    likely = likely.withColumn("_s", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    found = materialize(likely.join(marks.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["t", "_s"]).select("t", "x", "c", "lo", "h"), "members")
+    drop_table(marks)
+    return found
 
 
-def both_sides(pairs: DataFrame, table_: DataFrame, column: str) -> DataFrame:
-    """pairs with the column of x as xs and of q as qs; a hot q spreads over SALTS tasks."""
-    hot = hot_values(pairs, "q")
-    ids = pairs.select(F.explode(F.array("x", "q")).alias("id")).distinct()
-    asked = only_asked(table_.select("id", column), ids)
-    left = pairs.join(asked.select(F.col("id").alias("x"), F.col(column).alias("xs")), "x")
-    pivots = pairs.select(F.col("q").alias("id")).distinct().join(asked, "id").select(F.col("id").alias("q"), F.col(column).alias("qs"))
-    return spread_join(left, pivots, ["q"], "x", hot)
+def cells_of(members: DataFrame, most: int) -> DataFrame:
+    """(cell, id): components over shingles of at most ``most`` holders, those beyond ``most`` members as the regions of their shingles."""
+    light = members.where(F.col("c") <= most)
+    comps = materialize(components(light.select(F.col("x").alias("a"), F.col("lo").alias("b"))), "cells")
+    wide = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("component", F.lit(True).alias("wide"))
+    named = materialize(salted_left_join(comps, wide, "component", "id"), "named-cells")
+    drop_table(comps)
+    small = named.where("wide is null").select(F.col("component").alias("cell"), "id")
+    if not named.where("wide").isEmpty():
+        inner = light.join(named.where("wide").select(F.col("id").alias("x")), "x", "left_semi")
+        regions = inner.select(F.xxhash64("c", "lo", "h").alias("cell"), F.col("x").alias("id")).distinct()  # shingles with the same holders are one region
+        small = small.unionByName(regions)
+    return small
 
 
-def possible(pairs: DataFrame, classes: DataFrame, sketch, num: int, den: int) -> DataFrame:
-    """Pairs (x, n, q, qn) that their prefixes leave possible.
+# inside one task
 
-    A prefix shingle of one side that stands before the other side's last prefix
-    shingle and is not in that prefix is not in that set at all.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = sketch.value
+class Trees:
+    """Union of members 0, 1, ..."""
 
-        def absent(a: np.ndarray, b: np.ndarray, whole: bool) -> int:
-            rest = np.setdiff1d(a, b, assume_unique=True)
-            if whole:
-                return len(rest)
-            w = logs[(rest >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            last = logs[int(b[-1] >> np.uint64(64 - SKETCH_BITS))]
-            return int(((w < last) | ((w == last) & (rest < b[-1]))).sum())
+    def __init__(self, n: int):
+        self.parent = list(range(n))
 
-        for batch in batches:
-            keep = []
-            for a, n, b, m in zip(batch.column("xs"), batch.column("n").to_pylist(), batch.column("qs"), batch.column("qn").to_pylist()):
-                a, b = (np.asarray(v.values).astype(np.int64).view(np.uint64) for v in (a, b))
-                inter = min(n - absent(a, b, len(b) == m), m - absent(b, a, len(a) == n))
-                keep.append(inter * den >= (n + m - inter) * num)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "q"])
+    def root(self, a: int) -> int:
+        parent = self.parent
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
 
-    return both_sides(pairs, classes, "prefix").select("x", "n", "q", "qn", "xs", "qs").mapInArrow(run, "x long, q long")
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, q) with inter and both sizes; a hot q spreads over SALTS tasks."""
+class Holders:
+    """Which sets hold a shingle: overlaps of any set with all of them in one count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inter, sizes = [], []
-            for a, b in zip(batch.column("xs"), batch.column("qs")):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                short, long = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                inter.append(int((long[at] == short).sum()))
-                sizes.append(len(a) + len(b))
-            yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "q": batch.column("q"), "inter": pa.array(inter, pa.int64()), "sizes": pa.array(sizes, pa.int64())})
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), self.n)
+        self.by = owner[np.argsort(at, kind="stable")]
+        self.count = np.bincount(at, minlength=len(self.tokens))
+        self.start = np.cumsum(self.count) - self.count
 
-    return both_sides(pairs, sets, "set").select("x", "q", "xs", "qs").mapInArrow(run, "x long, q long, inter long, sizes long")
+    def overlaps(self, own: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+        place = place[self.tokens[place] == own]
+        start, count = self.start[place], self.count[place]
+        runs = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.bincount(self.by[runs], minlength=len(self.n))
 
 
-def hot_values(rows: DataFrame, key: str, most: int = 20_000, limit: int = 1000) -> list:
-    """Keys with more than ``most`` rows. More than ``limit`` of them spread over the tasks by themselves, so none is named then."""
-    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select(key).limit(limit + 1).collect()
-    return [] if len(found) > limit else sorted(r[0] for r in found)
+def regions_of(d: np.ndarray, met: np.ndarray, r: float, whole: bool) -> list[np.ndarray]:
+    """Member numbers of every Voronoi region and of the remainder, boundary members replicated.
 
+    d[i, x] is the distance of x to pivot i, met[i, x] whether they share anything.
+    Without ``whole`` the members are a part of the cell, so that radii are not known.
+    """
+    near = d.argmin(0)
+    least = d[near, np.arange(d.shape[1])]
+    inside = least < 1 - r - 1e-9
+    out = []
+    for i in range(len(d)):
+        native = inside & (near == i)
+        if whole:
+            radius = d[i][native].max() if native.any() else -1.0
+            reach = d[i] <= radius + r + 1e-9
+        else:  # natives are nearer than 1 - r, so partners are nearer than 1
+            reach = met[i]
+        out.append(np.flatnonzero(native | (reach & (d[i] <= least + 2 * r + 1e-9))) if native.any() or not whole else np.zeros(0, np.int64))
+    rest = ~inside | (least >= 1 - 2 * r - 1e-9)
+    out.append(np.flatnonzero(rest) if (~inside).any() or not whole else np.zeros(0, np.int64))
+    return out
+
+
+def join_cell(sets: list[np.ndarray], num: int, den: int, cells: Cells = Cells()) -> list[tuple[int, int]]:
+    """Links (a, b) by place that connect whatever links connect within a cell."""
+    trees, links, r = Trees(len(sets)), [], 1 - num / den
+    stack = [np.arange(len(sets))]
+    while stack:
+        members = stack.pop()
+        holders, known = Holders([sets[i] for i in members.tolist()]), [-1, None]
+
+        def meet(at: int) -> np.ndarray:
+            """Compare one member with all; returns the overlaps."""
+            inter = holders.overlaps(sets[members[at]])
+            union = holders.n[at] + holders.n - inter
+            for other in np.flatnonzero((inter * den >= union * num) & (inter > 0)).tolist():
+                if trees.join(int(members[at]), int(members[other])):
+                    links.append((int(members[at]), int(members[other])))
+            return inter
+
+        def roots() -> np.ndarray:
+            if known[0] != len(links):
+                known[:] = [len(links), np.array([trees.root(i) for i in members.tolist()])]
+            return known[1]
+
+        done = np.zeros(len(members), bool)
+        if len(members) > cells.leaf:
+            inters, pivots = [], []
+            for _ in range(cells.pivots):
+                comp = roots()
+                values, counts = np.unique(comp, return_counts=True)
+                open_ = np.flatnonzero(~done & ((comp != values[counts.argmax()]) | (len(values) == len(members))))
+                if not len(open_):
+                    break
+                at = int(open_[len(open_) // 2])
+                pivots.append(at)
+                inters.append(meet(at))
+                done[at] = True
+            comp = roots()
+            if len(set(comp.tolist())) == 1:
+                continue
+            if inters:
+                inter = np.array(inters)
+                d = 1 - inter / (holders.n[pivots][:, None] + holders.n[None, :] - inter)
+                parts = [p[~done[p]] for p in regions_of(d, inter > 0, r, True)]
+                parts = [p for p in parts if len(set(comp[p].tolist())) > 1]
+                if sum(len(p) for p in parts) <= 0.9 * len(members):
+                    stack.extend(members[p] for p in parts)
+                    continue
+        while True:  # pivots alone, until all outside the largest component have met all
+            comp = roots()
+            values, counts = np.unique(comp, return_counts=True)
+            open_ = np.flatnonzero(~done & (comp != values[counts.argmax()]))
+            if not len(open_):
+                break
+            meet(int(open_[0]))
+            done[open_[0]] = True
+    return links
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], split: str | None = None) -> Iterator[pa.Table]:
+    """Rows of equal keys, which stand together; with ``split`` also cut where that column changes."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys + ([split] if split else [])]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+
+
+def cell_links(cells_: DataFrame, sets: DataFrame, num: int, den: int, cells: Cells) -> DataFrame:
+    """(a, b) of all cells within ``most`` members."""
 
-def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str, hot: list, how: str = "inner") -> DataFrame:
-    """Join on keys of which the first may be hot: rows of hot keys go to SALTS tasks, and only their partners are copied."""
-    if not hot:
-        return rows.join(small, keys, how)
-    named = F.col(keys[0]).isin(hot)
-    left = rows.withColumn("_s", F.when(named, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
-    right = small.withColumn("_s", F.explode(F.when(named, F.array(*[F.lit(i) for i in range(SALTS)])).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "_s"], how).drop("_s")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs(batches, ["cell"]):
+            ids = np.asarray(cell.column("id"))
+            found = join_cell(_sets(cell.column("set")), num, den, cells)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_pydict({"a": ids[a], "b": ids[b]})
 
+    rows = cells_.join(sets, "id").select("cell", "id", "set")
+    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "a long, b long")
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(t, x, n): members of the regions of two classes or more, one region for each distinct set of members.
 
-    Shingles meet once, as counts with a digest of their holders, aggregated
-    partially; a bit table of the shingles that name a region then keeps all
-    other postings out of the second shuffle.
-    """
-    post = classes.select(F.explode("prefix").alias("t"), F.col("id").alias("x"), "n")
-    marks = post.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.bit_xor(F.xxhash64("x")).alias("h")).where("c > 1")
-    single = materialize(marks.groupBy("c", "lo", "h").agg(F.min("t").alias("t")).select("t", "c"), "regions")
-    hot = [r["t"] for r in single.where("c > 20000").select("t").limit(1001).collect()]
-    bits = bloom_bits(single.count())
-    held = classes.sparkSession.sparkContext.broadcast(bloom(single.select(F.col("t").alias("id")), bits))
+# heavy cells
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.asarray(batch.column("h"))
-            yield batch.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))).select(["t", "x", "n"])
-
-    likely = post.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << bits))).mapInArrow(named, "t long, x long, n long")
-    return spread_join(likely, single.select("t"), ["t"], "x", hot if len(hot) <= 1000 else [])
-
-
-def join_components(classes: DataFrame, texts: DataFrame, sketch, size: int, num: int, den: int) -> DataFrame:
-    """(id, component) of the classes that link with another."""
-    members = materialize(regions(classes).select("t", "x", "n", F.col("x").alias("comp"), F.lit(None).cast("double").alias("d")), "members")
-    comps, k = None, 1
-    r, fits = 1 - num / den, F.least("n", "qn") * den >= F.greatest("n", "qn") * num
-    while not members.isEmpty():
-        hot = hot_values(members, "t")
-        # pivots: one a bucket of components, the last component of each bucket; k buckets
-        bucket = F.pmod(F.xxhash64("comp"), F.lit(k))
-        pivots = members.groupBy("t", bucket.alias("b")).agg(F.max(F.struct("comp", "x", "n", "d")).alias("p")).select("t", F.col("p.x").alias("q"), F.col("p.n").alias("qn"), F.col("p.comp").alias("qc"), F.col("p.d").alias("qd"))
-        pivots = materialize(pivots, "pivots")
-        met = spread_join(members, pivots, ["t"], "x", hot).where((F.col("comp") != F.col("qc")) & fits)
-        met = met.where(F.col("d").isNull() | F.col("qd").isNull() | (F.abs(F.col("d") - F.col("qd")) <= r + 1e-9))  # the triangle window
-        likely = materialize(met.select("x", "n", "q", "qn").distinct(), "likely-pairs")
-        pairs = materialize(possible(likely, classes, sketch, num, den), "pairs")
-        asked = materialize(pairs.select(F.explode(F.array("x", "q")).alias("id")).distinct(), "asked")
-        sets = materialize(set_table(texts, asked, size), "sets")  # only of the pairs of this round
-        far = materialize(distances(pairs, sets), "distances")
-        near = far.where(F.col("inter") * den >= (F.col("sizes") - F.col("inter")) * num)
-        edges = materialize(near.select(F.col("x").alias("a"), F.col("q").alias("b")), "links")
-        if not edges.isEmpty():  # new links join the stars of the components so far
-            old = [comps.select(F.col("id").alias("a"), F.col("component").alias("b"))] if comps is not None else []
-            comps = materialize(components(edges.unionByName(old[0]) if old else edges), "components")
-        # regions go on without their pivots, under the new components
-        left = spread_join(members, pivots.select("t", F.col("q").alias("x"), F.lit(True).alias("done")), ["t", "x"], "x", [], "left").where("done is null").drop("done")
-        if comps is not None:
-            left = left.drop("comp").join(comps.select(F.col("id").alias("x"), F.col("component").alias("comp")), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-        if k == 1:  # distances to the one pivot of the round, for the next window
-            known = far.select("x", "q", (1 - F.col("inter") / (F.col("sizes") - F.col("inter"))).alias("nd"))
-            left = spread_join(left, pivots.select("t", "q"), ["t"], "x", hot).join(known, ["x", "q"], "left").withColumn("d", F.col("nd")).drop("q", "nd")
-        left = materialize(left.select("t", "x", "n", "comp", "d"), "left")
-        open_ = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("t")
-        rest = materialize(spread_join(left, open_, ["t"], "x", hot), "members")
-        for table_ in (members, pivots, likely, pairs, asked, sets, left):
-            drop_table(table_)
-        members = rest
-        k *= 4
-    if comps is None:
-        return classes.select("id", F.col("id").alias("component")).limit(0)
-    return comps
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+
+def pivot_step(now: DataFrame, num: int, den: int, cells: Cells, round_: int) -> DataFrame:
+    """(cell, id, set, q): members in their new cells where q is null, else links (id, q). ``now`` has cell, id, set, comp, lead, size."""
+    outside = now.where("comp != lead")
+    pivots = outside.groupBy("cell", F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(cells.pivots)).alias("no")).agg(F.min_by(F.struct("id", "set", "size"), F.struct(F.xxhash64("id"), "id")).alias("p"))
+    parts = lambda size: F.ceil(F.col(size) / cells.block)
+    copies = pivots.select("cell", F.explode(F.sequence(F.lit(0), (parts("p.size") - 1).cast("int"))).alias("part"), "p.id", "p.set", F.lit(0).alias("side"))
+    dealt = now.select("cell", F.pmod(F.xxhash64("id"), parts("size")).cast("int").alias("part"), "id", "set", F.lit(1).alias("side"))
+    both = copies.unionByName(dealt).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "id")
+    r = 1 - num / den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot_ids = holders = None
+        for part in runs(batches, ["cell", "part"], "side"):
+            ids = np.asarray(part.column("id"))
+            if part.column("side")[0].as_py() == 0:
+                pivot_ids, holders = ids, Holders(_sets(part.column("set")))
+                continue
+            sets, cell = _sets(part.column("set")), part.column("cell")[0].as_py()
+            inter = np.array([holders.overlaps(s) for s in sets]).T
+            union = holders.n[:, None] + np.array([len(s) for s in sets])[None, :] - inter
+            q, x = np.nonzero((inter * den >= union * num) & (inter > 0))
+            far = pivot_ids[q] != ids[x]
+            none = pa.nulls(int(far.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(ids[x][far]), pa.nulls(len(none), pa.binary()), pa.array(pivot_ids[q][far])], names=["cell", "id", "set", "q"])
+            left = np.flatnonzero(~np.isin(ids, pivot_ids))  # pivots have met the whole cell
+            if len(left):
+                for i, at in enumerate(regions_of((1 - inter / union)[:, left], inter[:, left] > 0, r, False)):
+                    if len(at):
+                        home = int(mix(np.array([cell], np.int64).view(np.uint64) + np.uint64(i + 1 + 64 * round_)).view(np.int64)[0])
+                        rows = part.take(pa.array(left[at])).combine_chunks()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([home] * len(at), pa.int64()), rows.column("id").chunk(0), rows.column("set").chunk(0), pa.nulls(len(at), pa.int64())], names=["cell", "id", "set", "q"]
+                        )
+
+    return both.mapInArrow(run, "cell long, id long, set binary, q long")
+
+
+def block_links(now: DataFrame, num: int, den: int, cells: Cells) -> DataFrame:
+    """(a, b): members outside the largest component, in blocks, against all blocks of their cell."""
+    blocks = F.ceil(F.col("size") / cells.block).cast("int")
+    most = F.ceil(F.col("outside") / cells.block).cast("int")
+    few = now.where("comp != lead").select("cell", F.pmod(F.xxhash64("id", F.lit(11)), most).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "id", "set", "comp", F.lit(0).alias("side"))
+    every = now.select("cell", F.explode(F.sequence(F.lit(0), most - 1)).alias("i"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("j"), "id", "set", "comp", F.lit(1).alias("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = comp = holders = None
+        key = None
+        for part in runs(batches, ["cell", "i", "j"], "side"):
+            here = tuple(part.column(c)[0].as_py() for c in ("cell", "i", "j"))
+            if part.column("side")[0].as_py() == 0:
+                key, ids, comp, holders = here, np.asarray(part.column("id")), np.asarray(part.column("comp")), Holders(_sets(part.column("set")))
+                continue
+            if key != here:
+                continue
+            trees: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while trees.get(c, c) != c:
+                    c = trees[c]
+                return c
+
+            for own, x, c in zip(_sets(part.column("set")), part.column("id").to_pylist(), part.column("comp").to_pylist()):
+                inter = holders.overlaps(own)
+                near = np.flatnonzero((inter * den >= (holders.n + len(own) - inter) * num) & (inter > 0) & (comp != c)).tolist()
+                for k in near:
+                    a, b = root(int(c)), root(int(comp[k]))
+                    if a != b:
+                        trees[max(a, b)] = min(a, b)
+                        yield pa.RecordBatch.from_pydict({"a": pa.array([x], pa.int64()), "b": pa.array([int(ids[k])], pa.int64())})
+
+    both = few.unionByName(every).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "id")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def heavy_links(heavy: DataFrame, sets: DataFrame, num: int, den: int, cells: Cells) -> list[DataFrame]:
+    """Tables (a, b) of the links of cells (cell, id) with more than ``most`` members."""
+    now = materialize(heavy.join(sets, "id").select("cell", "id", "set"), "heavy")
+    found: list[DataFrame] = []
+    comps = None
+    for round_ in range(cells.rounds + 1):
+        named = now.withColumn("comp", F.col("id")) if comps is None else now.join(comps.select("id", F.col("component").alias("_c")), "id", "left").withColumn("comp", F.coalesce("_c", "id")).drop("_c")
+        counts = named.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"))
+        stats = counts.select("cell", "size", F.col("top.comp").alias("lead"), (F.col("size") - F.col("top.k")).alias("outside")).where("outside > 0")
+        ready = materialize(salted_left_join(named, stats, "cell", "id").where("size is not null"), "heavy-cells")
+        small = F.col("size") <= cells.most
+        thin = (F.col("outside") <= cells.block) if round_ < cells.rounds else F.lit(True)
+        found.append(materialize(cell_links(ready.where(small).select("cell", "id"), ready.where(small).select("id", "set").dropDuplicates(["id", "set"]), num, den, cells), "small-links"))
+        found.append(materialize(block_links(ready.where(~small & thin), num, den, cells), "block-links"))
+        wide = ready.where(~small & ~thin)
+        if round_ == cells.rounds or wide.isEmpty():
+            break
+        step = materialize(pivot_step(wide, num, den, cells, round_), "pivot-step")
+        found.append(materialize(step.where("q is not null").select(F.col("id").alias("a"), F.col("q").alias("b")), "pivot-links"))
+        comps = materialize(components(_union(found)), "heavy-components")
+        now = step.where("q is null").select("cell", "id", "set")
+    return found
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def join_components(classes: DataFrame, texts: DataFrame, size: int, num: int, den: int, cells: Cells, more: list[DataFrame]) -> DataFrame:
+    """(id, component) of the classes that link with another; ``more`` are tables of further links (a, b)."""
+    members = shared_postings(classes)
+    small = materialize(cells_of(members, cells.most), "small-cells")
+    wide = members.where(F.col("c") > cells.most)
+    heavy = None if wide.isEmpty() else materialize(components(wide.select(F.col("x").alias("a"), F.col("lo").alias("b"))).select(F.col("component").alias("cell"), "id"), "heavy-cells")
+    wanted = small.select("id") if heavy is None else small.select("id").unionByName(heavy.select("id"))
+    wanted = materialize(wanted.distinct(), "wanted")
+    sets = set_table(texts, wanted, size)
+    if more:  # ids with several rows: each of their sets once
+        sets = sets.distinct()
+    sets = materialize(sets, "sets")
+    links = [materialize(cell_links(small, sets, num, den, cells), "links"), *more]
+    if heavy is not None:
+        links += heavy_links(heavy, sets, num, den, cells)
+    drop_table(members)
+    drop_table(sets)
+    return materialize(components(_union(links)), "components")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, cells: Cells = Cells()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; documents link at J >= num / den."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, size))  # fixed size
     full = materialize(class_table(texts, sketch, size, num, den), "sets-of-rows")
+    usable = full.where("digest is not null and doc_id is not null")
     classes = (
-        full.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"), F.count(F.lit(1)).alias("copies"))
         .select("digest", "copies", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
     )
     classes = materialize(classes, "classes")
     rows = materialize(full.select("doc_id", "n", "digest"), "rows")
     drop_table(full)
-    comps = join_components(classes, texts, sketch, size, num, den)
+    # ids with several rows tie the classes of their texts together
+    several = rows.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("c > 1")
+    several = materialize(several, "several")
+    more = []
+    if not several.isEmpty():
+        tied = rows.join(several.where("lo != hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "digest").distinct()
+        more = [materialize(tied.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "ties")]
+    comps = join_components(classes, texts, size, num, den, cells, more)
     named = classes.join(comps, "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))
-    hot = [bytearray(x) for x in hot_values(rows.where("digest is not null"), "digest")]
-    out = spread_join(rows.select("digest", "doc_id", "n"), named, ["digest"], "doc_id", hot, "left")
+    out = salted_left_join(rows.select("doc_id", "n", F.coalesce("digest", F.lit(b"")).alias("digest")), named, "digest", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
