@@ -7,14 +7,19 @@ a uniform order -1. Code lengths are exact under those statistics; the shortest
 total wins, and the score is the winner's posterior at equal priors.
 
 Context rows of all languages stand in one table, so that a text is scored by
-one gather a byte. Rows are the ``max_contexts`` most frequent order-3 contexts
-of the training rows, and all order-2 contexts behind them.
+one gather a byte. Rows are all order-3 contexts of the training rows, and all
+order-2 contexts behind them. The table grows with the distinct contexts of the
+sample, not with the corpus.
 
 Training reads at most about ``train_rows`` rows a language, chosen by a hash of
-the identifier; every text is predicted whole. Null texts and texts without a
-letter give ``und`` with score 0. Ties go to the first language in order of
-name. With no training rows everything is ``und``. Repeated rows give their
-result again; other columns are ignored.
+the identifier; every text is predicted whole, very long ones too, in pieces of
+memory bounded by the longest text. Null texts and texts without a letter give
+``und`` with score 0. Ties go to the first language in order of name. With no
+training rows everything is ``und``, and an empty table gives an empty table.
+Repeated rows give their result again, rows without an identifier too; other
+columns are ignored, whatever their names.
+
+Only the text goes to Python; the rows themselves stay in the JVM.
 """
 
 from __future__ import annotations
@@ -33,16 +38,6 @@ LETTER = re.compile(r"[^\W\d_]")
 SPACE = 32
 
 
-def fold_table() -> np.ndarray:
-    """Byte classes: ASCII letters in lower case, one class each for digits and all else of ASCII."""
-    lut = np.arange(256, dtype=np.uint8)
-    lut[:128] = SPACE
-    for c in range(26):
-        lut[65 + c] = lut[97 + c] = 97 + c
-    lut[48:58] = 48
-    return lut
-
-
 def padded(raw: np.ndarray, offs: np.ndarray, order: int, lut: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all rows with ``order`` pads before each, and where each row's bytes begin."""
     n, rows = len(raw), len(offs) - 1
@@ -54,8 +49,8 @@ def padded(raw: np.ndarray, offs: np.ndarray, order: int, lut: np.ndarray, pad:
 
 
 def gram_counts(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 4-grams of folded bytes, the first three of them context, and their counts."""
-    seq, starts = padded(raw, offs, 3, fold_table(), SPACE)
+    """Distinct 4-grams of bytes, the first three of them context, and their counts."""
+    seq, starts = padded(raw, offs, 3, np.arange(256, dtype=np.uint8), SPACE)
     at = np.arange(len(raw)) + np.repeat(starts - offs[:-1], np.diff(offs))
     s = seq.astype(np.uint32)
     return np.unique((s[at - 3] << 24) | (s[at - 2] << 16) | (s[at - 1] << 8) | s[at], return_counts=True)
@@ -64,9 +59,8 @@ def gram_counts(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class ContextTables:
     """Frozen code lengths: rows[context] * symbols + symbol -> bits for every language."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray, max_contexts: int):
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray):
         self.langs = langs
-        fold = fold_table()
         weight = np.bincount(gram & 255, weights=count, minlength=256)
         seen = [b for b in range(256) if weight[b] > 0 or b == SPACE]
         symbols = {b: i for i, b in enumerate(seen)}
@@ -74,12 +68,13 @@ class ContextTables:
         lut = np.full(256, a - 1, np.uint8)
         for b, i in symbols.items():
             lut[b] = i
-        self.lut, self.pad = lut[fold], int(symbols[SPACE])
+        self.lut, self.pad = lut, int(symbols[SPACE])
+        bytes_of = np.ones(a)  # bytes that a symbol stands for
+        bytes_of[-1] = 256 - len(seen)
         c3, c2, c1, c0 = (lut[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0))
         ctx3 = (c3 * a + c2) * a + c1
         total = np.bincount(ctx3, weights=count, minlength=a**3)
         top = np.flatnonzero(total)
-        top = np.sort(top[np.lexsort((top, -total[top]))][:max_contexts])
         self.rows = (np.arange(a**3) % (a * a)).astype(np.int32)  # the order-2 row of each context
         self.rows[top] = a * a + np.arange(len(top))
         n_rows = a * a + len(top)
@@ -94,14 +89,14 @@ class ContextTables:
             long = place >= a * a
             order3 = np.bincount((place[long] - a * a) * a + m0[long], weights=n[long], minlength=len(top) * a).reshape(len(top), a)
             back2 = np.arange(a * a)
-            self.bits[k, : a * a * a] = self._cost([order2, order1[back2 % a], order0]).ravel()
+            self.bits[k, : a * a * a] = self._cost([order2, order1[back2 % a], order0], bytes_of).ravel()
             for at in range(0, len(top), 4096):
                 part = top[at : at + 4096]
-                cost = self._cost([order3[at : at + 4096], order2[part % (a * a)], order1[part % a], order0])
+                cost = self._cost([order3[at : at + 4096], order2[part % (a * a)], order1[part % a], order0], bytes_of)
                 self.bits[k, (a * a + at) * a : (a * a + at + len(part)) * a] = cost.ravel()
 
     @staticmethod
-    def _cost(orders: list[np.ndarray]) -> np.ndarray:
+    def _cost(orders: list[np.ndarray], bytes_of: np.ndarray) -> np.ndarray:
         """PPM-C with exclusions, for many contexts at once."""
         shape = np.broadcast_shapes(*(o.shape for o in orders))
         p, mass, out = np.zeros(shape), np.ones((shape[0], 1)), np.zeros(shape, bool)
@@ -112,7 +107,7 @@ class ContextTables:
             p += mass * n / bottom
             mass = np.where(total > 0, mass * kinds / bottom, mass)
             out |= n > 0
-        rest = np.maximum((~out).sum(1, keepdims=True), 1)
+        rest = np.maximum(np.where(out, 0.0, bytes_of).sum(1, keepdims=True), 1)
         p += np.where(out, 0.0, mass / rest)
         return -np.log2(np.maximum(p, 1e-30))
 
@@ -136,7 +131,7 @@ class ContextTables:
         return out
 
 
-def train(rows: DataFrame, lang_col: str, text_col: str, id_col: str, train_rows: int, max_contexts: int) -> ContextTables | None:
+def train(rows: DataFrame, lang_col: str, text_col: str, id_col: str, train_rows: int) -> ContextTables | None:
     """Count the trees over a bounded, hash-chosen sample of the labelled rows."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row a language
@@ -163,50 +158,56 @@ def train(rows: DataFrame, lang_col: str, text_col: str, id_col: str, train_rows
     )
     langs = sorted(sizes)
     code = {name: i for i, name in enumerate(langs)}
-    return ContextTables(langs, grams["lang"].map(code).to_numpy(), grams["gram"].to_numpy(), grams["n"].to_numpy(), max_contexts)
+    return ContextTables(langs, grams["lang"].map(code).to_numpy(), grams["gram"].to_numpy(), grams["n"].to_numpy())
+
+
+PREDICTION = "struct<lang_pred: string, score: double, bits_per_byte: double>"
+ASCII_LETTERS = np.zeros(256, bool)
+ASCII_LETTERS[65:91] = ASCII_LETTERS[97:123] = True
+
+
+def predict(tables: ContextTables | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of every text."""
+    raw, offs = text_buffers(texts)
+    n, lens = len(texts), np.diff(offs)
+    names, score, rate = np.array(["und"] * n, dtype=object), np.zeros(n), np.zeros(n)
+    if tables is None or not len(raw):
+        return names, score, rate
+    sums = np.concatenate([[0], np.cumsum(ASCII_LETTERS[raw])])
+    letters = sums[offs[1:]] > sums[offs[:-1]]
+    for i in np.flatnonzero(~letters & (lens > 0)).tolist():
+        letters[i] = bool(LETTER.search(raw[offs[i] : offs[i + 1]].tobytes().decode()))
+    bits = tables.totals(raw, offs)
+    gap = bits - bits.min(1, keepdims=True)
+    posterior = 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(1)
+    names[letters] = np.array(tables.langs, dtype=object)[bits.argmin(1)[letters]]
+    score[letters] = posterior[letters]
+    rate[letters] = bits.min(1)[letters] / lens[letters]
+    return names, score, rate
 
 
 def identify(
     docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    train_rows: int = 2000, max_contexts: int = 20_000, keep: list[str] | None = None,
+    train_rows: int = 2000, keep: list[str] | None = None,
 ) -> DataFrame:
     """docs with lang_pred, score and bits_per_byte; ``training`` has the labelled rows.
 
     ``keep`` names the columns of docs to return, by default its identifier.
     """
-    tables = train(training, lang_col, text_col, id_col, train_rows, max_contexts)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(tables)
-    keep = [id_col] if keep is None else keep
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    out = schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    model = docs.sparkSession.sparkContext.broadcast(train(training, lang_col, text_col, id_col, train_rows))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = model.value
         for whole in batches:
-            for batch in slices(whole, "_text", 2 << 20):
-                raw, offs = text_buffers(batch.column("_text"))
-                n = batch.num_rows
-                lens = np.diff(offs)
-                names, score, rate = np.array(["und"] * n, dtype=object), np.zeros(n), np.zeros(n)
-                if tables is not None and len(raw):
-                    ascii_letter = np.zeros(256, bool)
-                    ascii_letter[65:91] = ascii_letter[97:123] = True
-                    sums = np.concatenate([[0], np.cumsum(ascii_letter[raw])])
-                    letters = sums[offs[1:]] > sums[offs[:-1]]
-                    for i in np.flatnonzero(~letters & (lens > 0)).tolist():
-                        letters[i] = bool(LETTER.search(raw[offs[i] : offs[i + 1]].tobytes().decode()))
-                    bits = tables.totals(raw, offs)
-                    best = bits.argmin(1)
-                    gap = bits - bits.min(1, keepdims=True)
-                    posterior = 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(1)
-                    names[letters] = np.array(tables.langs, dtype=object)[best[letters]]
-                    score[letters] = posterior[letters]
-                    rate[letters] = bits.min(1)[letters] / lens[letters]
-                columns = {c: batch.column(c) for c in keep}
-                yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names, pa.string()), "score": score, "bits_per_byte": rate})
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(predict, out)
+            found = [predict(tables, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", 1 << 20)]
+            names, score, rate = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["lang_pred", "score", "bits_per_byte"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    judged = F.arrow_udf(run, PREDICTION).asNondeterministic()  # so that a filter on the result does not run it again
+    keep = [id_col] if keep is None else keep
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), judged(F.col(f"`{text_col}`").cast("string")).alias("found"))
+    return found.select("kept.*", "found.*")
 
 
 def fold_of(id_col: str) -> F.Column:
