@@ -86,6 +86,48 @@ def test_jaccard_against_brute_force(spark):
     assert got == brute_jaccard(rows)
 
 
+def near_copies(rng, bases, copies, words, edits):
+    """Groups of edited copies, some of which link only through others."""
+    vocab = [f"w{k}" for k in range(400)]
+    rows = []
+    for _ in range(bases):
+        base = rng.choices(vocab, k=words)
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                own[rng.randrange(words)] = rng.choice(vocab)
+            rows.append((len(rows) + 1, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("cells", [jaccard.Cells(), jaccard.Cells(most=4, block=4, pivots=3, rounds=2, leaf=3), jaccard.Cells(most=12, block=5, pivots=2, rounds=0, leaf=2)])
+def test_jaccard_cells_of_every_kind(spark, cells):
+    """Small, split and heavy cells give the components of brute force."""
+    rows = near_copies(random.Random(3), 5, 25, 90, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows), cells=cells).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_jaccard_one_cell_in_one_task():
+    rng = random.Random(4)
+    rows = near_copies(rng, 6, 40, 120, 8)
+    codes: dict = {}
+    sets = [np.array(sorted(codes.setdefault(s, len(codes) + 1) for s in shingle_set(t)), np.uint64) for _, t in rows]
+    for cells in (jaccard.Cells(), jaccard.Cells(leaf=2, pivots=4), jaccard.Cells(leaf=10_000)):
+        u = Union()
+        for a, b in jaccard.join_cell(sets, 4, 5, cells):
+            u.join(rows[a][0], rows[b][0])
+        assert {i: u.find(i) for i, _ in rows} == {i: c for i, (_, c) in brute_jaccard(rows).items()}
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[1]), (5, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[2]), (9, texts[2])]
+    got = jaccard.jaccard_components(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (5, 1), (7, 7), (9, 7)}
+
+
 def test_jaccard_awkward(spark):
     rows = jaccard.jaccard_components(docs_of(spark, AWKWARD)).collect()
     assert len(rows) == len(AWKWARD)
@@ -164,11 +206,21 @@ def test_decontamination_against_brute_force(spark):
 def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(1, "word")], "item_id long, text string")
     rows = decontam.decontaminate(docs_of(spark, AWKWARD), bench).collect()
-    assert len(rows) == len(AWKWARD) - 1 and {r.doc_id: r.contaminated for r in rows}[4]
+    assert len(rows) == len(AWKWARD) and {r.doc_id: r.contaminated for r in rows}[4]
     assert decontam.decontaminate(docs_of(spark, AWKWARD).limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontam.decontaminate(docs_of(spark, AWKWARD), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_judges_every_row_by_its_own_text(spark, most):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    rows = [(None, "a b c"), (None, "d e f"), (None, "one two three"), (8, "clean text here"), (8, "so one two three"), (9, "same"), (9, "same")]
+    found = decontam.decontaminate(docs_of(spark, rows), bench, max_broadcast=most).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in found) == [(0, 3, 0, False), (0, 3, 0, False), (0, 3, 3, True), (8, 3, 0, False), (8, 4, 3, True), (9, 1, 0, False), (9, 1, 0, False)]
+    kept = decontam.remove_contaminated(docs_of(spark, rows), bench, max_broadcast=most).collect()
+    assert sorted((r.doc_id or 0, r.text, r.hits) for r in kept) == [(0, "a b c", "z"), (0, "d e f", "z"), (8, "clean text here", "z"), (9, "same", "z"), (9, "same", "z")]
+
+
 def test_secrets_against_brute_force(spark):
     token = "c0ffee00d15ea5e5c0ffee00d15ea5e5"
     rows = [
@@ -312,9 +364,55 @@ def test_language_id(spark, sf_dir):
 
 def test_ppm_costs_are_probabilities():
     grams = np.array([(97 << 24) | (98 << 16) | (99 << 8) | c for c in (97, 98)] + [(98 << 24) | (99 << 16) | (97 << 8) | 98])
-    t = langid.ContextTables(["x"], np.zeros(3, int), grams, np.array([3, 1, 2]), 10)
+    t = langid.ContextTables(["x"], np.zeros(3, int), grams, np.array([3, 1, 2]))
     rows = t.bits[0].reshape(-1, t.symbols).astype(float)
-    assert np.all(np.exp2(-rows).sum(1) < 1 + 1e-5) and np.all(np.exp2(-rows).sum(1) > 0.5)
+    stands_for = np.array([1] * (t.symbols - 1) + [257 - t.symbols])
+    assert np.allclose((np.exp2(-rows) * stands_for).sum(1), 1, atol=1e-4)
+
+
+def ppm_bits(training, text):
+    """PPM-C of order 3 with exclusions, byte by byte: the definition."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in training:
+        b = b"   " + t.encode()
+        for i in range(3, len(b)):
+            for order in range(4):
+                counts[b[i - order : i]][b[i]] += 1
+    bits, b = 0.0, b"   " + text.encode()
+    for i in range(3, len(b)):
+        p, out = 1.0, set()
+        for order in (3, 2, 1, 0):
+            seen = {c: n for c, n in counts[b[i - order : i]].items() if c not in out} if b[i - order : i] in counts else {}
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if b[i] in seen:
+                p *= seen[b[i]] / total
+                break
+            p *= len(seen) / total
+            out |= set(seen)
+        else:
+            p /= 256 - len(out)
+        bits -= math.log2(p)
+    return bits
+
+
+def test_ppm_against_the_definition():
+    rng = random.Random(6)
+    kinds = {"a": "the cat sat on The mat, 12 times. ", "b": "où est le chat? été 3 "}
+    training = {k: ["".join(rng.choices(v, k=80)) for _ in range(6)] + [v] for k, v in kinds.items()}
+    parts = []
+    for k, name in enumerate(sorted(training)):
+        for t in training[name]:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            grams, n = langid.gram_counts(raw, np.array([0, len(raw)]))
+            parts += [(k, int(g), int(c)) for g, c in zip(grams, n)]
+    lang, gram, n = (np.array(x) for x in zip(*parts))
+    tables = langid.ContextTables(sorted(training), lang, gram, n)
+    for text in [*kinds.values(), "The hat", "", "ß$ unseen", "x", "THE CAT 99"]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = tables.totals(raw, np.array([0, len(raw)]))[0]
+        assert np.allclose(got, [ppm_bits(training[k], text) for k in sorted(training)], rtol=1e-4), text
 
 
 def test_quality(spark, sf_dir):

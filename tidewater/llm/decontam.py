@@ -6,11 +6,15 @@ fewer words, but not none, is one window of its own length. The set of windows
 is broadcast as a hash set inside the plan when it holds no more than
 ``max_broadcast`` texts, and every window of a document is looked up in it by its
 whole normalised text, so that a hit is verified as it is found. Beyond that
-size windows become rows and meet the items in a shuffled join.
-
-Nulls have no words; empty texts neither. Items without words match nothing. A
-repeated item id joins its texts' windows; a document row repeated with the same
-id and text is returned once. Other columns pass through ``remove_*`` only.
+size windows become rows and meet the items in a shuffled join; the results are
+the same.
+
+Every row of the documents gives one row, judged by its own text: rows without
+id, rows that repeat an id and rows that repeat id and text as well. Nulls have
+no words; empty texts neither; very long texts are taken whole. Items without
+words match nothing. A repeated item id joins its texts' windows. An empty table
+of documents gives an empty table, an empty benchmark hits nothing. Other columns
+pass through ``remove_contaminated`` only, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import salted_left_join, table
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,21 +51,24 @@ def item_windows(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Da
     return words.select("item_id", size.alias("size"), F.explode(whole).alias("window")).distinct()
 
 
-def scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
-    """(doc_id, words, hits): hits are (start from 1, size, window) of every occurrence."""
+MAX_BROADCAST = 10_000  # window texts in the plan, about a megabyte
+
+
+def scan(docs: DataFrame, windows: DataFrame, row: str, text_col: str, max_broadcast: int) -> DataFrame:
+    """(row, words, hits) for every row of docs: hits are (start from 1, size, window) of every occurrence."""
     few = windows.select("size", "window").distinct().limit(max_broadcast + 1).collect()  # bounded by max_broadcast
     by_size: dict[int, list[str]] = {}
-    for row in few:
-        by_size.setdefault(row["size"], []).append(row["window"])
-    docs = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    for found in few:
+        by_size.setdefault(found["size"], []).append(found["window"])
+    docs = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
     if len(few) > max_broadcast:
         return _scan_joined(docs, windows, sorted({r["size"] for r in windows.select("size").distinct().collect()}))
 
     def hits_of(words: Column) -> Column:
         return reduce(lambda x, y: F.concat(x, y), [_hits_of_size(words, size, texts) for size, texts in sorted(by_size.items())], _no_hits())
 
-    both = bind(F.col("words"), lambda w: F.struct(w.alias("words"), hits_of(w).alias("hits")))
-    return docs.select("doc_id", both.alias("x")).select("doc_id", "x.words", "x.hits")
+    both = bind(words_of(F.col("text")), lambda w: F.struct(w.alias("words"), hits_of(w).alias("hits")))
+    return docs.select("row", both.alias("x")).select("row", "x.words", "x.hits")
 
 
 def bind(value: Column, body) -> Column:
@@ -86,13 +93,13 @@ def _no_hits() -> Column:
 
 
 def _scan_joined(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """The same with windows as rows, for item sets too large to broadcast; the documents' own text stays out of the shuffle."""
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("words").alias("h")))
+    """The same with windows as rows, for item sets too large to broadcast; texts meet their hits by digest."""
+    keyed = docs.select("row", words_of(F.col("text")).alias("words")).withColumn("key", F.unhex(F.sha2(F.concat_ws(" ", "words"), 256)))
     made = bind(F.col("words"), lambda w: F.concat(*[_numbered(w, size) for size in sizes]))
-    rows = keyed.select("_row", F.explode(made).alias("x"))
+    rows = keyed.select("key", F.explode(made).alias("x"))
     hit = rows.join(windows.select(F.col("window").alias("_w")).distinct(), F.col("x.window") == F.col("_w"), "left_semi")
-    hits = hit.groupBy("_row").agg(F.sort_array(F.collect_set("x")).alias("hits"))
-    return keyed.join(hits, "_row", "left").select("doc_id", "words", F.coalesce("hits", _no_hits()).alias("hits"))
+    hits = hit.groupBy("key").agg(F.sort_array(F.collect_set("x")).alias("hits"))  # at most the windows of one text
+    return salted_left_join(keyed, hits, "key", "row").select("row", "words", F.coalesce("hits", _no_hits()).alias("hits"))
 
 
 def hit_positions(hits: Column) -> Column:
@@ -102,41 +109,35 @@ def hit_positions(hits: Column) -> Column:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", max_broadcast: int = 200_000,
+    item_col: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
     windows = item_windows(benchmark, n, item_col, item_text)
     found = scan(docs, windows, id_col, text_col, max_broadcast).select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.size(hit_positions(F.col("hits"))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("found"),
+        F.col("row").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(hit_positions(F.col("hits"))).cast("long").alias("n_hit"),
+        F.concat_ws("\n", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["window"])))).alias("found"),
     )
-    # hits are few: each distinct window of a document meets its items, and the ids come together by document
-    items = (
-        found.withColumn("_found", F.xxhash64("found")).withColumn("window", F.explode_outer("found")).drop("found")
-        .join(windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")), "window", "left")
-        .withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
-        .groupBy("doc_id", "n_words", "n_hit", "_found").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-    )
-    return items.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    # each different set of windows meets its items once, and rows meet the items of their set; most rows have none
+    owners = windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    sets = found.where("found != ''").select("found").distinct().withColumn("window", F.explode(F.split("found", "\n")))
+    items = sets.join(owners, "window").groupBy("found").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    out = salted_left_join(found, items, "found", "doc_id").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000) -> DataFrame:
-    """docs without the rows that hold a benchmark window."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """docs without the rows that hold a benchmark window, each judged by its own text."""
     windows = item_windows(benchmark, n, "item_id", "text")
-    few = windows.select("size", "window").distinct().limit(max_broadcast + 1).collect()
-    if len(few) > max_broadcast:
-        bad = decontaminate(docs, benchmark, n, id_col, text_col, max_broadcast=max_broadcast).where("contaminated").select(F.col("doc_id").alias("_bad"))
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
     clean = scan(docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text")), windows, "_doc", "_text", max_broadcast)
-    return clean.where(F.size("hits") == 0).select("doc_id.*")
+    return clean.where(F.size("hits") == 0).select("row.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 200_000) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc_id, text) with the words of hits taken out; what is left is the normalised words, one space apart."""
     found = scan(docs, item_windows(benchmark, n, "item_id", "text"), id_col, text_col, max_broadcast)
     places = F.sequence(F.lit(1), F.size("words"))
     kept = F.when(F.size("words") > 0, F.array_except(places, hit_positions(F.col("hits"))))
-    return found.select("doc_id", bind(F.col("words"), lambda w: F.concat_ws(" ", F.transform(kept, lambda i: F.element_at(w, i)))).alias("text"))
+    return found.select(F.col("row").alias("doc_id"), bind(F.col("words"), lambda w: F.concat_ws(" ", F.transform(kept, lambda i: F.element_at(w, i)))).alias("text"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
