@@ -17,28 +17,42 @@ from tidewater.llm.common import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from rows of the training folds; rows with lang_pred 'und' go."""
-    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # whatever the columns are called
+    """Learns from rows of the training folds; rows with lang_pred 'und' go: null texts and texts without a letter.
+
+    Rows without doc_id are judged like others; repeated rows all stay or all go.
+    """
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # whatever the columns are called; the row itself stays in the JVM
     found = langid.identify(whole, docs.where(langid.fold_of("doc_id") != 1), keep=["_row"])
     return found.where("lang_pred != 'und'").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of repeated runs of lines; a row whose text the cuts empty goes, n_chars is counted anew.
+
+    Null and empty texts have no lines and stay as they are; repeated rows are told apart by the operator's order.
+    """
     found = linededup.dedup_lines(docs).where("not emptied")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = jaccard.jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(materialize(others, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the least doc_id stays.
+
+    Rows without doc_id or without words link with nothing and stay; rows that
+    repeat one doc_id are one document and stay or go together.
+    """
+    others = materialize(jaccard.jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.select(F.struct("*").alias("_row"), "doc_id").join(others, "doc_id", "left_anti")
+    return kept.select("_row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark window go, each judged by its own text; null and empty texts stay."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens."""
+    """doc_id, ids, n_tokens of every row; null and empty texts have no ids."""
     return pieces.token_table(pieces.encode(docs))
 
 
