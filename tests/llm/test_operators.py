@@ -108,6 +108,14 @@ def test_jaccard_cells_of_every_kind(spark, cells):
     assert got == brute_jaccard(rows)
 
 
+def test_jaccard_without_the_bit_table(spark, monkeypatch):
+    """More shared shingles than the bit table is for: the same result by joins."""
+    monkeypatch.setattr(jaccard, "BLOOM_BITS", 6)
+    rows = near_copies(random.Random(5), 4, 12, 80, 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == brute_jaccard(rows)
+
+
 def test_jaccard_one_cell_in_one_task():
     rng = random.Random(4)
     rows = near_copies(rng, 6, 40, 120, 8)

@@ -4,11 +4,13 @@ A document's set holds its distinct shingles of five words as 64-bit digests.
 Jaccard distance d = 1 - J is a metric, and documents link at d <= r = 0.2.
 Equal sets are one class, so copies are never compared.
 
-1. A globally fixed order of shingles (rare ones first, by a frequency sketch of
-   fixed size) gives each class a prefix of n - ceil(0.8 n) + 1 shingles, and two
-   classes within r share one of them. Without this step Voronoi regions would say
-   nothing: texts that share no shingle are at distance 1 from each other and from
-   every pivot.
+1. A globally fixed order of shingles (frequent ones last, by a frequency sketch
+   of fixed size, then by digest) gives each class a prefix of
+   n - ceil(0.8 n) + l(n) shingles, l(n) = 1 + 3 n / 100. Two classes within r
+   share as many of them as the lesser l says, so a class with fewer shared
+   prefix shingles than l(0.8 n) links with nothing and leaves. Without this step
+   Voronoi regions would say nothing: texts that share no shingle are at distance
+   1 from each other and from every pivot.
 2. Classes joined by shared prefix shingles form cells: the components over
    shingles with at most ``most`` holders. A component beyond ``most`` members is
    split into the regions of its shingles, each within ``most``. The holders of
@@ -124,12 +126,22 @@ def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
+def lead(n):
+    """Prefix shingles that a set of n shares with a linked set of its size or more, at least."""
+    return 1 + 3 * n // 100
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+    return n - -(-num * n // den) + lead(n)
+
+
+def least_shared(n, num: int, den: int):
+    """Prefix shingles that a set of n shares with any linked set, at least: the lead of the smallest one."""
+    return lead(-(-num * n // den))
 
 
 def class_table(texts: DataFrame, sketch, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, prefix): set size, digest of the set, prefix shingles in the order of the sketch."""
+    """(doc_id, n, digest, code, prefix): set size, digest of the set, 64 bits of it, prefix shingles in the order of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = sketch.value
@@ -148,32 +160,36 @@ def class_table(texts: DataFrame, sketch, size: int, num: int, den: int) -> Data
                     order = np.lexsort((own, weight[bounds[i] : bounds[i + 1]]))[: prefix_length(len(own), num, den)]
                     prefixes.append(own[order].view(np.int64).tolist())
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id"), "n": np.diff(bounds), "digest": pa.array(sums, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                    "doc_id": batch.column("doc_id"), "n": np.diff(bounds), "digest": pa.array(sums, pa.binary()),
+                    "code": pa.array([None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in sums], pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                 })
 
-    return texts.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, digest binary, code long, prefix array<long>")
 
 
-def bloom(ids: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of ids, of fixed size; it only saves shuffling rows that nobody asks for."""
-    words = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("h")).groupBy((F.col("h") / 64).cast("long").alias("w")).agg(
+def bloom(places: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of places h below 2^bits, of fixed size; it only saves shuffling rows that nobody asks for."""
+    words = places.groupBy((F.col("h") / 64).cast("long").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")
     )
     table_ = np.zeros((1 << bits) // 64, np.int64)
-    found = words.toArrow()  # at most 2^25 / 64 words of 16 bytes, whatever the input
+    found = words.toArrow()  # at most 2^BLOOM_BITS / 64 words of 16 bytes, whatever the input
     table_[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     return table_
 
 
+BLOOM_BITS = 27  # 16 MB
+
+
 def bloom_bits(count: int) -> int:
-    """Eight bits an id, between 2^16 and 2^25 bits in all; beyond that it lets more through and saves less."""
-    return min(25, max(16, (8 * count).bit_length()))
+    """Eight bits an id, between 2^16 and 2^BLOOM_BITS bits in all."""
+    return min(BLOOM_BITS, max(16, (8 * count).bit_length()))
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, set): sets of the wanted ids as sorted uint64 bytes, and of a few that were not asked for."""
-    bits = bloom_bits(wanted.count())
-    filter_ = texts.sparkSession.sparkContext.broadcast(bloom(wanted, bits))
+    bits = bloom_bits(wanted.count())  # past the bound it lets more through and saves less
+    filter_ = texts.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("h")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filter_.value
@@ -186,41 +202,63 @@ def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(run, "id long, set binary")
 
 
-def shared_postings(classes: DataFrame) -> DataFrame:
-    """(t, x, c, lo, h): holders x of prefix shingles t with c > 1 holders, of which lo is the least and h a digest of them all.
+def shared_by(postings: DataFrame) -> DataFrame:
+    """(t, c, lo, hi) of the shingles t of two classes x or more; partially aggregated, so that a hot shingle is no hot task."""
+    return postings.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi")
+
+
+def shared_postings(full: DataFrame, num: int, den: int) -> DataFrame:
+    """(t, x): prefix shingles t that several classes hold and their holders, without classes that hold too few.
 
-    Shingles meet once, aggregated partially; a bit table of the shared ones then
-    keeps all other postings out of the second shuffle, which is salted.
+    Shingles meet once, without their holders. While a bit table of the shared ones
+    is within its bound it keeps all other postings out of any further shuffle;
+    beyond it they are joined.
     """
-    post = classes.select(F.explode("prefix").alias("t"), F.col("id").alias("x"))
-    marks = post.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.bit_xor(F.xxhash64("x")).alias("h")).where("c > 1")
-    marks = materialize(marks, "shared")
-    bits = bloom_bits(marks.count())
-    held = classes.sparkSession.sparkContext.broadcast(bloom(marks.select(F.col("t").alias("id")), bits))
+    full = full.where("code is not null and doc_id is not null")
+    post = full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"))
+    shared = materialize(shared_by(post).select("t"), "shared")
+    count = shared.count()
+    if 4 * count > 1 << BLOOM_BITS:
+        both = _salted(full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"), "n").distinct(), shared)
+        enough = both.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 1 + F.floor(3 * F.ceil(num * F.col("n") / den) / 100)).select("x")
+        return materialize(both.join(enough, "x", "left_semi").select("t", "x"), "members")
+    bits = bloom_bits(count)
+    held = full.sparkSession.sparkContext.broadcast(bloom(shared.select(F.col("t").bitwiseAND(F.lit((1 << bits) - 1)).alias("h")), bits))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.asarray(batch.column("h"))
-            yield batch.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))).select(["t", "x"])
+        table_ = held.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                prefix, n = batch.column("prefix"), np.asarray(batch.column("n"))
+                values, ends = np.asarray(prefix.flatten()), np.cumsum(np.asarray(prefix.value_lengths()))
+                h = values & ((1 << bits) - 1)
+                hit = ((table_[h >> 6] >> (h & 63)) & 1).astype(bool)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+                some = np.bincount(owner[hit], minlength=batch.num_rows) >= least_shared(n, num, den)
+                keep = hit & some[owner]
+                yield pa.RecordBatch.from_pydict({"t": values[keep], "x": np.asarray(batch.column("code"))[owner[keep]]})
+
+    return materialize(full.select("prefix", "n", "code").mapInArrow(named, "t long, x long").distinct(), "members")
 
-    likely = post.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << bits))).mapInArrow(named, "t long, x long")
-    likely = likely.withColumn("_s", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-    found = materialize(likely.join(marks.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["t", "_s"]).select("t", "x", "c", "lo", "h"), "members")
-    drop_table(marks)
-    return found
+
+def _salted(postings: DataFrame, marks: DataFrame) -> DataFrame:
+    """Postings with the columns of their shingle; the holders of a hot one spread over SALTS tasks."""
+    left = postings.withColumn("_s", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    return left.join(marks.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["t", "_s"]).drop("_s")
 
 
 def cells_of(members: DataFrame, most: int) -> DataFrame:
-    """(cell, id): components over shingles of at most ``most`` holders, those beyond ``most`` members as the regions of their shingles."""
+    """(cell, x): components over shingles of at most ``most`` holders, those beyond ``most`` members as the regions of their shingles."""
     light = members.where(F.col("c") <= most)
     comps = materialize(components(light.select(F.col("x").alias("a"), F.col("lo").alias("b"))), "cells")
     wide = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("component", F.lit(True).alias("wide"))
     named = materialize(salted_left_join(comps, wide, "component", "id"), "named-cells")
     drop_table(comps)
-    small = named.where("wide is null").select(F.col("component").alias("cell"), "id")
+    small = named.where("wide is null").select(F.col("component").alias("cell"), F.col("id").alias("x"))
     if not named.where("wide").isEmpty():
         inner = light.join(named.where("wide").select(F.col("id").alias("x")), "x", "left_semi")
-        regions = inner.select(F.xxhash64("c", "lo", "h").alias("cell"), F.col("x").alias("id")).distinct()  # shingles with the same holders are one region
+        regions = inner.select(F.xxhash64("c", "lo", "hi").alias("cell"), "x").distinct()  # shingles with the same holders are one region
         small = small.unionByName(regions)
     return small
 
@@ -493,23 +531,31 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def join_components(classes: DataFrame, texts: DataFrame, size: int, num: int, den: int, cells: Cells, more: list[DataFrame]) -> DataFrame:
-    """(id, component) of the classes that link with another; ``more`` are tables of further links (a, b)."""
-    members = shared_postings(classes)
-    small = materialize(cells_of(members, cells.most), "small-cells")
+def join_components(full: DataFrame, classes: DataFrame, texts: DataFrame, size: int, num: int, den: int, cells: Cells, more: list[DataFrame]) -> DataFrame:
+    """(id, component) of the documents that link with another class; ``more`` are tables of further links (a, b)."""
+    found = shared_postings(full, num, den)
+    marks = materialize(shared_by(found), "shared")  # once more: holders of too few have left
+    members = materialize(_salted(found, marks), "postings")
+    drop_table(found)
+    drop_table(marks)
+    named = classes.select(F.col("code").alias("x"), "id")
+    small = materialize(cells_of(members, cells.most).join(named, "x").select("cell", "id"), "small-cells")
     wide = members.where(F.col("c") > cells.most)
-    heavy = None if wide.isEmpty() else materialize(components(wide.select(F.col("x").alias("a"), F.col("lo").alias("b"))).select(F.col("component").alias("cell"), "id"), "heavy-cells")
+    heavy = None
+    if not wide.isEmpty():
+        comps = components(wide.select(F.col("x").alias("a"), F.col("lo").alias("b"))).select(F.col("component").alias("cell"), F.col("id").alias("x"))
+        heavy = materialize(comps.join(named, "x").select("cell", "id"), "heavy-cells")
     wanted = small.select("id") if heavy is None else small.select("id").unionByName(heavy.select("id"))
     wanted = materialize(wanted.distinct(), "wanted")
     sets = set_table(texts, wanted, size)
     if more:  # ids with several rows: each of their sets once
         sets = sets.distinct()
-    sets = materialize(sets, "sets")
+    if heavy is not None:
+        sets = materialize(sets, "sets")
     links = [materialize(cell_links(small, sets, num, den, cells), "links"), *more]
     if heavy is not None:
         links += heavy_links(heavy, sets, num, den, cells)
     drop_table(members)
-    drop_table(sets)
     return materialize(components(_union(links)), "components")
 
 
@@ -518,22 +564,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, size))  # fixed size
     full = materialize(class_table(texts, sketch, size, num, den), "sets-of-rows")
+    rows = full.select("doc_id", "n", "digest")
     usable = full.where("digest is not null and doc_id is not null")
-    classes = (
-        usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"), F.count(F.lit(1)).alias("copies"))
-        .select("digest", "copies", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
-    )
-    classes = materialize(classes, "classes")
-    rows = materialize(full.select("doc_id", "n", "digest"), "rows")
-    drop_table(full)
+    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("code").alias("code"), F.count(F.lit(1)).alias("copies")), "classes")
     # ids with several rows tie the classes of their texts together
-    several = rows.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("c > 1")
+    several = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("c > 1")
     several = materialize(several, "several")
     more = []
     if not several.isEmpty():
-        tied = rows.join(several.where("lo != hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "digest").distinct()
+        tied = usable.join(several.where("lo != hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "digest").distinct()
         more = [materialize(tied.join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "ties")]
-    comps = join_components(classes, texts, size, num, den, cells, more)
+    comps = join_components(full, classes, texts, size, num, den, cells, more)
     named = classes.join(comps, "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = salted_left_join(rows.select("doc_id", "n", F.coalesce("digest", F.lit(b"")).alias("digest")), named, "digest", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
