@@ -6,7 +6,7 @@ Equal sets are one class, so copies are never compared.
 
 1. A globally fixed order of shingles (frequent ones last, by a frequency sketch
    of fixed size, then by digest) gives each class a prefix of
-   n - ceil(0.8 n) + l(n) shingles, l(n) = 1 + 3 n / 100. Two classes within r
+   n - ceil(0.8 n) + l(n) shingles, l(n) = 1 + n / 10. Two classes within r
    share as many of them as the lesser l says, so a class with fewer shared
    prefix shingles than l(0.8 n) links with nothing and leaves. Without this step
    Voronoi regions would say nothing: texts that share no shingle are at distance
@@ -128,7 +128,7 @@ def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
 
 def lead(n):
     """Prefix shingles that a set of n shares with a linked set of its size or more, at least."""
-    return 1 + 3 * n // 100
+    return 1 + n // 10
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -167,11 +167,11 @@ def class_table(texts: DataFrame, sketch, size: int, num: int, den: int) -> Data
     return texts.mapInArrow(run, "doc_id long, n long, digest binary, code long, prefix array<long>")
 
 
-def bloom(places: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of places h below 2^bits, of fixed size; it only saves shuffling rows that nobody asks for."""
-    words = places.groupBy((F.col("h") / 64).cast("long").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")
-    )
+def bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of a column of 64-bit digests, of fixed size, two places each; it only saves shuffling rows that nobody asks for."""
+    t = F.col(ids.columns[0])
+    places = ids.select(F.explode(F.array(*[F.shiftright(t, shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in (0, 29)])).alias("h"))
+    words = places.groupBy((F.col("h") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
     table_ = np.zeros((1 << bits) // 64, np.int64)
     found = words.toArrow()  # at most 2^BLOOM_BITS / 64 words of 16 bytes, whatever the input
     table_[found.column("w").to_numpy()] = found.column("bits").to_numpy()
@@ -182,24 +182,32 @@ BLOOM_BITS = 27  # 16 MB
 
 
 def bloom_bits(count: int) -> int:
-    """Eight bits an id, between 2^16 and 2^BLOOM_BITS bits in all."""
-    return min(BLOOM_BITS, max(16, (8 * count).bit_length()))
+    """16 bits an id at least, between 2^16 and 2^BLOOM_BITS bits in all."""
+    return min(BLOOM_BITS, max(16, (16 * count).bit_length()))
+
+
+def in_bloom(table_: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both places of each id are set."""
+    hit = np.ones(len(ids), bool)
+    for shift in (0, 29):
+        h = (ids >> shift) & ((1 << bits) - 1)
+        hit &= ((table_[h >> 6] >> (h & 63)) & 1).astype(bool)
+    return hit
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, set): sets of the wanted ids as sorted uint64 bytes, and of a few that were not asked for."""
     bits = bloom_bits(wanted.count())  # past the bound it lets more through and saves less
-    filter_ = texts.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("h")), bits))
+    filter_ = texts.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.xxhash64("id")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filter_.value
         for whole in batches:
-            h = np.asarray(whole.column("h"))
-            for part in slices(whole.filter(pa.array(((held[h >> 6] >> (h & 63)) & 1).astype(bool))), "text", 1 << 20):
+            for part in slices(whole.filter(pa.array(in_bloom(held, np.asarray(whole.column("h")), bits))), "text", 1 << 20):
                 digests, bounds = shingles(*text_buffers(part.column("text")), size)
                 yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "set": pa.array([digests[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())})
 
-    return texts.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).mapInArrow(run, "id long, set binary")
+    return texts.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "id long, set binary")
 
 
 def shared_by(postings: DataFrame) -> DataFrame:
@@ -216,14 +224,14 @@ def shared_postings(full: DataFrame, num: int, den: int) -> DataFrame:
     """
     full = full.where("code is not null and doc_id is not null")
     post = full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"))
-    shared = materialize(shared_by(post).select("t"), "shared")
+    shared = materialize(post.groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("t"), "shared")
     count = shared.count()
     if 4 * count > 1 << BLOOM_BITS:
         both = _salted(full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"), "n").distinct(), shared)
-        enough = both.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 1 + F.floor(3 * F.ceil(num * F.col("n") / den) / 100)).select("x")
+        enough = both.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 1 + F.floor(F.ceil(num * F.col("n") / den) / 10)).select("x")
         return materialize(both.join(enough, "x", "left_semi").select("t", "x"), "members")
     bits = bloom_bits(count)
-    held = full.sparkSession.sparkContext.broadcast(bloom(shared.select(F.col("t").bitwiseAND(F.lit((1 << bits) - 1)).alias("h")), bits))
+    held = full.sparkSession.sparkContext.broadcast(bloom(shared, bits))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = held.value
@@ -232,8 +240,7 @@ def shared_postings(full: DataFrame, num: int, den: int) -> DataFrame:
                 batch = whole.slice(at, 1024)
                 prefix, n = batch.column("prefix"), np.asarray(batch.column("n"))
                 values, ends = np.asarray(prefix.flatten()), np.cumsum(np.asarray(prefix.value_lengths()))
-                h = values & ((1 << bits) - 1)
-                hit = ((table_[h >> 6] >> (h & 63)) & 1).astype(bool)
+                hit = in_bloom(table_, values, bits)
                 owner = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
                 some = np.bincount(owner[hit], minlength=batch.num_rows) >= least_shared(n, num, den)
                 keep = hit & some[owner]
