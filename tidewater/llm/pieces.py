@@ -7,19 +7,24 @@ the greedy encoding of its own two-piece text. So an edge between two pieces
 weighs 0 where that holds and minus infinity elsewhere, and the one path of
 weight 0 is the encoding.
 
-Texts of at most ``chunk_chars`` characters are one chunk. Longer ones are split;
-the states of a boundary are the pieces that could lie across it or end on it.
-Each chunk yields a matrix of best weights from its left to its right states;
-matrices are combined associatively (prefix products from the left, suffix
-products from the right) into the one state of every boundary, and each chunk is
-backtraced alone between its two states.
+Texts of less than ``chunk_chars`` characters are one chunk. Longer ones are
+split, and their chunks are rows, each with the few characters on either side
+that a piece can reach. The states of a boundary are the pieces that could lie
+across it or end on it. Each chunk row yields a matrix of best weights from its
+left to its right states; matrices are combined associatively (prefix products
+from the left, suffix products from the right) into the one state of every
+boundary, and each chunk row is backtraced alone between its two states. Only
+matrices of some twenty states a side meet by text, 65,536 at most, since a
+column value ends at two GB. Chunks are named by the SHA-256 of their text, so a
+lost executor repeats the same names, and copies of a text give one result.
 
 Where no piece goes on past a space, words are bounds that every path passes;
 their encodings are kept in a cache of bounded size.
 
-Null texts are empty; empty texts have no pieces. A literal U+2581 decodes to a
-space, as in the library. Repeated rows give their result again, since rows are
-told apart by position; other columns are ignored.
+Null texts are empty; empty texts have no pieces; very long texts are encoded
+whole. A literal U+2581 decodes to a space, as in the library. Repeated rows give
+their result again, rows without an id too; an empty table gives an empty table.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from tidewater.llm.common import slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 100_000, 200_000
 NEVER = float("inf")
 
 
@@ -291,86 +296,112 @@ def combine(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(p[0, :] + q[:, 0])) for p, q in zip(prefix, suffix[::-1])]
 
 
+def _udf(run, kind: str):
+    """An Arrow function over batches, not run again for each use of its result."""
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # not as text
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def _encode_short(docs: DataFrame, model, chunk_chars: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = model.value.ready()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                ids = [pieces.encode_free(normalise(t)) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"row_id": batch.column("row_id"), "doc_id": batch.column("doc_id"), "text": batch.column("text"), "ids": pa.array(ids, pa.binary())})
-
-    return docs.where(F.length("text") < chunk_chars).mapInArrow(run, "row_id long, doc_id long, text string, ids binary")
-
-
-def _encode_giant(docs: DataFrame, model, chunk_chars: int) -> DataFrame:
-    giants = docs.where(F.length("text") >= chunk_chars)
+            ids: list[bytes] = []
+            for part in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", 1 << 20):
+                ids.extend(pieces.encode_free(normalise(t)) for t in part.column(0).to_pylist())
+            yield pa.array(ids, pa.binary())
+
+    return docs.where(F.length("text") < chunk_chars).select("doc_id", "text", _udf(run, "binary")("text").alias("ids"))
+
+
+def _encode_giant(docs: DataFrame, model, chunk_chars: int, margin: int) -> DataFrame:
+    giants = docs.where(F.length("text") >= chunk_chars).withColumn("key", F.unhex(F.sha2("text", 256)))
+    chars = F.length("text") + 1  # with the space in front
+    chunk = giants.select("key", "text", chars.alias("chars"), F.explode(F.sequence(F.lit(0), F.floor((chars - 1) / chunk_chars).cast("int"))).alias("no"))
+    low = F.greatest(F.col("no") * chunk_chars - margin, F.lit(0))
+    high = F.least((F.col("no") + 1) * chunk_chars + margin, F.col("chars"))
+    own = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
+    # s: the chunk with its margins; begin, end: where the chunk itself lies in s
+    chunks = chunk.select(
+        "key", "no", own.substr(low + 1, high - low).alias("s"), (F.col("no") * chunk_chars - low).cast("int").alias("begin"), (F.least((F.col("no") + 1) * chunk_chars, F.col("chars")) - low).cast("int").alias("end")
+    )
+    pieces_schema = "key binary, no int, n_in int, m binary"
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model.value.ready()
         for batch in batches:
-            for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist()):
-                s = normalise(text)
-                for no, a in enumerate(range(0, len(s), chunk_chars)):
-                    m = pieces.matrix(s, a, min(a + chunk_chars, len(s)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row], pa.int64()), pa.array([no], pa.int32()), pa.array([m.shape[0]], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["row_id", "no", "n_in", "m"]
-                    )
+            for key, no, s, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "no", "s", "begin", "end"))):
+                m = pieces.matrix(s, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([no], pa.int32()), pa.array([m.shape[0]], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["key", "no", "n_in", "m"])
 
     def scan(key, rows):
-        rows = rows.sort_values("no")
-        found = combine([np.frombuffer(m, np.float32).reshape(n, -1) for n, m in zip(rows["n_in"], rows["m"])])
         import pandas as pd
 
-        return pd.DataFrame({"row_id": [key[0]], "at": [found]})
+        rows = rows.sort_values("no")
+        edge = [0, *combine([np.frombuffer(m, np.float32).reshape(n, -1) for n, m in zip(rows["n_in"], rows["m"])]), 0]
+        return pd.DataFrame({"key": [key[0]] * len(rows), "no": rows["no"].to_numpy(), "begins": edge[:-1], "ends": edge[1:]})
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model.value.ready()
         for batch in batches:
-            for row, doc, text, at in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "text", "at"))):
-                s, edge = normalise(text), [0, *at, 0]
-                ids = b"".join(pieces.backtrace(s, a, min(a + chunk_chars, len(s)), edge[no], edge[no + 1]) for no, a in enumerate(range(0, len(s), chunk_chars)))
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([doc], pa.int64()), pa.array([text], pa.string()), pa.array([ids], pa.binary())], names=["row_id", "doc_id", "text", "ids"])
+            for key, no, s, a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "no", "s", "begin", "end", "begins", "ends"))):
+                ids = pieces.backtrace(s, a, b, left, right)
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([no], pa.int32()), pa.array([ids], pa.binary())], names=["key", "no", "ids"])
 
-    states = giants.select("row_id", "text").mapInArrow(matrices, "row_id long, no int, n_in int, m binary").groupBy("row_id").applyInPandas(scan, "row_id long, at array<int>")
-    return giants.join(states, "row_id").select("row_id", "doc_id", "text", "at").mapInArrow(pieces_of, "row_id long, doc_id long, text string, ids binary")
+    def glue(key, rows):
+        import pandas as pd
 
+        return pd.DataFrame({"key": [key[0]], "ids": [b"".join(rows.sort_values("no")["ids"])]})
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, chunk_chars: int = 32_768) -> DataFrame:
-    """(row_id, doc_id, text, ids): ids are little-endian uint32 bytes."""
-    model = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))  # a vocabulary
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _encode_short(rows, model, chunk_chars).unionByName(_encode_giant(rows, model, chunk_chars))
+    once = chunks.mapInArrow(matrices, pieces_schema).groupBy("key", "no").agg(F.first("n_in").alias("n_in"), F.first("m").alias("m"))  # copies of a text agree
+    states = once.groupBy("key").applyInPandas(scan, "key binary, no int, begins int, ends int")
+    parts = chunks.join(states, ["key", "no"]).mapInArrow(pieces_of, "key binary, no int, ids binary").groupBy("key", "no").agg(F.first("ids").alias("ids"))
+    whole = parts.groupBy("key").applyInPandas(glue, "key binary, ids binary")
+    return giants.join(whole, "key").select("doc_id", "text", "ids")
 
 
-def summarise(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """(doc_id, n_chars, n_tokens, ids_sha256, round_trip): decodes what was encoded and compares."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, chunk_chars: int = 32_768) -> DataFrame:
+    """(doc_id, text, ids): ids are little-endian uint32 bytes."""
+    pieces = PieceModel.load(model_path)
+    model = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    margin = 2 * max(map(len, pieces.pieces)) + 2
+    if chunk_chars < margin:
+        raise ValueError("chunks are shorter than what a piece can reach")
+    return _encode_short(rows, model, chunk_chars).unionByName(_encode_giant(rows, model, chunk_chars, margin))
+
+
+def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
+    """encoded with its column ``decoded``: the text of the ids, without the space in front."""
     model = encoded.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = model.value.ready()
         for batch in batches:
-            texts, raw = batch.column("text").to_pylist(), batch.column("ids").to_pylist()
-            same = [pieces.decode(np.frombuffer(i, "<u4")) == (" " + t.replace(SPACE, " ") if t else "") for t, i in zip(texts, raw)]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_tokens": pa.array([len(i) // 4 for i in raw], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in raw], pa.string()), "round_trip": pa.array(same, pa.bool_()),
-            })
+            yield pa.array([pieces.decode(np.frombuffer(v.as_buffer(), "<u4"))[1:] if v.is_valid else None for v in batch], pa.string())
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return encoded.select("*", _udf(run, "string")(ids_col).alias("decoded"))
+
+
+def summarise(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
+    """(doc_id, n_chars, n_tokens, ids_sha256, round_trip): decodes what was encoded and compares."""
+    found = decode(encoded.select("doc_id", "text", "ids"), model_path=model_path)
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"),
+    )
 
 
 def token_table(encoded: DataFrame) -> DataFrame:
     """(doc_id, ids, n_tokens): the tokens themselves, as a list a document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            raw = batch.column("ids").to_pylist()
-            counts = np.array([len(i) // 4 for i in raw], np.int64)
-            values = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids, "n_tokens": counts})
+            raw = batch.to_pylist()
+            ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in raw], dtype=np.int64)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return encoded.select("doc_id", _udf(run, "array<int>")("ids").alias("ids"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
