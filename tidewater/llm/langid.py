@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, table, text_buffers
+from tidewater.llm.common import bounded_batches, slices, table, text_buffers
 
 LETTER = re.compile(r"[^\W\d_]")
 SPACE = 32
@@ -194,6 +194,7 @@ def identify(
 
     ``keep`` names the columns of docs to return, by default its identifier.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(training, lang_col, text_col, id_col, train_rows))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

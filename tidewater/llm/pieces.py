@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, table
+from tidewater.llm.common import bounded_batches, slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_WORDS, CACHE_PAIRS = 100_000, 200_000
+CACHE_WORDS, CACHE_PAIRS, SHORT_UNIT = 250_000, 100_000, 48
 NEVER = float("inf")
 
 
@@ -192,7 +192,8 @@ class PieceModel:
                 words.clear()
                 new = set(units)
             for u in new:
-                words[u] = self.encode_path(u, 0, len(u), None)
+                # between two bounds the merges themselves are the cheapest way, but for long units they are quadratic
+                words[u] = np.array(self.to_ids(self.merge(u)), np.uint32).tobytes() if len(u) <= SHORT_UNIT else self.encode_path(u, 0, len(u), None)
         return b"".join(map(words.__getitem__, units))
 
     def decode(self, ids: np.ndarray) -> str:
@@ -362,6 +363,7 @@ def _encode_giant(docs: DataFrame, model, chunk_chars: int, margin: int) -> Data
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, chunk_chars: int = 32_768) -> DataFrame:
     """(doc_id, text, ids): ids are little-endian uint32 bytes."""
+    bounded_batches(docs.sparkSession)
     pieces = PieceModel.load(model_path)
     model = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
