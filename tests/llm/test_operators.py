@@ -373,9 +373,10 @@ def test_language_id(spark, sf_dir):
 def test_ppm_costs_are_probabilities():
     grams = np.array([(97 << 24) | (98 << 16) | (99 << 8) | c for c in (97, 98)] + [(98 << 24) | (99 << 16) | (97 << 8) | 98])
     t = langid.ContextTables(["x"], np.zeros(3, int), grams, np.array([3, 1, 2]))
-    rows = t.bits[0].reshape(-1, t.symbols).astype(float)
     stands_for = np.array([1] * (t.symbols - 1) + [257 - t.symbols])
-    assert np.allclose((np.exp2(-rows) * stands_for).sum(1), 1, atol=1e-4)
+    rows, symbols = np.repeat(np.arange(len(t.row2)), t.symbols), np.tile(np.arange(t.symbols), len(t.row2))
+    costs = t.bits(0, rows, symbols).reshape(-1, t.symbols).astype(float)
+    assert np.allclose((np.exp2(-costs) * stands_for).sum(1), 1, atol=1e-4)
 
 
 def ppm_bits(training, text):

@@ -6,10 +6,8 @@ escape method C with exclusions, from the longest context the tree holds down to
 a uniform order -1. Code lengths are exact under those statistics; the shortest
 total wins, and the score is the winner's posterior at equal priors.
 
-Context rows of all languages stand in one table, so that a text is scored by
-one gather a byte. Rows are all order-3 contexts of the training rows, and all
-order-2 contexts behind them. The table grows with the distinct contexts of the
-sample, not with the corpus.
+All order-3 contexts of the training rows are kept, with the shorter ones behind
+them. Tables grow with the distinct contexts of the sample, not with the corpus.
 
 Training reads at most about ``train_rows`` rows a language, chosen by a hash of
 the identifier; every text is predicted whole, very long ones too, in pieces of
@@ -57,7 +55,13 @@ def gram_counts(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ContextTables:
-    """Frozen code lengths: rows[context] * symbols + symbol -> bits for every language."""
+    """Frozen code lengths of a byte under every language.
+
+    Exclusions nest, since a symbol seen after three bytes is seen after the last
+    two as well. So only the 4-grams of the training rows need entries of their
+    own; the cost of any other byte is the sum of what its order-3 context (``base``)
+    and its order-2 context (``tail``) say.
+    """
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray):
         self.langs = langs
@@ -72,44 +76,77 @@ class ContextTables:
         bytes_of = np.ones(a)  # bytes that a symbol stands for
         bytes_of[-1] = 256 - len(seen)
         c3, c2, c1, c0 = (lut[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0))
-        ctx3 = (c3 * a + c2) * a + c1
-        total = np.bincount(ctx3, weights=count, minlength=a**3)
-        top = np.flatnonzero(total)
-        self.rows = (np.arange(a**3) % (a * a)).astype(np.int32)  # the order-2 row of each context
-        self.rows[top] = a * a + np.arange(len(top))
-        n_rows = a * a + len(top)
-        self.bits = np.empty((len(langs), n_rows * a), np.float32)
+        pairs, q = np.unique(c2 * a + c1, return_inverse=True)  # rows of order 2, then one for each last byte alone
+        triples, r = np.unique((c3 * a + c2) * a + c1, return_inverse=True)  # rows of order 3, then one for each row of order 2
+        n2, n3 = len(pairs), len(triples)
+        row2 = n2 + np.arange(a * a) % a
+        row2[pairs] = np.arange(n2)
+        self.rows = (n3 + row2[np.arange(a**3) % (a * a)]).astype(np.int32)
+        self.rows[triples] = np.arange(n3)
+        self.row2 = np.concatenate([row2[triples % (a * a)], np.arange(n2 + a)]).astype(np.int32)
+        grams, entry = np.unique(r * a + c0, return_inverse=True)
+        self.slot = np.full((n3, a), -1, np.int32)
+        self.slot.ravel()[grams] = np.arange(len(grams))
+        shape = (len(langs), n2 + a, a)
+        self.full, self.base = np.zeros((len(langs), len(grams)), np.float32), np.zeros((len(langs), len(self.row2), 2), np.float32)
+        self.tail, self.flag = np.zeros(shape, np.float32), np.zeros(shape, bool)
+        log = lambda x: np.log2(np.maximum(x, 1e-300))
         for k in range(len(langs)):
             mine = lang == k
-            m3, m2, m1, m0, n = ctx3[mine], c2[mine] * a + c1[mine], c1[mine], c0[mine], count[mine].astype(np.float64)
-            order0 = np.bincount(m0, weights=n, minlength=a).reshape(1, a)
-            order1 = np.bincount(m1 * a + m0, weights=n, minlength=a * a).reshape(a, a)
-            order2 = np.bincount(m2 * a + m0, weights=n, minlength=a**3).reshape(a * a, a)
-            place = self.rows[m3]
-            long = place >= a * a
-            order3 = np.bincount((place[long] - a * a) * a + m0[long], weights=n[long], minlength=len(top) * a).reshape(len(top), a)
-            back2 = np.arange(a * a)
-            self.bits[k, : a * a * a] = self._cost([order2, order1[back2 % a], order0], bytes_of).ravel()
-            for at in range(0, len(top), 4096):
-                part = top[at : at + 4096]
-                cost = self._cost([order3[at : at + 4096], order2[part % (a * a)], order1[part % a], order0], bytes_of)
-                self.bits[k, (a * a + at) * a : (a * a + at + len(part)) * a] = cost.ravel()
+            n = count[mine].astype(np.float64)
+            order0 = np.bincount(c0[mine], weights=n, minlength=a).reshape(1, a)
+            order1 = np.bincount(c1[mine] * a + c0[mine], weights=n, minlength=a * a).reshape(a, a)
+            order2 = np.zeros((n2 + a, a))
+            order2[:n2] = np.bincount(q[mine] * a + c0[mine], weights=n, minlength=n2 * a).reshape(n2, a)
+            n4 = np.bincount(entry[mine], weights=n, minlength=len(grams))
+            at, sym = grams // a, grams % a
+            held = n4 > 0
+            sums = lambda values: np.bincount(at[held], weights=values[held], minlength=n3)
+            t3, k3 = sums(n4), sums(np.ones(len(grams)))
+            under = order2[self.row2[at], sym]
+            far = self.row2  # what is left of the order-2 row of each order-3 row, without the symbols seen at order 3
+            t2 = order2.sum(1)[far] - np.append(sums(under), np.zeros(n2 + a))
+            k2 = (order2 > 0).sum(1)[far] - np.append(k3, np.zeros(n2 + a))
+            escape3 = np.append(np.where(t3 > 0, log(t3 + k3) - log(k3), 0.0), np.zeros(n2 + a))
+            self.base[k, :, 1] = escape3 + log(t2 + k2)
+            self.base[k, :, 0] = escape3 + np.where(t2 > 0, log(t2 + k2) - log(k2), 0.0)
+            last = np.append(pairs % a, np.arange(a))
+            for part in range(0, n2 + a, 1024):
+                own = slice(part, part + 1024)
+                self.tail[k, own] = self._cost([order1[last[own]], order0], bytes_of, order2[own] > 0)
+            self.flag[k] = order2 > 0
+            self.tail[k][self.flag[k]] = -log(order2[self.flag[k]])
+            flag = self.flag[k][self.row2[at], sym]
+            self.full[k] = np.where(held, log((t3 + k3)[at]) - log(n4), self.base[k][at, flag.astype(int)] + self.tail[k][self.row2[at], sym])
 
     @staticmethod
-    def _cost(orders: list[np.ndarray], bytes_of: np.ndarray) -> np.ndarray:
-        """PPM-C with exclusions, for many contexts at once."""
-        shape = np.broadcast_shapes(*(o.shape for o in orders))
-        p, mass, out = np.zeros(shape), np.ones((shape[0], 1)), np.zeros(shape, bool)
+    def _cost(orders: list[np.ndarray], bytes_of: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """PPM-C with exclusions for many contexts at once, of the symbols that are not ``out`` already."""
+        shape = out.shape
+        p, mass = np.zeros(shape), np.ones((shape[0], 1))
         for o in orders:
             n = np.where(out, 0.0, o)
             total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
             bottom = np.maximum(total + kinds, 1)
             p += mass * n / bottom
             mass = np.where(total > 0, mass * kinds / bottom, mass)
-            out |= n > 0
+            out = out | (n > 0)
         rest = np.maximum(np.where(out, 0.0, bytes_of).sum(1, keepdims=True), 1)
         p += np.where(out, 0.0, mass / rest)
-        return -np.log2(np.maximum(p, 1e-30))
+        return -np.log2(np.maximum(p, 1e-300))
+
+    def bits(self, k: int, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Code lengths of symbols after contexts."""
+        n3 = len(self.slot)
+        place = np.where(row < n3, self.slot[np.minimum(row, n3 - 1), symbol], -1)
+        return self._known(k, place, np.flatnonzero(place < 0), row, symbol)
+
+    def _known(self, k: int, place: np.ndarray, new: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = self.full[k][place]
+        r, s = row[new], symbol[new]
+        q = self.row2[r]
+        out[new] = self.base[k][r, self.flag[k][q, s].astype(np.int8)] + self.tail[k][q, s]
+        return out
 
     def totals(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of every row under every language."""
@@ -119,14 +156,15 @@ class ContextTables:
             return out
         seq, starts = padded(raw, offs, 3, self.lut, self.pad)
         s = seq.astype(np.int32)
-        cost = np.zeros(len(s), np.int32)
-        ctx = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-        cost[3:] = self.rows[ctx] * a + s[3:]
+        row, symbol = self.rows[(s[:-3] * a + s[1:-2]) * a + s[2:-1]], s[3:]
+        n3 = len(self.slot)
+        place = np.where(row < n3, self.slot.ravel()[np.minimum(row, n3 - 1) * a + symbol], -1)
+        new = np.flatnonzero(place < 0)
         lens = np.diff(offs)
         full = np.flatnonzero(lens)
         bounds = np.stack([starts, starts + lens], 1)[full].ravel()
         for k in range(len(self.langs)):
-            bits = np.append(self.bits[k][cost], np.float32(0))
+            bits = np.concatenate([np.zeros(3, np.float32), self._known(k, place, new, row, symbol), np.zeros(1, np.float32)])
             out[full, k] = np.add.reduceat(bits, bounds, dtype=np.float64)[::2]
         return out
 
