@@ -89,7 +89,7 @@ def scan_text(text: str, rules: SecretRules = SecretRules()) -> tuple[list, list
 
 
 def flagged(raw: np.ndarray, offs: np.ndarray, min_run: int) -> np.ndarray:
-    """Rows that may hold a span: a long run of candidate bytes, or a keyword."""
+    """Rows that may hold a span: a long run of candidate bytes (base spans have 20 at least), or a keyword."""
     n = len(offs) - 1
     hit = np.zeros(n, bool)
     if not len(raw):
@@ -134,7 +134,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 raw, offs = text_buffers(batch.column("text"))
                 counts = np.zeros((4, n), np.int64)
                 digests, spans = [empty] * n, [""] * n
-                for i in np.flatnonzero(flagged(raw, offs, rules.min_run)).tolist():
+                for i in np.flatnonzero(flagged(raw, offs, min(20, rules.min_run))).tolist():
                     base, extra = scan_text(raw[offs[i] : offs[i + 1]].tobytes().decode(), rules)
                     for _, kind, _ in base:
                         counts[kind, i] += 1
