@@ -100,15 +100,16 @@ def matches_term(text: Column, term: str) -> Column:
     return text.rlike(left + re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", term) + right)
 
 
-def matches(text: Column, query: str) -> Column:
-    """Boolean full-text query: terms, "phrases", AND, OR, NOT, +must, -not and parentheses, ignoring case."""
-    toks = re.findall(r'"[^"]*"|[()]|[+-]?[^\s()"]+|[+-](?=["(])', query)
-    low, at = F.lower(text), 0
+def match_query(query: str) -> tuple:
+    """Tree of a full-text query: ("term", text), ("not", node), ("and" | "or", nodes).
 
-    def term(t: str) -> Column:
-        return F.contains(low, F.lit(t.strip('"').lower()))
+    Terms, "phrases", AND, OR, NOT, +must, -not and parentheses. Terms side by side:
+    musts and nots bind, the rest needs one hit unless a must is there.
+    """
+    toks = re.findall(r'"[^"]*"|[()]|[+-]?[^\s()"]+|[+-](?=["(])', query)
+    at = 0
 
-    def unit() -> tuple[str, Column]:
+    def unit() -> tuple[str, tuple]:
         nonlocal at
         t = toks[at]
         at += 1
@@ -119,11 +120,10 @@ def matches(text: Column, query: str) -> Column:
             at += 1
             return "", inner
         if t[0] in "+-" and len(t) > 1:
-            return t[0], term(t[1:])
-        return "", term(t)
+            return t[0], ("term", t[1:].strip('"'))
+        return "", ("term", t.strip('"'))
 
-    def group() -> Column:
-        """Terms side by side: musts and nots bind, the rest needs one hit unless a must is there."""
+    def group() -> tuple:
         nonlocal at
         must, never, may = [], [], []
         while at < len(toks) and toks[at] != ")" and toks[at].upper() != "OR":
@@ -134,33 +134,41 @@ def matches(text: Column, query: str) -> Column:
                     never.append(right)
                 else:
                     left = may.pop() if may else must.pop()
-                    may.append(left & right)
+                    may.append(("and", [left, right]))
                 continue
-            sign, col = unit()
-            {"+": must, "-": never, "": may}[sign].append(col)
-        out = F.lit(True)
-        for c in must:
-            out = out & c
-        for c in never:
-            out = out & ~c
-        if may and not must:
-            some = may[0]
-            for c in may[1:]:
-                some = some | c
-            out = out & some
-        return out
-
-    def either() -> Column:
+            sign, node = unit()
+            {"+": must, "-": never, "": may}[sign].append(node)
+        some = [("or", may)] if may and not must else []
+        return "and", must + [("not", n) for n in never] + some
+
+    def either() -> tuple:
         nonlocal at
-        out = group()
+        parts = [group()]
         while at < len(toks) and toks[at].upper() == "OR":
             at += 1
-            out = out | group()
-        return out
+            parts.append(group())
+        return "or", parts
 
     return either()
 
 
+def matches(text: Column, query: str) -> Column:
+    """Boolean full-text query over a text, ignoring case."""
+    low = F.lower(text)
+
+    def column(node: tuple) -> Column:
+        if node[0] == "term":
+            return F.contains(low, F.lit(node[1].lower()))
+        if node[0] == "not":
+            return ~column(node[1])
+        out = None
+        for part in map(column, node[1]):
+            out = part if out is None else (out & part if node[0] == "and" else out | part)
+        return F.lit(True) if out is None else out
+
+    return column(match_query(query))
+
+
 def json_get(j: Column, path: str, kind: str) -> Column:
     """Typed value at a path of a JSON text; null on mismatch. kind: int, float, string, bool or object."""
     path = path if path.startswith("$") else f"$.{path}"

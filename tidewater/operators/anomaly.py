@@ -1,10 +1,15 @@
-"""Anomaly scores over window frames; nulls, NaN and infinities are no samples."""
+"""Anomaly scores over window frames; nulls, NaN and infinities are no samples.
+
+``mad_scores`` and ``iqr_scores`` are for windows that are whole partitions: they
+aggregate a group once and join the quantiles back. ``anomaly_score_mad`` and
+``anomaly_score_iqr`` are for moving frames; every row then sorts its own frame.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -46,3 +51,35 @@ def anomaly_score_iqr(x: Column, k: float, w: WindowSpec) -> Column:
     iqr = q3 - q1
     past = F.greatest(F.lit(0.0), q1 - k * iqr - v, v - (q3 + k * iqr))
     return F.when(v.isNotNull() & (F.size(values) >= 3), _ratio(past, iqr))
+
+
+def _joined(df: DataFrame, by: list[str], stats: DataFrame) -> DataFrame:
+    """df with the columns of its group; null keys are a group."""
+    right = stats.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in stats.columns if c not in by])
+    on = None
+    for i, c in enumerate(by):
+        same = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        on = same if on is None else on & same
+    made = df.join(right, on) if on is not None else df.crossJoin(right)  # without keys there is one row of statistics
+    return made.drop(*[f"_k{i}" for i in range(len(by))])
+
+
+def mad_scores(df: DataFrame, value: str, by: list[str], name: str = "score") -> DataFrame:
+    """df with the MAD score of ``value`` among the rows of its group."""
+    v = _finite(F.col(value))
+    median = df.groupBy(*by).agg(F.percentile(v, F.lit(0.5)).alias("_median"), F.count(v).alias("_n"))
+    rows = _joined(df, by, median)
+    spread = rows.groupBy(*by).agg(F.percentile(F.abs(v - F.col("_median")), F.lit(0.5)).alias("_mad"))
+    score = F.when(v.isNotNull() & (F.col("_n") >= 3), _ratio(F.abs(v - F.col("_median")), F.col("_mad") * 1.4826))
+    return _joined(rows, by, spread).withColumn(name, score).drop("_median", "_n", "_mad")
+
+
+def iqr_scores(df: DataFrame, value: str, k: float, by: list[str], name: str = "score") -> DataFrame:
+    """df with the IQR score of ``value`` among the rows of its group."""
+    v = _finite(F.col(value))
+    if k is None or k < 0:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    stats = df.groupBy(*by).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(v).alias("_n"))
+    q1, q3 = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    past = F.greatest(F.lit(0.0), q1 - k * (q3 - q1) - v, v - (q3 + k * (q3 - q1)))
+    return _joined(df, by, stats).withColumn(name, F.when(v.isNotNull() & (F.col("_n") >= 3), _ratio(past, q3 - q1))).drop("_q", "_n")

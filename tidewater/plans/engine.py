@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidewater.operators.promql import PromQL
 from tidewater.operators.promql.parser import duration_ms
 from tidewater.operators.range_select import Item, RangeError, range_select
+from tidewater.plans import statements
+from tidewater.plans.dialect import translate
 from tidewater.plans.tables import TimeSeriesTable
 from tidewater.sources import files
 
@@ -48,11 +50,15 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
         self.prepared: dict[str, str] = {}
+        self.state = statements.State()
 
     def register(self, name: str, table: TimeSeriesTable | DataFrame) -> None:
         """A time-series table, or a plain frame without a time index."""
         self.tables[name] = table
-        (table.read() if isinstance(table, TimeSeriesTable) else table).createOrReplaceTempView(name)
+        view = table.read() if isinstance(table, TimeSeriesTable) else table
+        if statements.SEQUENCE in view.columns:  # tables made by CREATE TABLE
+            view = view.select(*[c for c in table.df.columns if c != statements.SEQUENCE])
+        view.createOrReplaceTempView(name)
 
     def load(self, sf_dir: str, names: list[str]) -> Engine:
         for name in names:
@@ -83,10 +89,40 @@ class Engine:
         if m := re.match(r"^\s*DESC(?:RIBE)?(?:\s+TABLE)?\s+(\w+)\s*;?\s*$", text, re.I):
             return self.describe(m[1])
         done = self._statement(text)
+        if done is None:
+            done = statements.run(self, text.strip().rstrip(";").strip())
         if done is not None:
             return done
-        text = re.sub(r"(\w+)\s*@@\s*'([^']*)'", lambda m: f"{m[1]} RLIKE '(?<![A-Za-z0-9_]){re.escape(m[2])}(?![A-Za-z0-9_])'", text)
-        return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+        return self._spark_sql(self._system_tables(translate(text, self._whole_columns())), args)
+
+    def _whole_columns(self) -> frozenset:
+        """Lower-case names of columns that are integers in every table that has them."""
+        kinds: dict[str, bool] = {}
+        for table in self.tables.values():
+            for f in (table.df if isinstance(table, TimeSeriesTable) else table).schema:
+                kinds[f.name.lower()] = kinds.get(f.name.lower(), True) and f.dataType.typeName() in ("byte", "short", "integer", "long")
+        return frozenset(name for name, whole in kinds.items() if whole)
+
+    def _spark_sql(self, text: str, args: dict | None = None) -> DataFrame:
+        """Analyses under the arithmetic of the dialect: integers wrap, and a bad cast gives null."""
+        name = "spark.sql.ansi.enabled"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "false")
+        try:
+            return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _system_tables(self, text: str) -> str:
+        """Makes views of the system tables that the text names: numbers and information_schema.*"""
+        if re.search(r"\bnumbers\b", text, re.I) and "numbers" not in self.tables:
+            self.spark.range(100).select(F.col("id").cast("int").alias("number")).createOrReplaceTempView("numbers")
+        for name in {m.lower() for m in re.findall(r"\binformation_schema\.(\w+)", text, re.I)}:
+            maker = getattr(self, f"information_schema_{name}", None)
+            if maker is None:
+                raise ValueError(f"no table information_schema.{name}")
+            maker().createOrReplaceTempView(f"information_schema_{name}")
+        return re.sub(r"\binformation_schema\.(\w+)", lambda m: f"information_schema_{m[1].lower()}", text, flags=re.I)
 
     def _statement(self, text: str) -> DataFrame | None:
         """DDL and DML over registered tables; None for anything else."""
@@ -110,7 +146,15 @@ class Engine:
         if m := re.match(r"^INSERT\s+INTO\s+(\w+)(?:\s*\(([^)]*)\))?\s+(VALUES.*|SELECT.*)$", text, re.I | re.S):
             new = self.sql(m[3])
             names = [c.strip() for c in m[2].split(",")] if m[2] else None
-            self._replace(m[1], lambda df: df.unionByName(files.conform(new.toDF(*(names or df.columns)), df.schema)))
+            self.state.inserts += 1
+
+            def added(df: DataFrame) -> DataFrame:
+                rows = new.toDF(*(names or [c for c in df.columns if c != statements.SEQUENCE]))
+                if statements.SEQUENCE in df.columns:
+                    rows = rows.withColumn(statements.SEQUENCE, F.lit(self.state.inserts).cast("long"))
+                return df.unionByName(files.conform(rows, df.schema))
+
+            self._replace(m[1], added)
             return ok(m[1])
         if m := re.match(r"^PREPARE\s+(\w+)\s+(?:FROM\s+'(.*)'|AS\s+(.*))$", text, re.I | re.S):
             self.prepared[m[1]] = m[2] or m[3]
@@ -133,7 +177,7 @@ class Engine:
 
     def describe(self, name: str) -> DataFrame:
         t = self.tables[name]
-        df = t.df if isinstance(t, TimeSeriesTable) else t
+        df = t.df.drop(statements.SEQUENCE) if isinstance(t, TimeSeriesTable) else t
         role = lambda c: "FIELD" if not isinstance(t, TimeSeriesTable) else "TIMESTAMP" if c == t.time_index else "TAG" if c in t.tags else "FIELD"
         key = lambda c: "PRI" if isinstance(t, TimeSeriesTable) and c in [*t.tags, t.time_index] else ""
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), key(f.name), role(f.name)) for f in df.schema], "`Column` string, `Type` string, `Key` string, `Semantic Type` string")
@@ -142,6 +186,16 @@ class Engine:
         rows = [(n, c["Column"], c["Type"], c["Semantic Type"]) for n in sorted(self.tables) for c in self.describe(n).collect()]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, semantic_type string")
 
+    def information_schema_tables(self) -> DataFrame:
+        rows = [("public", n, "BASE TABLE" if isinstance(t, TimeSeriesTable) else "VIEW") for n, t in sorted(self.tables.items())]
+        return self.spark.createDataFrame(rows, "table_schema string, table_name string, table_type string")
+
+    def information_schema_schemata(self) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in sorted(self.state.databases)], "schema_name string")
+
+    def information_schema_flows(self) -> DataFrame:
+        return self.spark.createDataFrame([(n, f["sink"], f["query"]) for n, f in sorted(self.state.flows.items())], "flow_name string, sink_table_name string, flow_definition string")
+
     def _tql(self, mode: str, window: str, query: str) -> DataFrame:
         query, alias = re.match(r"^(.*?)(?:\s+AS\s+(\w+))?\s*;?\s*$", query.strip(), re.I | re.S).groups()
 
@@ -160,7 +214,9 @@ class Engine:
         df = self.promql().query_range(query, start, end, step, lookback)
         if alias:
             df = df.withColumnRenamed("value", alias)
-        if mode in ("EXPLAIN", "ANALYZE"):
+        if mode == "ANALYZE":
+            return statements.analyzed(df)
+        if mode == "EXPLAIN":
             return self.spark.createDataFrame([(df._jdf.queryExecution().toString(),)], "plan string")
         return df
 

@@ -11,7 +11,7 @@ from tidewater.plans import timeseries
 from tidewater.plans.engine import Engine
 from tidewater.plans.relational import SQL
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents")
 
 
 def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,4 +25,4 @@ ORACLE_SQL: dict[str, str] = {name: duck or text for name, (text, duck) in SQL.i
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly rate of every series over the whole table."""
-    return QUERIES["promql_rate_whole"](spark, sf_dir)
+    return QUERIES["promql_rate"](spark, sf_dir)

@@ -38,19 +38,18 @@ def event_metric(spark: SparkSession, sf_dir: str) -> TimeSeriesTable:
     return TimeSeriesTable(events(spark, sf_dir).select("event_type", "user_id", "ts", "value"), "ts", ["event_type", "user_id"], ["value"], merge="last_row")
 
 
-START, END = 1704067200, 1704067200 + 86400
-#: Grid of the promql_* queries that have SQL: hourly over the first day. promql_*_whole go over the whole table.
-GRID = f"(SELECT {START * 1000} + i * 3600000 AS t FROM range(0, 25) r(i))"
-SERIES = "(SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS ts, max(value) AS v FROM events GROUP BY ALL)"
-#: Samples at one time of a series in different microseconds fall together in milliseconds; the later row counts.
-SAMPLES = "(SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS ms, epoch_us(ts) AS us, max(value) AS v FROM events GROUP BY ALL)"
+HOURS = "(SELECT epoch_ms(min(ts)) // 3600000 FROM events)", "(SELECT (epoch_ms(max(ts)) + 3599999) // 3600000 FROM events)"
 
 
-def promql(text: str, step: float = 3600, lookback: int | None = 3_600_000):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return PromQL(spark, {"m": event_metric(spark, sf_dir)}).query_range(text, START, END, step, lookback)
+def grid_sql(before: int = 0, after: int = 0) -> str:
+    """Hours from that of the first row to the one at or after the last row, and some more on either side, as milliseconds t."""
+    return f"(SELECT unnest(range({HOURS[0]} - {before}, {HOURS[1]} + {after} + 1)) * 3600000 AS t)"
 
-    return run
+
+GRID = grid_sql()
+SERIES = "(SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS ts, max(value) AS v FROM events GROUP BY ALL)"
+#: Samples at one time of a series in different microseconds fall together in milliseconds; the later row counts.
+SAMPLES = "(SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us, max(value) AS v FROM events GROUP BY ALL)"
 
 
 def whole_span(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
@@ -60,8 +59,8 @@ def whole_span(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
     return None if low is None else (low // 3_600_000_000 * 3600, -(-high // 3_600_000_000) * 3600)
 
 
-def promql_whole(text: str, ahead: int = 0, step: float = 3600, lookback: int | None = 3_600_000):
-    """As promql(), from the first hour of the table to its last and ``ahead`` seconds more, so that every row is read."""
+def promql(text: str, ahead: int = 0, step: float = 3600, lookback: int | None = 3_600_000):
+    """Evaluates hourly from the first hour of the table to its last and ``ahead`` seconds more, so that every row is read."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         span = whole_span(spark, sf_dir)
@@ -86,7 +85,7 @@ PROMQL: dict[str, tuple[str, str]] = {
     "promql_instant_selector": ('m{event_type="click"}', f"SELECT event_type, user_id, {TS}, v AS value FROM {instant_sql()} WHERE event_type = 'click'"),
     "promql_regex_matchers": ('m{event_type=~"c.*|view", user_id!~"1.*"}', f"SELECT event_type, user_id, {TS}, v AS value FROM {instant_sql()} WHERE regexp_full_match(event_type, 'c.*|view') AND NOT regexp_full_match(user_id, '1.*')"),
     "promql_sum_by": ("sum by (event_type) (m)", f"SELECT event_type, {TS}, round(sum(v), 4) AS value FROM {instant_sql()} GROUP BY event_type, t"),
-    "promql_avg_without": ("avg without (user_id) (m)", f"SELECT event_type, {TS}, round(avg(v), 4) AS value FROM {instant_sql()} GROUP BY event_type, t"),
+    "promql_avg_without": ("avg without (user_id) (m + 0.0000001)", f"SELECT event_type, {TS}, round(avg(v) + 1e-7, 4) AS value FROM {instant_sql()} GROUP BY event_type, t"),
     "promql_min_max_count": ("max(m) - min(m) + count(m)", f"SELECT {TS}, round(max(v) - min(v) + count(*), 4) AS value FROM {instant_sql()} GROUP BY t"),
     "promql_stddev": ("stddev by (event_type) (m)", f"SELECT event_type, {TS}, round(stddev_pop(v), 4) AS value FROM {instant_sql()} GROUP BY event_type, t"),
     "promql_quantile": ("quantile by (event_type) (0.75, m)", f"SELECT event_type, {TS}, round(quantile_cont(v, 0.75), 4) AS value FROM {instant_sql()} GROUP BY event_type, t"),
@@ -99,7 +98,7 @@ PROMQL: dict[str, tuple[str, str]] = {
     "promql_max_over_time": ("max_over_time(m[2h])", f"SELECT event_type, user_id, {TS}, max(v) AS value FROM {window_sql(7200000)} GROUP BY event_type, user_id, t"),
     "promql_count_over_time": ("count_over_time(m[2h])", f"SELECT event_type, user_id, {TS}, CAST(count(*) AS DOUBLE) AS value FROM {window_sql(7200000)} GROUP BY event_type, user_id, t"),
     "promql_last_over_time": ("last_over_time(m[2h])", f"SELECT event_type, user_id, {TS}, arg_max(v, us) AS value FROM {window_sql(7200000)} GROUP BY event_type, user_id, t"),
-    "promql_stdvar_over_time": ("stdvar_over_time(m[6h])", f"SELECT event_type, user_id, {TS}, round(var_pop(v), 3) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t"),
+    "promql_stdvar_over_time": ("stdvar_over_time(m[6h]) + 0.0000001", f"SELECT event_type, user_id, {TS}, round(var_pop(v) + 1e-7, 3) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t"),
     "promql_quantile_over_time": ("quantile_over_time(0.9, m[6h])", f"SELECT event_type, user_id, {TS}, round(quantile_cont(v, 0.9), 4) AS value FROM {window_sql(21600000)} GROUP BY event_type, user_id, t"),
     "promql_changes": ("changes(m[6h])", f"SELECT event_type, user_id, {TS}, CAST(count(*) FILTER (v <> p) AS DOUBLE) AS value FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t"),
     "promql_resets": ("resets(m[6h])", f"SELECT event_type, user_id, {TS}, CAST(count(*) FILTER (v < p) AS DOUBLE) AS value FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t"),
@@ -125,28 +124,42 @@ PROMQL: dict[str, tuple[str, str]] = {
     "promql_and": ('m and on (user_id) m{event_type="error"}', f"SELECT event_type, user_id, {TS}, v AS value FROM {instant_sql()} a WHERE EXISTS (SELECT 1 FROM {instant_sql()} b WHERE b.event_type = 'error' AND b.user_id = a.user_id AND b.t = a.t)"),
     "promql_unless": ('m unless on (user_id) m{event_type="error"}', f"SELECT event_type, user_id, {TS}, v AS value FROM {instant_sql()} a WHERE NOT EXISTS (SELECT 1 FROM {instant_sql()} b WHERE b.event_type = 'error' AND b.user_id = a.user_id AND b.t = a.t)"),
     "promql_or": ('m{event_type="click"} or m{event_type="view"}', f"SELECT event_type, user_id, {TS}, v AS value FROM {instant_sql()} WHERE event_type IN ('click', 'view')"),
-    "promql_offset": ("sum(m offset 1h)", f"SELECT CAST(make_timestamp((t + 0) * 1000) AS TIMESTAMP) AS ts, round(sum(v), 4) AS value FROM (SELECT event_type, user_id, t, arg_max(v, us) AS v FROM {SAMPLES} s JOIN {GRID} g ON s.ms <= g.t - 3600000 AND s.ms > g.t - 7200000 GROUP BY ALL) GROUP BY t"),
+    "promql_offset": ("sum(m offset 1h)", f"SELECT CAST(make_timestamp((t + 0) * 1000) AS TIMESTAMP) AS ts, round(sum(v), 4) AS value FROM (SELECT event_type, user_id, t, arg_max(v, us) AS v FROM {SAMPLES} s JOIN {grid_sql(0, 1)} g ON s.ms <= g.t - 3600000 AND s.ms > g.t - 7200000 GROUP BY ALL) GROUP BY t"),
     "promql_time_functions": ("hour(vector(time())) + day_of_week(vector(time()))", f"SELECT {TS}, CAST(hour(make_timestamp(t * 1000)) + dayofweek(make_timestamp(t * 1000)) AS DOUBLE) AS value FROM {GRID}"),
     "promql_absent": ('absent(m{event_type="missing"})', f"SELECT 'missing' AS event_type, {TS}, CAST(1 AS DOUBLE) AS value FROM {GRID}"),
     "promql_label_replace": ('label_replace(sum by (event_type) (m), "kind", "$1x", "event_type", "(.).*")', f"SELECT event_type, substr(event_type, 1, 1) || 'x' AS kind, {TS}, round(sum(v), 4) AS value FROM {instant_sql()} GROUP BY event_type, t"),
     "promql_label_join": ('label_join(m, "both", "-", "event_type", "user_id")', f"SELECT event_type, user_id, event_type || '-' || user_id AS \"both\", {TS}, v AS value FROM {instant_sql()}"),
     "promql_math": ("sqrt(abs(m)) + ln(m + 1) + round(m, 5) + clamp(m, 10, 20)", f"SELECT event_type, user_id, {TS}, round(sqrt(abs(v)) + ln(v + 1) + floor(v / 5 + 0.5) * 5 + greatest(10, least(20, v)), 5) AS value FROM {instant_sql()}"),
     "promql_scalar": ("scalar(sum(m)) + 1", f"SELECT {TS}, coalesce(round(sum(v) + 1, 4), 'nan'::DOUBLE) AS value FROM {GRID} g LEFT JOIN {instant_sql()} i USING (t) GROUP BY t"),
-    "promql_subquery": ("max_over_time(sum(m)[3h:1h])", f"SELECT CAST(make_timestamp(g.t * 1000) AS TIMESTAMP) AS ts, round(max(s), 4) AS value FROM {GRID} g JOIN (SELECT t, sum(v) AS s FROM (SELECT event_type, user_id, t, arg_max(v, us) AS v FROM {SAMPLES} s JOIN (SELECT {START * 1000} + i * 3600000 AS t FROM range(-3, 25) r(i)) g ON s.ms <= g.t AND s.ms > g.t - 3600000 GROUP BY ALL) GROUP BY t) i ON i.t <= g.t AND i.t > g.t - 10800000 GROUP BY g.t"),
+    "promql_subquery": ("max_over_time(sum(m)[3h:1h])", f"SELECT CAST(make_timestamp(g.t * 1000) AS TIMESTAMP) AS ts, round(max(s), 4) AS value FROM {GRID} g JOIN (SELECT t, sum(v) AS s FROM (SELECT event_type, user_id, t, arg_max(v, us) AS v FROM {SAMPLES} s JOIN {grid_sql(3)} g ON s.ms <= g.t AND s.ms > g.t - 3600000 GROUP BY ALL) GROUP BY t) i ON i.t <= g.t AND i.t > g.t - 10800000 GROUP BY g.t"),
+    "promql_increase": (
+        "increase(m[6h])",
+        f"""SELECT event_type, user_id, {TS}, round(c * (d + CASE WHEN a < 1.1 * d / (n - 1) THEN a ELSE d / (n - 1) / 2 END + CASE WHEN b < 1.1 * d / (n - 1) THEN b ELSE d / (n - 1) / 2 END) / d, 2) AS value
+        FROM (SELECT event_type, user_id, t, n, d, b, c, CASE WHEN c > 0 AND v0 >= 0 THEN least(a, d * v0 / c) ELSE a END AS a
+              FROM (SELECT event_type, user_id, t, count(*) AS n, arg_min(v, us) AS v0, arg_max(v, us) - arg_min(v, us) + coalesce(sum(p) FILTER (v < p), 0) AS c, (max(ms) - min(ms)) / 1000.0 AS d, (min(ms) - t + 21600000) / 1000.0 AS a, (t - max(ms)) / 1000.0 AS b
+                    FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t)) WHERE n > 1 AND d > 0""",
+    ),
+    "promql_idelta": ("idelta(m[6h])", f"SELECT event_type, user_id, {TS}, round(l[-1] - l[-2], 4) + 0.0 AS value FROM (SELECT event_type, user_id, t, list(v ORDER BY us) AS l FROM {window_sql(21600000)} GROUP BY ALL) WHERE len(l) > 1"),
+    "promql_irate": ("irate(m[6h])", f"SELECT event_type, user_id, {TS}, round(CASE WHEN l[-1] < l[-2] THEN l[-1] ELSE l[-1] - l[-2] END * 1000 / (k[-1] - k[-2]), 6) + 0.0 AS value FROM (SELECT event_type, user_id, t, list(v ORDER BY us) AS l, list(ms ORDER BY us) AS k FROM {window_sql(21600000)} GROUP BY ALL) WHERE len(l) > 1 AND k[-1] > k[-2]"),
+    "promql_present_over_time": ("present_over_time(m[2h])", f"SELECT event_type, user_id, {TS}, CAST(1 AS DOUBLE) AS value FROM {window_sql(7200000)} GROUP BY event_type, user_id, t"),
+    "promql_absent_over_time": ('absent_over_time(m{event_type="missing"}[1h])', f"SELECT 'missing' AS event_type, {TS}, CAST(1 AS DOUBLE) AS value FROM {GRID}"),
+    "promql_unary_minus": ("-m", f"SELECT event_type, user_id, {TS}, -v AS value FROM {instant_sql()}"),
+    "promql_sort_desc": ("sort_desc(max by (event_type) (m))", f"SELECT event_type, {TS}, max(v) AS value FROM {instant_sql()} GROUP BY event_type, t"),
+    "promql_at": ("sum(m @ 1704110400)", f"SELECT {TS}, (SELECT round(sum(v), 4) FROM {instant_sql()} WHERE t = 1704110400000) AS value FROM {GRID}"),
 }
 ROUNDED = {
     "promql_sum_by": 4, "promql_avg_without": 4, "promql_min_max_count": 4, "promql_stddev": 4, "promql_quantile": 4, "promql_sum_over_time": 4, "promql_avg_over_time": 4, "promql_stdvar_over_time": 3, "promql_quantile_over_time": 4,
     "promql_delta": 1, "promql_rate": 6, "promql_deriv": 3, "promql_predict_linear": 2, "promql_vector_scalar": 6, "promql_vector_vector": 6, "promql_group_left": 6, "promql_offset": 4, "promql_label_replace": 4, "promql_math": 5, "promql_scalar": 4,
-    "promql_subquery": 4,
+    "promql_subquery": 4, "promql_increase": 2, "promql_idelta": 4, "promql_irate": 6, "promql_at": 4,
 }
 #: Seconds by which a query looks back with an offset: the whole table's last rows are seen so much later.
 AHEAD = {"promql_offset": 3600}
 for _name, (_text, _sql) in PROMQL.items():
-    for _key, _run in ((_name, promql(_text)), (f"{_name}_whole", promql_whole(_text, AHEAD.get(_name, 0)))):
-        if _name in ROUNDED:
-            QUERIES[_key] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d) + 0.0)
-        else:
-            QUERIES[_key] = _run
+    _run = promql(_text, AHEAD.get(_name, 0))
+    if _name in ROUNDED:
+        QUERIES[_name] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d) + 0.0)
+    else:
+        QUERIES[_name] = _run
     ORACLE_SQL[_name] = _sql
 
 
@@ -222,7 +235,7 @@ def anomaly_zscore(spark, sf_dir):
     SELECT event_id, CASE WHEN n >= 3 AND d > 0 THEN round(abs(value - m) / (d * 1.4826), 5) END AS s FROM b""",
 )
 def anomaly_mad(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.round(anomaly.anomaly_score_mad(F.col("value"), Window.partitionBy("user_id")), 5).alias("s"))
+    return anomaly.mad_scores(events(spark, sf_dir).select("event_id", "user_id", "value"), "value", ["user_id"]).select("event_id", F.round("score", 5).alias("s"))
 
 
 @query(
@@ -231,7 +244,7 @@ def anomaly_mad(spark, sf_dir):
     SELECT event_id, CASE WHEN n >= 3 THEN round(greatest(0, q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1)) / (q3 - q1), 5) END AS s FROM a""",
 )
 def anomaly_iqr(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.round(anomaly.anomaly_score_iqr(F.col("value"), 1.5, Window.partitionBy("user_id")), 5).alias("s"))
+    return anomaly.iqr_scores(events(spark, sf_dir).select("event_id", "user_id", "value"), "value", 1.5, ["user_id"]).select("event_id", F.round("score", 5).alias("s"))
 
 
 @query("vector_distances", "SELECT vec_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE)) / sqrt(64 * list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 8) AS cos, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE - 1) * (x::DOUBLE - 1))), 5) AS l2, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings")
