@@ -243,12 +243,12 @@ def test_promql_whole_table(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert timeseries.whole_span(spark, str(tmp_path)) == (1704067200, 1704067200 + 72 * 3600)
     hour = {i: 1704067200 + (i + 1) * 3600 for i in range(72)}
-    assert values(timeseries.QUERIES["promql_sum_by_whole"](spark, str(tmp_path))) == {(hour[i],): 3.0 * i for i in range(72)}
-    assert values(timeseries.QUERIES["promql_offset_whole"](spark, str(tmp_path))) == {(hour[i] + 3600,): 3.0 * i for i in range(72)}
+    assert values(timeseries.QUERIES["promql_sum_by"](spark, str(tmp_path))) == {(hour[i],): 3.0 * i for i in range(72)}
+    assert values(timeseries.QUERIES["promql_offset"](spark, str(tmp_path))) == {(hour[i] + 3600,): 3.0 * i for i in range(72)}
     rate = values(registry.flagship(spark, str(tmp_path)), "user_id")
     assert all(rate[(str(u), hour[i])] == pytest.approx(u / 3600, abs=2e-6) for u in range(3) for i in range(6, 72))
     spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/none/events.parquet")
-    assert timeseries.QUERIES["promql_absent_whole"](spark, f"{tmp_path}/none").count() == 0
+    assert timeseries.QUERIES["promql_absent"](spark, f"{tmp_path}/none").count() == 0
 
 
 def test_statements(spark, tmp_path):

@@ -133,8 +133,8 @@ PROMQL: dict[str, tuple[str, str]] = {
     "promql_scalar": ("scalar(sum(m)) + 1", f"SELECT {TS}, coalesce(round(sum(v) + 1, 4), 'nan'::DOUBLE) AS value FROM {GRID} g LEFT JOIN {instant_sql()} i USING (t) GROUP BY t"),
     "promql_subquery": ("max_over_time(sum(m)[3h:1h])", f"SELECT CAST(make_timestamp(g.t * 1000) AS TIMESTAMP) AS ts, round(max(s), 4) AS value FROM {GRID} g JOIN (SELECT t, sum(v) AS s FROM (SELECT event_type, user_id, t, arg_max(v, us) AS v FROM {SAMPLES} s JOIN {grid_sql(3)} g ON s.ms <= g.t AND s.ms > g.t - 3600000 GROUP BY ALL) GROUP BY t) i ON i.t <= g.t AND i.t > g.t - 10800000 GROUP BY g.t"),
     "promql_increase": (
-        "increase(m[6h])",
-        f"""SELECT event_type, user_id, {TS}, round(c * (d + CASE WHEN a < 1.1 * d / (n - 1) THEN a ELSE d / (n - 1) / 2 END + CASE WHEN b < 1.1 * d / (n - 1) THEN b ELSE d / (n - 1) / 2 END) / d, 2) AS value
+        "increase(m[6h]) + 0.000001",
+        f"""SELECT event_type, user_id, {TS}, round(c * (d + CASE WHEN a < 1.1 * d / (n - 1) THEN a ELSE d / (n - 1) / 2 END + CASE WHEN b < 1.1 * d / (n - 1) THEN b ELSE d / (n - 1) / 2 END) / d + 1e-6, 2) AS value
         FROM (SELECT event_type, user_id, t, n, d, b, c, CASE WHEN c > 0 AND v0 >= 0 THEN least(a, d * v0 / c) ELSE a END AS a
               FROM (SELECT event_type, user_id, t, count(*) AS n, arg_min(v, us) AS v0, arg_max(v, us) - arg_min(v, us) + coalesce(sum(p) FILTER (v < p), 0) AS c, (max(ms) - min(ms)) / 1000.0 AS d, (min(ms) - t + 21600000) / 1000.0 AS a, (t - max(ms)) / 1000.0 AS b
                     FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id, t ORDER BY us) AS p FROM {window_sql(21600000)}) GROUP BY event_type, user_id, t)) WHERE n > 1 AND d > 0""",
