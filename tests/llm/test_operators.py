@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -424,6 +425,29 @@ def test_ppm_against_the_definition():
         assert np.allclose(got, [ppm_bits(training[k], text) for k in sorted(training)], rtol=1e-4), text
 
 
+def test_quality_on_held_out_labels(spark):
+    """Accuracy on labels that training never saw, against the majority class."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    held = [i for i in known if zlib.crc32(str(i).encode()) % 3 == 1]
+    from tidewater.llm.cotrain import op9_quality_classifier
+
+    found = {r.doc_id: r for r in op9_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    assert len(found) == docs.count() and all(found[i].held_out for i in held)
+    good = sum(found[i].kept == (known[i] == 1) for i in held) / len(held)
+    assert good > max(0.95, sum(known[i] == 1 for i in held) / len(held))
+
+
+def test_cotraining_hands_over_the_surest_of_all_documents(spark):
+    rng = random.Random(2)
+    word = lambda junk: "".join(rng.choices("abcdefgh", k=5)) + ("###" if junk else "")
+    rows = [(i, " ".join(word(i % 4 == 0) for _ in range(30)), "en", f"s{i % 4}", None) for i in range(200)]
+    docs = cotrain._columns(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "doc_id", "text")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 60)], "doc_id long, y int")
+    model = cotrain.train(docs, labels, 100, 2, 40, 0.9)
+    assert model.rounds[0] == {"text": 40, "meta": 40} and {r["kept"] for r in cotrain.score(docs, model, 0.5).where("doc_id % 4 != 0").collect()} == {True}
+
+
 def test_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = {r.doc_id: r for r in cotrain.classify_quality(docs, labels).collect()}
