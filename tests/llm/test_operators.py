@@ -444,8 +444,8 @@ def test_cotraining_hands_over_the_surest_of_all_documents(spark):
     rows = [(i, " ".join(word(i % 4 == 0) for _ in range(30)), "en", f"s{i % 4}", None) for i in range(200)]
     docs = cotrain._columns(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "doc_id", "text")
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 60)], "doc_id long, y int")
-    model = cotrain.train(docs, labels, 100, 2, 40, 0.9)
-    assert model.rounds[0] == {"text": 40, "meta": 40} and {r["kept"] for r in cotrain.score(docs, model, 0.5).where("doc_id % 4 != 0").collect()} == {True}
+    model = cotrain.train(docs, labels, 100, 2, 40, 0.7)
+    assert model.rounds[0]["text"] >= 30 and model.rounds[0]["meta"] >= 30 and {r["kept"] for r in cotrain.score(docs, model, 0.5).where("doc_id % 4 != 0").collect()} == {True}
 
 
 def test_quality(spark, sf_dir):
@@ -506,3 +506,10 @@ def test_vectors_beyond_widest_beam(spark):
     got = {r.vec_id: r.n_links for r in hnsw.near_vectors(df, beam=1, max_beam=1, index=index).collect()}
     want = (unit @ unit.T >= 0.9).sum(1) - 1
     assert got == {i: int(want[i]) for i in range(1200)}
+
+
+def test_html_deep_pages(spark):
+    deep = lambda k: f"<html><body>{'<div>' * 1500}<p>story {k} of the deep page</p>{'</div>' * 1500}</body></html>"
+    rows = [(k, "http://deep.example/p", deep(k)) for k in range(4)]
+    got = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"story {k} of the deep page" for k in range(4)}
