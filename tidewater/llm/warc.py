@@ -9,6 +9,11 @@ bytes of a record's rows in order, a blank line after the last, are the record
 as it stands in a .warc file; ``write_warc_files`` and ``read_warc_files`` move
 between the two, record by record and piece by piece.
 
+Reading back takes everything from the record's own bytes: kind, target, digest
+and length of a revisit from its header, digest and length of a response from its
+payload pieces, hashed again in order. Where they differ from the header, or a
+row is missing or damaged, the record is not ``intact``.
+
 Of records with equal payloads of at least ``min_revisit_bytes`` the one with
 the largest id is the response and the others are revisits of it without
 payload. Null payloads are empty payloads. Rows that repeat the largest id are
@@ -42,10 +47,10 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def header_block(kind: str, record_id: str, url: str | None, page_id, digest: str, length: int, refers_to) -> bytes:
+def header_block(kind: str, record_id: str, url: str | None, page_id, digest: str, length: int, refers_to, payload_bytes: int) -> bytes:
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Source-Row: {'' if page_id is None else page_id}",
+        f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {payload_bytes}", f"X-Source-Row: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Row: {refers_to}"]
@@ -93,7 +98,7 @@ def make_records(pages: DataFrame, chunk_bytes: int) -> DataFrame:
             for at in range(0, len(view), chunk_bytes):
                 h.update(view[at : at + chunk_bytes])
         length = len(HTTP_HEAD) + (len(view) if kind == "response" else 0)
-        head = header_block(kind, record_id, url, row_id, base32(h.digest()), length, refers_to) + HTTP_HEAD
+        head = header_block(kind, record_id, url, row_id, base32(h.digest()), length, refers_to, len(view)) + HTTP_HEAD
         if kind == "revisit":
             yield record_id, row_id, url, 0, True, head, hashlib.sha1(head).digest(), h.digest(), len(view)
             return
@@ -157,24 +162,50 @@ def sha1_text(digest: Column) -> Column:
     return F.concat(*out)
 
 
+def long_digests(archive: DataFrame) -> DataFrame:
+    """(record_id, long_sha1) of payloads of several pieces, hashed piece by piece in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h = None, None
+        for batch in batches:
+            done = []
+            for record, piece in zip(batch.column("record_id").to_pylist(), batch.column("data")):
+                if record != now:
+                    if now is not None:
+                        done.append((now, h.digest()))
+                    now, h = record, hashlib.sha1()
+                h.update(memoryview(piece.as_buffer()))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.binary()))], names=["record_id", "long_sha1"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([h.digest()], pa.binary())], names=["record_id", "long_sha1"])
+
+    several = archive.where("chunk_no = 2").select("record_id").distinct()
+    pieces = archive.where("chunk_no > 0").select("record_id", "chunk_no", "data").join(several, "record_id", "left_semi")
+    return pieces.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").select("record_id", "data").mapInArrow(run, "record_id string, long_sha1 binary")
+
+
 def read_records(archive: DataFrame) -> DataFrame:
-    """One row a record from its chunk rows; only header and sizes are shuffled, never payloads."""
-    size = F.octet_length("data")
+    """One row a record from its chunk rows; only headers, sizes and digests are shuffled, and payloads of several pieces."""
+    first = F.col("chunk_no") == 0
     rows = archive.select(
-        "record_id", "chunk_no", "last", "payload_sha1", "payload_bytes",
-        F.when(F.col("chunk_no") == 0, F.col("data").cast("string")).alias("head"),
-        F.when(F.col("chunk_no") > 0, size).otherwise(0).alias("piece"), (F.unhex(F.sha1("data")) == F.col("chunk_sha1")).alias("sound"),
+        "record_id", "chunk_no", "last", F.when(first, F.col("data").cast("string")).alias("head"), F.when(~first, F.octet_length("data")).otherwise(0).alias("piece"),
+        F.unhex(F.sha1("data")).alias("own"), "chunk_sha1",
     )
     records = rows.groupBy("record_id").agg(
         F.max("head").alias("head"), F.sum("piece").alias("held"), F.max("chunk_no").alias("top"), F.count(F.lit(1)).alias("parts"),
-        F.max_by("payload_sha1", "chunk_no").alias("sha1"), F.max("payload_bytes").alias("payload_bytes"), F.every("sound").alias("sound"), F.max("last").alias("ended"),
+        F.max(F.when(F.col("chunk_no") == 1, F.col("own"))).alias("one"), F.every(F.col("own") == F.col("chunk_sha1")).alias("sound"), F.max("last").alias("ended"),
     )
-    kind = field(F.col("head"), "WARC-Type")
-    digest = F.when(kind == "revisit", F.regexp_replace(field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "")).otherwise(sha1_text(F.col("sha1")))
-    whole = (F.col("parts") == F.col("top") + 1) & F.col("ended") & F.col("sound") & ((kind == "revisit") | (F.col("held") == F.col("payload_bytes")))
+    records = records.join(long_digests(archive), "record_id", "left")
+    head = F.col("head")
+    kind, said = field(head, "WARC-Type"), F.regexp_replace(field(head, "WARC-Payload-Digest"), "^sha1:", "")
+    revisit = kind == "revisit"
+    found = sha1_text(F.when(F.col("top") == 0, F.lit(hashlib.sha1(b"").digest())).when(F.col("top") == 1, F.col("one")).otherwise(F.col("long_sha1")))
+    size = F.when(revisit, field(head, "X-Payload-Bytes").try_cast("long")).otherwise(F.col("held"))
+    whole = (F.col("parts") == F.col("top") + 1) & F.col("ended") & F.col("sound") & (revisit | ((found == said) & (size == field(head, "X-Payload-Bytes").try_cast("long"))))
     return records.select(
-        "record_id", field(F.col("head"), "X-Source-Row").try_cast("long").alias("page_id"), field(F.col("head"), "WARC-Target-URI").alias("url"),
-        "payload_bytes", digest.alias("payload_digest"), kind.alias("record_type"), field(F.col("head"), "X-Refers-To-Row").try_cast("long").alias("refers_to"), whole.alias("intact"),
+        "record_id", field(head, "X-Source-Row").try_cast("long").alias("page_id"), field(head, "WARC-Target-URI").alias("url"), size.cast("long").alias("payload_bytes"),
+        F.when(revisit, said).otherwise(found).alias("payload_digest"), kind.alias("record_type"), field(head, "X-Refers-To-Row").try_cast("long").alias("refers_to"), whole.alias("intact"),
     )
 
 
