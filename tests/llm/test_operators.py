@@ -124,7 +124,7 @@ def test_jaccard_one_cell_in_one_task():
     sets = [np.array(sorted(codes.setdefault(s, len(codes) + 1) for s in shingle_set(t)), np.uint64) for _, t in rows]
     for cells in (jaccard.Cells(), jaccard.Cells(leaf=2, pivots=4), jaccard.Cells(leaf=10_000)):
         u = Union()
-        for a, b in jaccard.join_cell(sets, 4, 5, cells):
+        for a, b in enumerate(jaccard.join_cell(sets, 4, 5, cells).tolist()):
             u.join(rows[a][0], rows[b][0])
         assert {i: u.find(i) for i, _ in rows} == {i: c for i, (_, c) in brute_jaccard(rows).items()}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -49,11 +50,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}/{name}"
 
 
+_released = 0.0
+
+
+def release(spark: SparkSession, every: float = 10.0) -> None:
+    """Let the driver forget finished steps: Spark removes shuffle files and broadcasts once their references are collected."""
+    global _released
+    if time.monotonic() - _released > every:
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there."""
     bounded_batches(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

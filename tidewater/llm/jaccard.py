@@ -255,19 +255,20 @@ def _salted(postings: DataFrame, marks: DataFrame) -> DataFrame:
     return left.join(marks.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["t", "_s"]).drop("_s")
 
 
-def cells_of(members: DataFrame, most: int) -> DataFrame:
-    """(cell, x): components over shingles of at most ``most`` holders, those beyond ``most`` members as the regions of their shingles."""
+def cells_of(members: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(cell, x): components over shingles of at most ``most`` holders, those beyond ``most`` members as the regions of their shingles; and whether no x is in two cells."""
     light = members.where(F.col("c") <= most)
     comps = materialize(components(light.select(F.col("x").alias("a"), F.col("lo").alias("b"))), "cells")
     wide = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("component", F.lit(True).alias("wide"))
     named = materialize(salted_left_join(comps, wide, "component", "id"), "named-cells")
     drop_table(comps)
     small = named.where("wide is null").select(F.col("component").alias("cell"), F.col("id").alias("x"))
-    if not named.where("wide").isEmpty():
+    split = not named.where("wide").isEmpty()
+    if split:
         inner = light.join(named.where("wide").select(F.col("id").alias("x")), "x", "left_semi")
         regions = inner.select(F.xxhash64("c", "lo", "hi").alias("cell"), "x").distinct()  # shingles with the same holders are one region
         small = small.unionByName(regions)
-    return small
+    return small, not split
 
 
 # inside one task
@@ -333,8 +334,8 @@ def regions_of(d: np.ndarray, met: np.ndarray, r: float, whole: bool) -> list[np
     return out
 
 
-def join_cell(sets: list[np.ndarray], num: int, den: int, cells: Cells = Cells()) -> list[tuple[int, int]]:
-    """Links (a, b) by place that connect whatever links connect within a cell."""
+def join_cell(sets: list[np.ndarray], num: int, den: int, cells: Cells = Cells()) -> np.ndarray:
+    """For each member of a cell the first place of its component within the cell."""
     trees, links, r = Trees(len(sets)), [], 1 - num / den
     stack = [np.arange(len(sets))]
     while stack:
@@ -387,7 +388,7 @@ def join_cell(sets: list[np.ndarray], num: int, den: int, cells: Cells = Cells()
                 break
             meet(int(open_[0]))
             done[open_[0]] = True
-    return links
+    return np.array([trees.root(i) for i in range(len(sets))])
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], split: str | None = None) -> Iterator[pa.Table]:
@@ -416,15 +417,15 @@ def _sets(column) -> list[np.ndarray]:
 
 
 def cell_links(cells_: DataFrame, sets: DataFrame, num: int, den: int, cells: Cells) -> DataFrame:
-    """(a, b) of all cells within ``most`` members."""
+    """(a, b) of all cells within ``most`` members: a linked member and the least one of its component in the cell, itself too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, ["cell"]):
-            ids = np.asarray(cell.column("id"))
-            found = join_cell(_sets(cell.column("set")), num, den, cells)
-            if found:
-                a, b = np.array(found).T
-                yield pa.RecordBatch.from_pydict({"a": ids[a], "b": ids[b]})
+            ids = np.asarray(cell.column("id"))  # in order, so that the first place has the least id
+            root = join_cell(_sets(cell.column("set")), num, den, cells)
+            linked = np.bincount(root, minlength=len(root))[root] > 1
+            if linked.any():
+                yield pa.RecordBatch.from_pydict({"a": ids[linked], "b": ids[root[linked]]})
 
     rows = cells_.join(sets, "id").select("cell", "id", "set")
     return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, "a long, b long")
@@ -546,7 +547,8 @@ def join_components(full: DataFrame, classes: DataFrame, texts: DataFrame, size:
     drop_table(found)
     drop_table(marks)
     named = classes.select(F.col("code").alias("x"), "id")
-    small = materialize(cells_of(members, cells.most).join(named, "x").select("cell", "id"), "small-cells")
+    found, disjoint = cells_of(members, cells.most)
+    small = materialize(found.join(named, "x").select("cell", "id"), "small-cells")
     wide = members.where(F.col("c") > cells.most)
     heavy = None
     if not wide.isEmpty():
@@ -560,9 +562,11 @@ def join_components(full: DataFrame, classes: DataFrame, texts: DataFrame, size:
     if heavy is not None:
         sets = materialize(sets, "sets")
     links = [materialize(cell_links(small, sets, num, den, cells), "links"), *more]
+    drop_table(members)
+    if heavy is None and not more and disjoint:  # each class was in one cell: its component is known
+        return links[0].select(F.col("a").alias("id"), F.col("b").alias("component"))
     if heavy is not None:
         links += heavy_links(heavy, sets, num, den, cells)
-    drop_table(members)
     return materialize(components(_union(links)), "components")
 
 
