@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import salted_left_join, table
+from tidewater.llm.common import materialize, salted_left_join, table
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,6 +117,7 @@ def decontaminate(
         F.col("row").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(hit_positions(F.col("hits"))).cast("long").alias("n_hit"),
         F.concat_ws("\n", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["window"])))).alias("found"),
     )
+    found = materialize(found, "window-hits")  # used twice: the texts are scanned once
     # each different set of windows meets its items once, and rows meet the items of their set; most rows have none
     owners = windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     sets = found.where("found != ''").select("found").distinct().withColumn("window", F.explode(F.split("found", "\n")))
