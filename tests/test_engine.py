@@ -277,3 +277,85 @@ def test_traces(spark):
     assert traces.services(spans).count() == 1 and traces.operations(spans, "web").count() == 2 and traces.get_trace(spans, "t1").count() == 5
     got = traces.find_traces(spans, "web", "op0", min_ns=100, limit=1).collect()
     assert sorted(r.span_id for r in got) == ["s15", "s16", "s17"]
+
+
+def test_matching_needs_one_series_a_group(spark):
+    left = TimeSeriesTable(spark.createDataFrame([("a", "x", at(0), 1.0), ("a", "y", at(0), 2.0)], "host string, dc string, ts timestamp, v double"), "ts", ["host", "dc"], ["v"])
+    right = TimeSeriesTable(spark.createDataFrame([("a", at(0), 4.0)], "host string, ts timestamp, v double"), "ts", ["host"], ["v"])
+    engine = PromQL(spark, {"l": left, "r": right})
+    assert values(engine.query("l * on(host) group_left r", 0), "host", "dc") == {("a", "x", 0): 4.0, ("a", "y", 0): 8.0}
+    for query in ("l * on(host) r", "r * on(host) l", "r * on(host) group_left l"):
+        with pytest.raises(Exception, match="match"):
+            engine.query(query, 0).collect()
+
+
+@pytest.mark.parametrize("name", ["sum_over_time", "count_over_time", "avg_over_time", "min_over_time", "max_over_time", "first_over_time", "last_over_time", "present_over_time"])
+def test_windows_from_panes_equal_brute_force(spark, name):
+    samples = [(0, 3.0), (1, -2.0), (5, 7.5), (6, 1.0), (10, 4.0), (11, 4.0), (25, 0.5), (30, 9.0)]
+    table = TimeSeriesTable(spark.createDataFrame([("a", at(t), v) for t, v in samples], "host string, ts timestamp, v double"), "ts", ["host"], ["v"])
+    made = {
+        "sum_over_time": sum, "count_over_time": lambda x: float(len(x)), "avg_over_time": lambda x: sum(x) / len(x), "min_over_time": min, "max_over_time": max,
+        "first_over_time": lambda x: x[0], "last_over_time": lambda x: x[-1], "present_over_time": lambda x: 1.0,
+    }[name]
+    want = {("a", t): pytest.approx(made(held)) for t in range(1, 50, 6) if (held := [v for s, v in samples if t - 15 < s <= t])}
+    assert values(PromQL(spark, {"m": table}).query_range(f"{name}(m[15s])", 1, 49, 6), "host") == want
+
+
+def test_range_slots_from_panes_equal_brute_force(spark):
+    samples = [(0, 3), (1, -2), (5, None), (6, 1), (10, 4), (25, 7)]
+    df = spark.createDataFrame([("x", at(t), v) for t, v in samples], "host string, ts timestamp, v int")
+    items = [Item("sum", "v", "15s", "s"), Item("count", "v", "9s", "n"), Item("avg", "v", "6s", "a"), Item("min", "v", "15s", "lo"), Item("max", "v", "15s", "hi")]
+    got = {int(r.ts.replace(tzinfo=timezone.utc).timestamp()): (r.s, r.n, r.a, r.lo, r.hi) for r in range_select(df, "ts", items, "6s", ["host"]).collect()}
+    inside = lambda t, span: [v for s, v in samples if t <= s < t + span]
+    want = {}
+    for t in range(-30, 40, 6):
+        if inside(t, 15):
+            long, n, a = ([v for v in inside(t, k) if v is not None] for k in (15, 9, 6))
+            want[t] = (sum(long) if long else None, len(n), sum(a) / len(a) if a else None, min(long, default=None), max(long, default=None))
+    assert got == want
+
+
+def test_shapes_with_dents_holes_and_touching_edges(spark):
+    L = F.lit
+    cup = L("POLYGON((0 0, 9 0, 9 9, 6 9, 6 3, 3 3, 3 9, 0 9, 0 0))")
+    over = L("POLYGON((1 8, 8 8, 8 8.5, 1 8.5, 1 8))")  # its corners lie in the arms, its middle in the dent
+    ring = L("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))")
+    inner, whole = L("POLYGON((1 1, 8 1, 8 8, 1 8, 1 1))"), L("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0))")
+    beside = L("POLYGON((9 2, 12 2, 12 4, 9 4, 9 2))")
+    hole = L("POLYGON((3 3, 6 3, 6 6, 3 6, 3 3))")
+    assert one(spark, geo.st_contains(cup, over), geo.st_intersects(cup, over), geo.st_contains(ring, inner), geo.st_contains(whole, inner)) == (False, True, False, True)
+    assert one(spark, geo.st_intersects(whole, beside), geo.st_contains(whole, beside), geo.st_contains(whole, whole), geo.st_contains(ring, hole)) == (True, False, True, False)
+    assert one(spark, geo.st_contains(whole, L("POINT(0 3)")), geo.st_intersects(whole, L("POINT(0 3)")), geo.st_contains(whole, L("POINT(1 3)")), geo.st_within(L("LINESTRING(0 0, 9 9)"), whole)) == (False, True, True, True)
+    assert one(spark, geo.st_contains(cup, L("LINESTRING(1 8, 8 8)")), geo.st_contains(whole, L("LINESTRING(0 0, 9 0)")), geo.st_contains(ring, whole), geo.st_area(ring)) == (False, False, False, 72.0)
+
+
+def test_bulk_lines_with_deletes_and_schema_from_the_first_lines(spark, tmp_path):
+    body = ['{"create":{"_index":"a"}}', '{"m":1}', '{"delete":{"_index":"a","_id":"1"}}', '{"index":{"_index":"b"}}', '{"delete":1,"m":2}']
+    df = spark.createDataFrame(list(enumerate(body)), "n long, value string")
+    assert [tuple(r) for r in lines.elasticsearch_bulk(df).orderBy("index").collect()] == [("a", '{"m":1}'), ("b", '{"delete":1,"m":2}')]
+    (tmp_path / "x.json").write_text('{"a":1}\n{"a":2}\n{"a":3,"b":"late"}\n')
+    assert files.read(spark, str(tmp_path / "x.json"), "json", {"schema_infer_max_record": "2"}).columns == ["a"]
+    assert files.read(spark, str(tmp_path / "x.json"), "json").columns == ["a", "b"]
+
+
+def test_digest_presets_keep_their_order_and_names(spark):
+    df = spark.createDataFrame([("GET (1) 「x」 'q' 10.0.0.1:80 DEADBEEF-0000-0000-0000-00000000000F 7",)], "line string")
+    spec = lambda *p: [{"digest": {"fields": ["line"], "presets": list(p)}}]
+    assert run_processors(df, spec("bracketed", "quoted", "ip", "uuid", "numbers")).first().line_digest.split() == ["GET"]
+    with pytest.raises(PipelineError):
+        run_processors(df, spec("bracket"))
+
+
+def test_flow_marks_outlive_the_manager(spark, tmp_path):
+    rows = spark.createDataFrame([(at(0), 1.0, 1), (at(70), 2.0, 2)], "ts timestamp, v double, seq long")
+    plan = lambda df: df.groupBy(tumble_start("ts", "1 minute").alias("w")).agg(F.sum("v").alias("s"))
+    flow = Flow("f", "out", plan, "ts", 60, "w", sequence="seq")
+    first = FlowManager(spark, str(tmp_path))
+    first.create(flow)
+    assert first.flush("f", rows).count() == 2
+    second = FlowManager(spark, str(tmp_path))
+    second.create(flow)
+    assert second._held("f") == 2
+    assert second.flush("f", rows).count() == 2 and second.marks["f"] == 2
+    second.drop("f")
+    assert second._held("f") is None

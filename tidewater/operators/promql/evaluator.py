@@ -102,6 +102,18 @@ RANGE_FUNCTIONS = {
     "absent_over_time", "stdvar_over_time", "stddev_over_time", "quantile_over_time", "changes", "resets", "deriv", "predict_linear", "double_exponential_smoothing", "holt_winters", "mad_over_time",
 }
 
+#: Functions whose windows are put together from panes: what a pane holds, and what a window makes of its panes.
+PANES = {
+    "sum_over_time": lambda: ([F.sum("v").alias("a")], F.sum("a")),
+    "count_over_time": lambda: ([F.count("v").alias("a")], F.sum("a").cast("double")),
+    "avg_over_time": lambda: ([F.sum("v").alias("a"), F.count("v").alias("n")], F.sum("a") / F.nullif(F.sum("n"), F.lit(0))),
+    "min_over_time": lambda: ([F.min(not_nan(F.col("v"))).alias("a")], F.coalesce(F.min("a"), F.lit(NAN))),
+    "max_over_time": lambda: ([F.max(not_nan(F.col("v"))).alias("a")], F.coalesce(F.max("a"), F.lit(NAN))),
+    "first_over_time": lambda: ([F.min_by("v", "ts").alias("a"), F.min("ts").alias("at")], F.min_by("a", "at")),
+    "last_over_time": lambda: ([F.max_by("v", "ts").alias("a"), F.max("ts").alias("at")], F.max_by("a", "at")),
+    "present_over_time": lambda: ([F.lit(1.0).alias("a")], F.max("a")),
+}
+
 
 class PromQL:
     """Evaluates queries over named time-series tables."""
@@ -192,6 +204,34 @@ class PromQL:
 
     def windows(self, node, grid: Grid) -> tuple[Vector, int]:
         """Samples of a range: (labels, _t, ts, v, p, pt), p and pt being the sample before."""
+        src = self.ranged(node, grid)
+        w = Window.partitionBy(*src.labels).orderBy("ts") if src.labels else Window.partitionBy(F.lit(1)).orderBy("ts")
+        with_last = src.df.withColumn("p", F.lag("v").over(w)).withColumn("pt", F.lag("ts").over(w))
+        return Vector(self.spread(with_last, src.labels, ["ts", "v", "p", "pt"], grid, node.range_ms), src.labels), node.range_ms
+
+    def panes(self, node, grid: Grid, aggs: list[Column]) -> Vector:
+        """Windows of partial aggregates: (labels, _t, aggregates).
+
+        Every window is made of whole panes, as long as the greatest common divisor of
+        step and range. Samples are aggregated by pane first, so what is repeated for
+        each window is a pane, not a sample.
+        """
+        src = self.ranged(node, grid)
+        width = math.gcd(grid.step, node.range_ms)
+        end = (F.ceil((F.col("ts") - grid.start) / width) * width + grid.start).cast("long")
+        made = src.df.groupBy(*src.labels, end.alias("_pane")).agg(*aggs).withColumnRenamed("_pane", "ts")
+        return Vector(self.spread(made, src.labels, [c for c in made.columns if c not in (*src.labels, "ts")], grid, node.range_ms), src.labels)
+
+    @staticmethod
+    def spread(df: DataFrame, labels: list[str], keep: list[str], grid: Grid, span: int) -> DataFrame:
+        """Rows at ``ts`` repeated for every window (_t - span, _t] that holds them."""
+        low = F.greatest(F.lit(0), F.ceil((F.col("ts") - grid.start) / grid.step)).cast("long")
+        high = F.least(F.lit(grid.points - 1), F.floor((F.col("ts") + span - 1 - grid.start) / grid.step)).cast("long")
+        held = df.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo")
+        return held.select(*labels, *keep, F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t"))
+
+    def ranged(self, node, grid: Grid) -> Vector:
+        """Samples (labels, ts, v) that windows of the grid can hold."""
         if isinstance(node, Subquery):
             step = node.step_ms or grid.step
             low = grid.start - node.range_ms - node.offset_ms
@@ -204,13 +244,7 @@ class PromQL:
             src = self.samples(node, grid.start - node.range_ms, grid.end)
         else:
             raise PromQLError("expected a range vector")
-        span = node.range_ms
-        w = Window.partitionBy(*src.labels).orderBy("ts") if src.labels else Window.partitionBy(F.lit(1)).orderBy("ts")
-        with_last = src.df.withColumn("p", F.lag("v").over(w)).withColumn("pt", F.lag("ts").over(w))
-        low = F.greatest(F.lit(0), F.ceil((F.col("ts") - grid.start) / grid.step)).cast("long")
-        high = F.least(F.lit(grid.points - 1), F.floor((F.col("ts") + span - 1 - grid.start) / grid.step)).cast("long")
-        spread = with_last.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo")
-        return Vector(spread.select(*src.labels, "ts", "v", "p", "pt", F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t")), src.labels), span
+        return src
 
     # evaluation
 
@@ -326,13 +360,23 @@ class PromQL:
         every = [self.padded(Vector(d, v.labels), labels).select(*labels, "_t", "_v") for d, v in ((l, left), (extra, right))]
         return Vector(every[0].unionByName(every[1]), labels)
 
+    @staticmethod
+    def single(df: DataFrame, keys: list[str], others: list[str], message: str) -> DataFrame:
+        """At most one row for a time and a match group, else the query fails. It groups by what the join hashes by."""
+        one = F.when(F.count(F.lit(1)) == 1, F.first("_t")).otherwise(F.raise_error(F.lit(message)).cast("long"))
+        return df.groupBy(*keys, F.col("_t").alias("_at")).agg(one.alias("_t"), *[F.first(c).alias(c) for c in others]).drop("_at")
+
     def match(self, node: Binary, left: Vector, right: Vector, op) -> Vector:
         keys = self.keys(node, left, right)
         many, one = (right, left) if node.group == "group_right" else (left, right)
         include = [c for c in node.include if c in one.labels]
         m, o = self.padded(many, keys), self.padded(one, keys)
         o = o.select(*[F.col(k).alias(k) for k in keys], "_t", F.col("_v").alias("_w"), *[F.col(c).alias(f"_in_{c}") for c in include])
+        if not set(one.labels) <= set(keys):  # else a series is its own match group
+            o = self.single(o, keys, ["_w", *[f"_in_{c}" for c in include]], "found duplicate series for the match group on the one side; many-to-many matching is not allowed")
         df = m.join(o, [*keys, "_t"])
+        if not node.group and not set(many.labels) <= set(keys):
+            df = self.single(df, keys, ["_v", "_w", *[c for c in many.labels if c not in keys]], "multiple matches for labels: many-to-one matching must be explicit (group_left or group_right)")
         a, b = (F.col("_w"), F.col("_v")) if node.group == "group_right" else (F.col("_v"), F.col("_w"))
         value = op(a, b)
         if node.group:
@@ -462,10 +506,14 @@ class PromQL:
             one = self.range_call(name, [replace(a, at=None) if a is ranged else a for a in args], Grid(at, at, grid.step, grid.lookback))
             return Vector(one.df.drop("_t").crossJoin(F.broadcast(self.grid_table(grid))), one.labels)
         if name == "absent_over_time":
-            src, _ = self.windows(ranged, grid)
+            src = self.panes(ranged, grid, [F.lit(1).alias("_some")])
             labels = [(m[0], m[2]) for m in ranged.matchers if m[1] == "="] if isinstance(ranged, Selector) else []
             df = self.grid_table(grid).join(src.df.select("_t").distinct(), "_t", "left_anti")
             return Vector(df.select(*[F.lit(v).alias(k) for k, v in labels], "_t", F.lit(1.0).alias("_v")), [k for k, _ in labels])
+        if name in PANES:
+            parts, whole = PANES[name]()
+            src = self.panes(ranged, grid, parts)
+            return Vector(src.df.groupBy(*src.labels, "_t").agg(whole.alias("_v")), src.labels)
         src, span = self.windows(ranged, grid)
         t, ts, v, p = F.col("_t"), F.col("ts"), F.col("v"), F.col("p")
         held = F.col("pt") > t - span  # the sample before lies in the window too
@@ -509,8 +557,7 @@ class PromQL:
             return Vector(flat, src.labels)
         else:
             agg = {
-                "avg_over_time": F.avg(v), "sum_over_time": F.sum(v), "count_over_time": F.count(v).cast("double"), "last_over_time": F.max_by(v, ts), "first_over_time": F.min_by(v, ts), "present_over_time": F.max(F.lit(1.0)),
-                "min_over_time": F.coalesce(F.min(not_nan(v)), F.lit(NAN)), "max_over_time": F.coalesce(F.max(not_nan(v)), F.lit(NAN)), "stdvar_over_time": F.var_pop(v), "stddev_over_time": F.stddev_pop(v),
+                "stdvar_over_time": F.var_pop(v), "stddev_over_time": F.stddev_pop(v),
                 "changes": F.sum(F.when(held & (v != p), 1.0).otherwise(0.0)), "resets": F.sum(F.when(held & (v < p), 1.0).otherwise(0.0)), "deriv": F.when(F.count(F.lit(1)) > 1, F.regr_slope(v, x)),
             }[name]
         out = group.agg(agg.alias("_v"))

@@ -7,11 +7,14 @@ the rows inside its own range.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT_US = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000, "y": 31_557_600_000_000}
 
@@ -65,6 +68,9 @@ def range_select(df: DataFrame, time_index: str, items: list[Item], align: str,
     rows = df.where(F.col(time_index).isNotNull()).withColumn("_us", us)
     past = F.col("_us") - phase
     last = ((past - F.pmod(past, F.lit(step))) / step).cast("long")
+    values = {i.name: F.col(i.value) if isinstance(i.value, str) else i.value for i in items}
+    if longest > step and (panes := _panes(rows, by, items, values, spans, step, phase)) is not None:
+        rows, values = panes
     if longest <= step:  # a row has one slot at most
         slotted = rows.withColumn("_slot", last * step + phase)
     else:
@@ -73,11 +79,13 @@ def range_select(df: DataFrame, time_index: str, items: list[Item], align: str,
     slotted = slotted.where(F.col("_us") < F.col("_slot") + longest)
     aggs = []
     for item, span in zip(items, spans):
-        value = F.col(item.value) if isinstance(item.value, str) else item.value
+        value = values[item.name]
         inside = F.lit(True) if span == longest else F.col("_us") < F.col("_slot") + span
         if item.agg in ("first_value", "last_value"):
             key = F.struct(F.col(item.order_by) if item.order_by else F.col("_us"), F.col("_us"))
             made = (F.min_by if item.agg == "first_value" else F.max_by)(value, F.when(inside, key))
+        elif isinstance(value, Pane):
+            made = value.whole(inside)
         elif item.agg in AGGREGATES:
             made = AGGREGATES[item.agg](F.when(inside, value))
         else:
@@ -90,6 +98,46 @@ def range_select(df: DataFrame, time_index: str, items: list[Item], align: str,
     return out.select(*by, F.timestamp_micros("_slot").alias(time_index), *[i.name for i in items])
 
 
+@dataclass
+class Pane:
+    """An item's partial aggregate over a pane, and what a slot makes of the panes inside it."""
+
+    parts: list[Column]
+    whole: Callable[[Column], Column]
+
+
+def _pane(item: Item, value: Column, kind: T.DataType, at: str) -> Pane | None:
+    """None where the item has no exact partial aggregate of bounded size."""
+    a, n = f"_a_{at}", f"_n_{at}"
+    if item.agg == "count":
+        return Pane([F.count(value).alias(a)], lambda inside: F.coalesce(F.sum(F.when(inside, F.col(a))), F.lit(0).cast("long")))
+    if item.agg in ("min", "max"):
+        best = F.min if item.agg == "min" else F.max
+        return Pane([best(value).alias(a)], lambda inside: best(F.when(inside, F.col(a))))
+    if item.agg == "sum" and isinstance(kind, (T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType):
+        return Pane([F.sum(value).alias(a)], lambda inside: F.sum(F.when(inside, F.col(a))))
+    if item.agg == "avg" and isinstance(kind, (T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType):
+        parts = [F.sum(value.cast("double")).alias(a), F.count(value).alias(n)]
+        return Pane(parts, lambda inside: F.sum(F.when(inside, F.col(a))) / F.nullif(F.sum(F.when(inside, F.col(n))), F.lit(0)))
+    return None
+
+
+def _panes(rows: DataFrame, by: list[str], items: list[Item], values: dict, spans: list[int], step: int, phase: int) -> tuple[DataFrame, dict] | None:
+    """Rows aggregated by pane, where every item can be put together from panes.
+
+    Slots and ranges are made of whole panes, as long as the greatest common divisor
+    of the step and the ranges; a pane stands at its first microsecond. So panes are
+    repeated for the slots that overlap, not rows.
+    """
+    types = rows.select(*[values[i.name].alias(i.name) for i in items]).schema
+    made = {i.name: _pane(i, values[i.name], types[k].dataType, str(k)) for k, i in enumerate(items)}
+    if any(pane is None for pane in made.values()):
+        return None
+    width = math.gcd(step, *spans)
+    at = F.col("_us") - F.pmod(F.col("_us") - phase, F.lit(width))
+    return rows.groupBy(*by, at.alias("_pane")).agg(*[c for pane in made.values() for c in pane.parts]).withColumnRenamed("_pane", "_us"), made
+
+
 def _filled(out: DataFrame, by: list[str], items: list[Item], fills: list, step: int) -> DataFrame:
     """Missing slots between a group's first and last one are made and filled."""
     bounds = out.groupBy(*by).agg(F.min("_slot").alias("_a"), F.max("_slot").alias("_b"))

@@ -8,8 +8,14 @@ from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", options: dict | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """Options: pattern (regular expression on file names), has_header, delimiter, skip_bad_records, schema_infer_max_record."""
+    """Options: pattern (regular expression on file names), has_header, delimiter, skip_bad_records, schema_infer_max_record.
+
+    With schema_infer_max_record = n the schema of CSV and JSON comes from the first n
+    lines that a scan gives (n and the header of CSV); without it from all of them.
+    """
     options = {k.lower(): v for k, v in (options or {}).items()}
+    if kind in ("csv", "json") and schema is None and options.get("schema_infer_max_record"):
+        schema = _inferred(spark, path, kind, options)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         reader = reader.option("header", options.get("has_header", "true")).option("sep", options.get("delimiter", ","))
@@ -23,6 +29,16 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", options: dict |
     return df
 
 
+def _inferred(spark: SparkSession, path: str, kind: str, options: dict) -> StructType:
+    """Schema of the first lines; their number is the caller's bound on what the driver holds."""
+    head = options.get("has_header", "true") == "true" and kind == "csv"
+    lines = [r[0] for r in spark.read.text(path).limit(int(options["schema_infer_max_record"]) + head).collect()]
+    some = spark.sparkContext.parallelize(lines, 1)
+    if kind == "json":
+        return spark.read.json(some).schema
+    return spark.read.option("header", str(head).lower()).option("sep", options.get("delimiter", ",")).option("inferSchema", "true").csv(some).schema
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Columns of a schema by name, cast; columns that are missing are null."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])

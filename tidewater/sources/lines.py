@@ -40,14 +40,22 @@ def loki_streams(df: DataFrame, column: str = "value") -> DataFrame:
     return s.select(F.col("stream").alias("labels"), F.timestamp_micros((F.get("v", F.lit(0)).cast("decimal(20,0)") / 1000).cast("bigint")).alias("ts"), F.get("v", F.lit(1)).alias("line"))
 
 
-def elasticsearch_bulk(df: DataFrame, column: str = "value", order: str = "n") -> DataFrame:
-    """index and document of bulk lines: an action line, then its document. ``order`` numbers the lines."""
+def elasticsearch_bulk(df: DataFrame, column: str = "value", order: str = "n", request: str | None = None) -> DataFrame:
+    """index and document of bulk lines: an action line, then its document; ``delete`` actions have none.
+
+    ``order`` numbers the lines of a request from 0; ``request`` names the column that
+    tells requests apart, without it all lines are one request. A line that holds
+    nothing but a delete action is one, wherever it stands.
+    """
     from pyspark.sql import Window
 
     index = F.coalesce(F.get_json_object(column, "$.create._index"), F.get_json_object(column, "$.index._index"))
-    w = Window.partitionBy(F.floor(F.col(order) / 2)).orderBy(order)
-    rows = df.withColumn("index", F.lag(index).over(w))
-    return rows.where(F.col(order) % 2 == 1).select("index", F.col(column).alias("document"))
+    gone = F.get_json_object(column, "$.delete").startswith("{") & (F.json_object_keys(column) == F.array(F.lit("delete")))
+    w = Window.partitionBy(F.col(request) if request else F.lit(1)).orderBy(order)
+    # without the delete actions, actions and documents take turns
+    rows = df.withColumn("_gone", F.coalesce(gone, F.lit(False))).where("not _gone")
+    rows = rows.withColumn("index", F.lag(index).over(w)).withColumn("_place", F.row_number().over(w))
+    return rows.where("_place % 2 = 0").select("index", F.col(column).alias("document"))
 
 
 def remote_write(series: DataFrame) -> DataFrame:

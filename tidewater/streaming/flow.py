@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,16 +54,20 @@ class FlowManager:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.flows = spark, folder.rstrip("/"), {}
-        self.marks: dict[str, int] = {}
+        self.marks: dict[str, int] = {}  # the greatest sequence seen; kept in the folder too, for the next manager
 
     def create(self, flow: Flow, replace: bool = False) -> None:
         if flow.name in self.flows and not replace:
             raise ValueError(f"flow {flow.name} exists")
+        if replace:  # another plan: all windows are made again
+            self.marks.pop(flow.name, None)
+            self._mark(flow.name, None)
         self.flows[flow.name] = flow
 
     def drop(self, name: str) -> None:
         del self.flows[name]
         self.marks.pop(name, None)
+        self._mark(name, None)
 
     def show(self) -> DataFrame:
         return self.spark.createDataFrame([(f.name, f.sink, f.comment) for f in self.flows.values()], "flow_name string, sink string, comment string")
@@ -76,6 +81,8 @@ class FlowManager:
         flow = self.flows[name]
         rows = source.withColumn("_w", self._bin(flow))
         fresh = rows
+        if flow.sequence and name not in self.marks and (held := self._held(name)) is not None:
+            self.marks[name] = held
         if flow.sequence and name in self.marks:
             fresh = rows.where(F.col(flow.sequence) > self.marks[name])
         top = source.agg(F.max(flow.time_index).alias("t"), *([F.max(flow.sequence).alias("s")] if flow.sequence else [])).first()
@@ -90,8 +97,22 @@ class FlowManager:
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.folder}/{flow.sink}")
         if flow.sequence:
             self.marks[name] = top["s"]
+            self._mark(name, top["s"])
         return self.sink(name)
 
+    def _mark(self, name: str, value: int | None) -> None:
+        """Written after the sink: a run that dies between the two is repeated, with the same windows."""
+        rows = self.spark.range(1).select(F.lit(value).cast("long").alias("mark"))
+        rows.write.mode("overwrite").parquet(f"{self.folder}/_marks_{name}")
+
+    def _held(self, name: str) -> int | None:
+        try:
+            return self.spark.read.schema("mark long").parquet(f"{self.folder}/_marks_{name}").agg(F.max("mark")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def sink(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.flows[name].sink}").drop("day")
 
