@@ -153,6 +153,17 @@ def _each(spec, df, f):
     return df.withColumns({dst: f(F.col(src)) for src, dst in _fields(spec)})
 
 
+def _url_encode(c: Column) -> Column:
+    """Per cent encoding: a space is %20, and of the signs only - . _ ~ stay."""
+    form = F.url_encode(c)
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _url_decode(c: Column) -> Column:
+    """A plus is itself; a text with a broken escape stays."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
 def _select(df, spec):
     names = _fields(spec)
     if spec.get("type", "include") == "exclude":
@@ -169,7 +180,7 @@ PROCESSORS = {
     "json_path": lambda df, s: _each(s, df, lambda c: F.get_json_object(c, s["json_path"])),
     "simple_extract": lambda df, s: _each(s, df, lambda c: F.get_json_object(c, "$." + s["key"])),
     "letter": lambda df, s: _each(s, df, {"upper": F.upper, "lower": F.lower, "capital": lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1))}[s.get("method", "lower")]),
-    "urlencoding": lambda df, s: _each(s, df, F.url_decode if s.get("method", "decode") == "decode" else F.url_encode),
+    "urlencoding": lambda df, s: _each(s, df, _url_decode if s.get("method", "decode") == "decode" else _url_encode),
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import timeseries
+from tidewater.plans import ingest, timeseries
 from tidewater.plans.engine import Engine
 from tidewater.plans.relational import SQL
 
@@ -19,8 +19,8 @@ def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Engine(spark).load(sf_dir, names).sql(text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(text) for name, (text, _) in SQL.items()} | timeseries.QUERIES
-ORACLE_SQL: dict[str, str] = {name: duck or text for name, (text, duck) in SQL.items()} | timeseries.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(text) for name, (text, _) in SQL.items()} | timeseries.QUERIES | ingest.QUERIES
+ORACLE_SQL: dict[str, str] = {name: duck or text for name, (text, duck) in SQL.items()} | timeseries.ORACLE_SQL | ingest.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
