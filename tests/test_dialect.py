@@ -91,3 +91,18 @@ def test_cursors_settings_and_analyze(engine):
     assert any("numOutputRows" in r.metrics for r in rows)
     with pytest.raises(ValueError):
         engine.sql("USE nowhere")
+
+
+def test_s2_cells(spark):
+    """Published cells and points on faces 0, 1, 2, 4 and 5; a point given to nine places is exact to level 20."""
+    known = [
+        ("47a1cbd595522b39", 49.703498679, 11.770681595), ("52b30b71698e729d", 45.486546517, -93.449700022), ("3663f18a24cbe857", 34.364439040, 108.330699969),
+        ("10a06c0a948cf5d", -30.694551352, -30.048758753), ("2b2bfd076787c5df", -25.285264027, 133.823116966), ("94daa3d000000001", -24.694439215, -47.537363213), ("87a1000000000001", 38.899730392, -99.901813021),
+        ("b09dff882a7809e1", -75.000000031, 0.000000133),
+    ]
+    engine = Engine(spark)
+    engine.register("places", spark.createDataFrame([(k, a, o) for k, a, o in known], "want string, lat double, lng double"))
+    got = engine.sql("SELECT want, s2_cell_to_token(s2_latlng_to_cell(lat, lng)) AS leaf, s2_cell_level(s2_latlng_to_cell(lat, lng)) AS level, s2_latlng_to_cell(91, lng) AS none FROM places").collect()
+    for r in got:
+        assert r.level == 30 and r.none is None
+        assert int(r.leaf.ljust(16, "0"), 16) >> 21 == int(r.want.rjust(16, "0"), 16) >> 21

@@ -202,6 +202,31 @@ def _geohash(args: list[str]) -> str:
     return f"concat({', '.join(letters)})"
 
 
+# Fixed values of the S2 curve: the place of each quadrant (2i + j) on the curve by orientation, and how each place turns it.
+S2_PLACES = "array(array(0, 1, 3, 2), array(0, 3, 1, 2), array(2, 3, 1, 0), array(2, 1, 3, 0))"
+S2_TURNS = "array(1, 0, 0, 3)"
+
+
+def _s2_cell(args: list[str]) -> str:
+    """The leaf cell of a point as the 64 bits of a BIGINT; null outside the valid degrees."""
+    if len(args) != 2:
+        raise SqlFunctionError("s2_latlng_to_cell takes a latitude and a longitude")
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    square = lambda u: f"IF({u} >= 0, 0.5D * sqrt(1 + 3 * {u}), 1 - 0.5D * sqrt(1 - 3 * {u}))"
+    grid = lambda u: f"CAST(least(greatest(floor({square(u)} * 1073741824D), 0L), 1073741823L) AS BIGINT)"
+    degrees = f"named_struct('a', radians(CAST({args[0]} AS DOUBLE)), 'o', radians(CAST({args[1]} AS DOUBLE)))"
+    point = "named_struct('x', cos(tw_d.a) * cos(tw_d.o), 'y', cos(tw_d.a) * sin(tw_d.o), 'z', sin(tw_d.a))"
+    axis = "CASE WHEN abs(tw_p.x) > abs(tw_p.y) AND abs(tw_p.x) > abs(tw_p.z) THEN IF(tw_p.x < 0, 3, 0) WHEN abs(tw_p.x) <= abs(tw_p.y) AND abs(tw_p.y) > abs(tw_p.z) THEN IF(tw_p.y < 0, 4, 1) ELSE IF(tw_p.z < 0, 5, 2) END"
+    u = "CASE tw_f WHEN 0 THEN tw_p.y / tw_p.x WHEN 1 THEN -tw_p.x / tw_p.y WHEN 2 THEN -tw_p.x / tw_p.z WHEN 3 THEN tw_p.z / tw_p.x WHEN 4 THEN tw_p.z / tw_p.y ELSE -tw_p.y / tw_p.z END"
+    v = "CASE tw_f WHEN 0 THEN tw_p.z / tw_p.x WHEN 1 THEN tw_p.z / tw_p.y WHEN 2 THEN -tw_p.y / tw_p.z WHEN 3 THEN tw_p.y / tw_p.x WHEN 4 THEN -tw_p.x / tw_p.y ELSE -tw_p.x / tw_p.z END"
+    place = f"get(get({S2_PLACES}, tw_s.t), CAST(2 * (shiftright(tw_g.i, tw_k) & 1) + (shiftright(tw_g.j, tw_k) & 1) AS INT))"
+    step = let(place, "tw_q", f"named_struct('t', tw_s.t ^ get({S2_TURNS}, tw_q), 'n', tw_s.n * 4 + tw_q)")
+    walk = f"aggregate(sequence(29, 0, -1), named_struct('t', tw_f & 1, 'n', CAST(0 AS BIGINT)), (tw_s, tw_k) -> {step}, tw_s -> shiftleft(CAST(tw_f AS BIGINT), 61) | shiftleft(tw_s.n, 1) | 1L)"
+    cell = let(f"named_struct('u', {u}, 'v', {v})", "tw_w", let(f"named_struct('i', {grid('tw_w.u')}, 'j', {grid('tw_w.v')})", "tw_g", walk))
+    inside = f"abs(CAST({args[0]} AS DOUBLE)) <= 90 AND abs(CAST({args[1]} AS DOUBLE)) <= 180"
+    return f"IF({inside}, {let(degrees, 'tw_d', let(point, 'tw_p', let(axis, 'tw_f', cell)))}, NULL)"
+
+
 def _sphere(args: list[str]) -> str:
     """Great-circle metres between two WKT points."""
     lon, lat = (lambda w, i=i: f"CAST(regexp_extract({w}, 'POINT\\\\s*\\\\(\\\\s*(\\\\S+)\\\\s+([^\\\\s)]+)', {i}) AS DOUBLE)" for i in (1, 2))
@@ -276,6 +301,7 @@ MACROS: dict[str, Callable[[list[str]], str]] = {
     "json_encode_path": fill(f"to_json(transform({PATH}, tw_p -> array(tw_p.lng, tw_p.lat)))"),
     # places
     "geohash": _geohash, "wkt_point_from_latlng": fill("concat('POINT(', CAST({1} AS STRING), ' ', CAST({0} AS STRING), ')')"), "st_distance_sphere_m": _sphere, "st_distance": _plane,
+    "s2_latlng_to_cell": _s2_cell,
     "s2_cell_level": fill("CAST(30 - (length(bin({0} & -({0}))) - 1) div 2 AS INT)"),
     "s2_cell_parent": fill("(({0} & -(shiftleft(1L, 2 * (30 - {1})))) | shiftleft(1L, 2 * (30 - {1})))"),
     "s2_cell_to_token": fill("regexp_replace(lower(lpad(hex({0}), 16, '0')), '0+$', '')"),
