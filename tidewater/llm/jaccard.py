@@ -23,9 +23,12 @@ Equal sets are one class, so copies are never compared.
    settled; regions that do not shrink are ended by pivots alone, one after the
    other, until all members outside the largest component have met all others.
 4. Heavy cells take the same step as a job: members are dealt to parts of
-   ``block`` rows, each with a copy of the pivots. Regions within ``most`` go to
-   step 3; after ``rounds`` steps, or when few members are outside the largest
-   component, blocks of those members meet all blocks of the cell.
+   ``block`` rows, each with a copy of the pivots. A cell goes on as its regions
+   where those hold fewer members than it, replicas counted; else it stays whole
+   without its pivots, which have met all. After ``rounds`` steps there are only
+   pivots, four times as many each step up to ``block``. Cells within ``most`` go
+   to step 3; a block of few members outside the largest component meets all
+   blocks of its cell. So no step holds more than a copy of a cell and its pivots.
 
 So every pair within r that is not in one component already is compared: the
 components are exact. No step lists the pairs of a cell; a cell whose members
@@ -49,16 +52,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_table, materialize, salted_left_join, slices, table, text_buffers
+from tidewater.llm.common import drop_table, materialize, release, salted_left_join, slices, table, text_buffers
 from tidewater.llm.graph import components
 from tidewater.llm.words import POWERS, mix, word_codes
 
-SKETCH_BITS, SALTS = 20, 8
+SKETCH_BITS = 20
 
 
 @dataclass(frozen=True)
 class Cells:
-    """most: members of a cell that one task joins; block: rows of a part; pivots a step; rounds: steps of heavy cells; leaf: members that need no regions."""
+    """most: members of a cell that one task joins; block: rows of a part; pivots a step; rounds: steps of heavy cells that may part them; leaf: members that need no regions."""
 
     most: int = 2048
     block: int = 1024
@@ -215,23 +218,40 @@ def shared_by(postings: DataFrame) -> DataFrame:
     return postings.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi")
 
 
+SLICE, MOST_SLICES = 1 << 23, 16
+
+
 def shared_postings(full: DataFrame, num: int, den: int) -> DataFrame:
     """(t, x): prefix shingles t that several classes hold and their holders, without classes that hold too few.
 
-    Shingles meet once, without their holders. While a bit table of the shared ones
+    Shingles meet once, without their holders, a slice of them after the other, so
+    that the disk holds one slice's shuffle. While a bit table of the shared ones
     is within its bound it keeps all other postings out of any further shuffle;
-    beyond it they are joined.
+    beyond it they are joined, slice by slice too.
     """
     full = full.where("code is not null and doc_id is not null")
-    post = full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"))
-    shared = materialize(post.groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("t"), "shared")
-    count = shared.count()
+    spark = full.sparkSession
+    slices_ = min(MOST_SLICES, 1 + (full.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SLICE)
+    post = [full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"), "n").where(F.pmod("t", F.lit(slices_)) == i) for i in range(slices_)]
+    shared = []
+    for own in post:
+        release(spark, 0.0)
+        shared.append(materialize(own.groupBy("t").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo != hi").select("t"), "shared"))
+    release(spark, 0.0)
+    count = sum(s.count() for s in shared)
     if 4 * count > 1 << BLOOM_BITS:
-        both = _salted(full.select(F.explode("prefix").alias("t"), F.col("code").alias("x"), "n").distinct(), shared)
-        enough = both.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 1 + F.floor(F.ceil(num * F.col("n") / den) / 10)).select("x")
-        return materialize(both.join(enough, "x", "left_semi").select("t", "x"), "members")
+        both = []
+        for own, few in zip(post, shared):
+            both.append(materialize(own.join(few, "t").distinct(), "shared-postings"))
+            release(spark, 0.0)
+        every = _union(both)
+        enough = every.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 1 + F.floor(F.ceil(num * F.col("n") / den) / 10)).select("x")
+        out = materialize(every.join(enough, "x", "left_semi").select("t", "x"), "members")
+        for used in (*both, *shared):
+            drop_table(used)
+        return out
     bits = bloom_bits(count)
-    held = full.sparkSession.sparkContext.broadcast(bloom(shared, bits))
+    held = spark.sparkContext.broadcast(bloom(_union(shared), bits))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = held.value
@@ -246,13 +266,10 @@ def shared_postings(full: DataFrame, num: int, den: int) -> DataFrame:
                 keep = hit & some[owner]
                 yield pa.RecordBatch.from_pydict({"t": values[keep], "x": np.asarray(batch.column("code"))[owner[keep]]})
 
-    return materialize(full.select("prefix", "n", "code").mapInArrow(named, "t long, x long").distinct(), "members")
-
-
-def _salted(postings: DataFrame, marks: DataFrame) -> DataFrame:
-    """Postings with the columns of their shingle; the holders of a hot one spread over SALTS tasks."""
-    left = postings.withColumn("_s", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-    return left.join(marks.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["t", "_s"]).drop("_s")
+    out = materialize(full.select("prefix", "n", "code").mapInArrow(named, "t long, x long").distinct(), "members")
+    for used in shared:
+        drop_table(used)
+    return out
 
 
 def cells_of(members: DataFrame, most: int) -> tuple[DataFrame, bool]:
@@ -435,40 +452,65 @@ def cell_links(cells_: DataFrame, sets: DataFrame, num: int, den: int, cells: Ce
 
 
 def pivot_step(now: DataFrame, num: int, den: int, cells: Cells, round_: int) -> DataFrame:
-    """(cell, id, set, q): members in their new cells where q is null, else links (id, q). ``now`` has cell, id, set, comp, lead, size."""
+    """(cell, id, key, region, q): links (id, q) that tie what the pivots link, and where q is null the members left: at region -1 all, besides in each of their regions.
+
+    ``now`` has cell, id, key, set, comp, lead, size. No set leaves the step.
+    """
+    split = round_ < cells.rounds
+    most = cells.pivots if split else min(cells.block, cells.pivots << 2 * (round_ - cells.rounds + 1))
     outside = now.where("comp != lead")
-    pivots = outside.groupBy("cell", F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(cells.pivots)).alias("no")).agg(F.min_by(F.struct("id", "set", "size"), F.struct(F.xxhash64("id"), "id")).alias("p"))
+    pivots = outside.groupBy("cell", F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(most)).alias("no")).agg(F.min_by(F.struct("id", "key", "set", "size"), F.struct(F.xxhash64("key"), "key")).alias("p"))
     parts = lambda size: F.ceil(F.col(size) / cells.block)
-    copies = pivots.select("cell", F.explode(F.sequence(F.lit(0), (parts("p.size") - 1).cast("int"))).alias("part"), "p.id", "p.set", F.lit(0).alias("side"))
-    dealt = now.select("cell", F.pmod(F.xxhash64("id"), parts("size")).cast("int").alias("part"), "id", "set", F.lit(1).alias("side"))
-    both = copies.unionByName(dealt).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "id")
+    copies = pivots.select("cell", F.explode(F.sequence(F.lit(0), (parts("p.size") - 1).cast("int"))).alias("part"), "p.id", "p.key", "p.set", F.lit(0).alias("side"))
+    dealt = now.select("cell", F.pmod(F.xxhash64("key"), parts("size")).cast("int").alias("part"), "id", "key", "set", F.lit(1).alias("side"))
+    both = copies.unionByName(dealt).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "key")
     r = 1 - num / den
 
+    def rows(cell: int, ids: np.ndarray, keys: np.ndarray | None, region: int | None, q: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(ids), pa.int64())
+        columns = [pa.array([cell] * len(ids), pa.int64()), pa.array(ids), none if keys is None else pa.array(keys), none if region is None else pa.array([region] * len(ids), pa.int64()), none if q is None else pa.array(q)]
+        return pa.RecordBatch.from_arrays(columns, names=["cell", "id", "key", "region", "q"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot_ids = holders = None
+        pivot_ids = pivot_keys = holders = None
         for part in runs(batches, ["cell", "part"], "side"):
-            ids = np.asarray(part.column("id"))
+            ids, keys = np.asarray(part.column("id")), np.asarray(part.column("key"))
             if part.column("side")[0].as_py() == 0:
-                pivot_ids, holders = ids, Holders(_sets(part.column("set")))
+                pivot_ids, pivot_keys, holders = ids, keys, Holders(_sets(part.column("set")))
                 continue
             sets, cell = _sets(part.column("set")), part.column("cell")[0].as_py()
             inter = np.array([holders.overlaps(s) for s in sets]).T
             union = holders.n[:, None] + np.array([len(s) for s in sets])[None, :] - inter
-            q, x = np.nonzero((inter * den >= union * num) & (inter > 0))
-            far = pivot_ids[q] != ids[x]
-            none = pa.nulls(int(far.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(ids[x][far]), pa.nulls(len(none), pa.binary()), pa.array(pivot_ids[q][far])], names=["cell", "id", "set", "q"])
-            left = np.flatnonzero(~np.isin(ids, pivot_ids))  # pivots have met the whole cell
+            linked = (inter * den >= union * num) & (inter > 0)
+            some, first = np.flatnonzero(linked.any(0)), linked.argmax(0)
+            yield rows(cell, ids[some], None, None, pivot_ids[first[some]])
+            q, x = np.nonzero(linked)  # pivots with a member in common, once each
+            ties = np.unique(first[x] * len(pivot_ids) + q)
+            yield rows(cell, pivot_ids[ties % len(pivot_ids)], None, None, pivot_ids[ties // len(pivot_ids)])
+            left = np.flatnonzero(~np.isin(keys, pivot_keys))  # pivots have met the whole cell
             if len(left):
-                for i, at in enumerate(regions_of((1 - inter / union)[:, left], inter[:, left] > 0, r, False)):
+                yield rows(cell, ids[left], keys[left], -1, None)
+                for i, at in enumerate(regions_of((1 - inter / union)[:, left], inter[:, left] > 0, r, False) if split else []):
                     if len(at):
-                        home = int(mix(np.array([cell], np.int64).view(np.uint64) + np.uint64(i + 1 + 64 * round_)).view(np.int64)[0])
-                        rows = part.take(pa.array(left[at])).combine_chunks()
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([home] * len(at), pa.int64()), rows.column("id").chunk(0), rows.column("set").chunk(0), pa.nulls(len(at), pa.int64())], names=["cell", "id", "set", "q"]
-                        )
-
-    return both.mapInArrow(run, "cell long, id long, set binary, q long")
+                        yield rows(cell, ids[left[at]], keys[left[at]], i, None)
+
+    return both.mapInArrow(run, "cell long, id long, key long, region long, q long")
+
+
+def next_cells(ready: DataFrame, step: DataFrame, comps: DataFrame, round_: int, split: bool) -> DataFrame:
+    """(cell, id, key, set) after a pivot step: the regions with several components where they hold fewer members than the cell, else the cell without its pivots."""
+    home = F.when(F.col("region") < 0, F.col("cell")).otherwise(F.xxhash64("cell", "region", F.lit(round_)))
+    left = step.where("q is null").select("cell", "id", "key", (F.col("region") >= 0).alias("part"), home.alias("home"))
+    named = left.join(comps.select("id", "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    groups = named.groupBy("cell", "home", "part").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    groups = materialize(groups, "regions")  # at most pivots + 2 rows a cell
+    total = lambda rows: F.sum(F.when(rows, F.col("k")).otherwise(0))
+    choice = groups.groupBy("cell").agg((F.lit(split) & (total(F.col("part")) <= 0.9 * total(~F.col("part")))).alias("split"))
+    kept = groups.join(choice, "cell").where("part = split").select("home", F.lit(True).alias("kept"))
+    moved = salted_left_join(left, kept, "home", "key").where("kept").select("cell", "key", "home")
+    out = materialize(ready.select("cell", "id", "key", "set").join(moved, ["cell", "key"]).select(F.col("home").alias("cell"), "id", "key", "set"), "heavy")
+    drop_table(groups)
+    return out
 
 
 def block_links(now: DataFrame, num: int, den: int, cells: Cells) -> DataFrame:
@@ -510,26 +552,29 @@ def block_links(now: DataFrame, num: int, den: int, cells: Cells) -> DataFrame:
 
 def heavy_links(heavy: DataFrame, sets: DataFrame, num: int, den: int, cells: Cells) -> list[DataFrame]:
     """Tables (a, b) of the links of cells (cell, id) with more than ``most`` members."""
-    now = materialize(heavy.join(sets, "id").select("cell", "id", "set"), "heavy")
+    now = materialize(heavy.join(sets, "id").select("cell", "id", F.xxhash64("id", "set").alias("key"), "set"), "heavy")
     found: list[DataFrame] = []
-    comps = None
-    for round_ in range(cells.rounds + 1):
+    comps, round_ = None, 0
+    while True:
         named = now.withColumn("comp", F.col("id")) if comps is None else now.join(comps.select("id", F.col("component").alias("_c")), "id", "left").withColumn("comp", F.coalesce("_c", "id")).drop("_c")
         counts = named.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top"))
         stats = counts.select("cell", "size", F.col("top.comp").alias("lead"), (F.col("size") - F.col("top.k")).alias("outside")).where("outside > 0")
-        ready = materialize(salted_left_join(named, stats, "cell", "id").where("size is not null"), "heavy-cells")
-        small = F.col("size") <= cells.most
-        thin = (F.col("outside") <= cells.block) if round_ < cells.rounds else F.lit(True)
+        ready = materialize(salted_left_join(named, stats, "cell", "key").where("size is not null"), "heavy-cells")
+        drop_table(now)
+        small, thin = F.col("size") <= cells.most, F.col("outside") <= cells.block
         found.append(materialize(cell_links(ready.where(small).select("cell", "id"), ready.where(small).select("id", "set").dropDuplicates(["id", "set"]), num, den, cells), "small-links"))
         found.append(materialize(block_links(ready.where(~small & thin), num, den, cells), "block-links"))
         wide = ready.where(~small & ~thin)
-        if round_ == cells.rounds or wide.isEmpty():
-            break
+        if wide.isEmpty():
+            drop_table(ready)
+            return found
         step = materialize(pivot_step(wide, num, den, cells, round_), "pivot-step")
-        found.append(materialize(step.where("q is not null").select(F.col("id").alias("a"), F.col("q").alias("b")), "pivot-links"))
+        found.append(materialize(step.where("q is not null and id != q").select(F.col("id").alias("a"), F.col("q").alias("b")).distinct(), "pivot-links"))
         comps = materialize(components(_union(found)), "heavy-components")
-        now = step.where("q is null").select("cell", "id", "set")
-    return found
+        now = next_cells(wide, step, comps, round_, round_ < cells.rounds)
+        drop_table(ready)
+        drop_table(step)
+        round_ += 1
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -540,10 +585,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def join_components(full: DataFrame, classes: DataFrame, texts: DataFrame, size: int, num: int, den: int, cells: Cells, more: list[DataFrame]) -> DataFrame:
-    """(id, component) of the documents that link with another class; ``more`` are tables of further links (a, b)."""
+    """(id, component) of the documents that link with another class; ``more`` are tables of further links (a, b). Removes the files of ``full``."""
     found = shared_postings(full, num, den)
+    drop_table(full)
+    release(full.sparkSession, 0.0)
     marks = materialize(shared_by(found), "shared")  # once more: holders of too few have left
-    members = materialize(_salted(found, marks), "postings")
+    members = materialize(found.join(marks, "t"), "postings")  # a mark a shingle: a hot one's holders stay as many
     drop_table(found)
     drop_table(marks)
     named = classes.select(F.col("code").alias("x"), "id")
@@ -575,8 +622,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(texts, size))  # fixed size
     full = materialize(class_table(texts, sketch, size, num, den), "sets-of-rows")
-    rows = full.select("doc_id", "n", "digest")
-    usable = full.where("digest is not null and doc_id is not null")
+    rows = materialize(full.select("doc_id", "n", "digest", "code"), "rows")  # prefixes go once they have met
+    usable = rows.where("digest is not null and doc_id is not null")
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("code").alias("code"), F.count(F.lit(1)).alias("copies")), "classes")
     # ids with several rows tie the classes of their texts together
     several = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("c > 1")
