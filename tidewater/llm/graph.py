@@ -12,9 +12,11 @@ SALTS = 8
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and its neighbours; a hub's rows spread over SALTS tasks."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    right = least.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(right, ["u", "_s"]).drop("_s")
+    pairs = pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr("shiftleft(1, _s)")).alias("_has")).withColumn("m", F.least("u", "m"))
+    salts = F.filter(F.array(*[F.lit(i) for i in range(SALTS)]), lambda i: F.col("_has").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)  # a copy for each task that has rows of u, not for all
+    right = least.select("u", "m", F.explode(salts).alias("_s"))
+    return pairs.join(right, ["u", "_s"]).drop("_s")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
