@@ -53,7 +53,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens of every row; null and empty texts have no ids."""
-    return pieces.token_table(pieces.encode(docs))
+    return pieces.tokens(docs)
 
 
 STAGES = [

@@ -552,3 +552,28 @@ def test_html_deep_pages(spark):
     rows = [(k, "http://deep.example/p", deep(k)) for k in range(4)]
     got = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"story {k} of the deep page" for k in range(4)}
+
+
+def test_line_ranks_start_no_python(spark):
+    groups = spark.range(500).select((F.col("id") * 37 % 500).alias("h"), (F.col("id") * 37 % 500 % 7 + 2).alias("n"))
+    found = linededup.rank_groups(groups, ["h"], "rank-test")
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()  # a table of the driver's rows
+    before, want = 0, []
+    for h in range(500):
+        want.append((h, before))
+        before += h % 7 + 2
+    assert sorted(map(tuple, found.select("h", "rank").collect())) == want
+    assert linededup.rank_groups(groups.limit(0), ["h"], "rank-test").collect() == []
+
+
+def test_pipeline_encodes_in_one_pass(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = docs_of(spark, AWKWARD)
+    found = corpus_pipeline.sentencepiece_encoding(spark, docs, sf_dir)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # two would hold two workers a task
+    for chunk_chars in (1000, 32_768):
+        got, want = pieces.tokens(docs, chunk_chars=chunk_chars), pieces.token_table(pieces.encode(docs, chunk_chars=chunk_chars))
+        assert got.dtypes == want.dtypes
+        rows = [sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["ids"]) for r in x.collect()) for x in (got, want)]
+        assert rows[0] == rows[1] and any(r[2] for r in rows[0])

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_table, materialize, release, salted_left_join, slices, table, text_buffers
+from tidewater.llm.common import SLICE_BYTES, drop_table, materialize, release, salted_left_join, slices, table, text_buffers
 from tidewater.llm.graph import components
 from tidewater.llm.words import POWERS, mix, word_codes
 
@@ -105,7 +105,7 @@ def frequency_sketch(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 digests, _ = shingles(*text_buffers(batch.column("text")), size)
                 total += np.bincount((digests >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         parts = total.reshape(segments, width)
@@ -149,7 +149,7 @@ def class_table(texts: DataFrame, sketch, size: int, num: int, den: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = sketch.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 digests, bounds = shingles(*text_buffers(batch.column("text")), size)
                 weight = logs[(digests >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 sums, prefixes = [], []
@@ -206,7 +206,7 @@ def set_table(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filter_.value
         for whole in batches:
-            for part in slices(whole.filter(pa.array(in_bloom(held, np.asarray(whole.column("h")), bits))), "text", 1 << 20):
+            for part in slices(whole.filter(pa.array(in_bloom(held, np.asarray(whole.column("h")), bits))), "text", SLICE_BYTES):
                 digests, bounds = shingles(*text_buffers(part.column("text")), size)
                 yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "set": pa.array([digests[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())})
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches, slices, table, text_buffers
+from tidewater.llm.common import SLICE_BYTES, bounded_batches, slices, table, text_buffers
 
 LETTER = re.compile(r"[^\W\d_]")
 SPACE = 32
@@ -238,7 +238,7 @@ def identify(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = model.value
         for whole in batches:
-            found = [predict(tables, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", 1 << 20)]
+            found = [predict(tables, part.column(0)) for part in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", SLICE_BYTES)]
             names, score, rate = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["lang_pred", "score", "bits_per_byte"])
 

@@ -57,7 +57,7 @@ def _spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFra
     """Inner join of rows to one row a key, a hot key over SALTS tasks."""
     left = rows.withColumn("_s", F.pmod(F.xxhash64(*DOC, "no"), F.lit(SALTS)).cast("int"))
     right = groups.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, [*keys, "_s"]).drop("_s")
+    return left.join(right.hint("merge"), [*keys, "_s"]).drop("_s")  # small as a file, its SALTS copies are too many to pass through the driver
 
 
 def rank_groups(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -69,9 +69,10 @@ def rank_groups(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
         total += row["n"]
     if not ends:
         return dealt.select(*keys, F.lit(0).cast("long").alias("rank"))
-    starts = dealt.sparkSession.createDataFrame(list(ends.items()), "_part int, _start long")
+    # a constant of the plan: as a table of the driver's rows it would start Python on every executor
+    starts = F.expr(f"array({', '.join(f'{ends.get(i, 0)}L' for i in range(max(ends) + 1))})")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(starts), "_part").select(*keys, (F.col("_start") + before).alias("rank"))
+    return dealt.select(*keys, (F.get(starts, F.col("_part")) + before).alias("rank"))
 
 
 def _level(rows: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -303,19 +303,25 @@ def _udf(run, kind: str):
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
-def _encode_short(docs: DataFrame, model, chunk_chars: int) -> DataFrame:
+def _listed(ids: list[bytes]) -> pa.ListArray:
+    """Ids as lists of integers."""
+    ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+
+
+def _encode_short(docs: DataFrame, model, chunk_chars: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = model.value.ready()
         for whole in batches:
             ids: list[bytes] = []
             for part in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", 1 << 20):
                 ids.extend(pieces.encode_free(normalise(t)) for t in part.column(0).to_pylist())
-            yield pa.array(ids, pa.binary())
+            yield pa.array(ids, pa.binary()) if kind == "binary" else _listed(ids)
 
-    return docs.where(F.length("text") < chunk_chars).select("doc_id", "text", _udf(run, "binary")("text").alias("ids"))
+    return docs.where(F.length("text") < chunk_chars).select("doc_id", "text", _udf(run, kind)("text").alias("ids"))
 
 
-def _encode_giant(docs: DataFrame, model, chunk_chars: int, margin: int) -> DataFrame:
+def _encode_giant(docs: DataFrame, model, chunk_chars: int, margin: int, kind: str) -> DataFrame:
     giants = docs.where(F.length("text") >= chunk_chars).withColumn("key", F.unhex(F.sha2("text", 256)))
     chars = F.length("text") + 1  # with the space in front
     chunk = giants.select("key", "text", chars.alias("chars"), F.explode(F.sequence(F.lit(0), F.floor((chars - 1) / chunk_chars).cast("int"))).alias("no"))
@@ -352,17 +358,18 @@ def _encode_giant(docs: DataFrame, model, chunk_chars: int, margin: int) -> Data
     def glue(key, rows):
         import pandas as pd
 
-        return pd.DataFrame({"key": [key[0]], "ids": [b"".join(rows.sort_values("no")["ids"])]})
+        ids = b"".join(rows.sort_values("no")["ids"])
+        return pd.DataFrame({"key": [key[0]], "ids": [ids if kind == "binary" else np.frombuffer(ids, "<u4").astype(np.int32)]})
 
     once = chunks.mapInArrow(matrices, pieces_schema).groupBy("key", "no").agg(F.first("n_in").alias("n_in"), F.first("m").alias("m"))  # copies of a text agree
     states = once.groupBy("key").applyInPandas(scan, "key binary, no int, begins int, ends int")
     parts = chunks.join(states, ["key", "no"]).mapInArrow(pieces_of, "key binary, no int, ids binary").groupBy("key", "no").agg(F.first("ids").alias("ids"))
-    whole = parts.groupBy("key").applyInPandas(glue, "key binary, ids binary")
+    whole = parts.groupBy("key").applyInPandas(glue, f"key binary, ids {kind}")
     return giants.join(whole, "key").select("doc_id", "text", "ids")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, chunk_chars: int = 32_768) -> DataFrame:
-    """(doc_id, text, ids): ids are little-endian uint32 bytes."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, chunk_chars: int = 32_768, kind: str = "binary") -> DataFrame:
+    """(doc_id, text, ids): ids are little-endian uint32 bytes, or lists with the kind array<int>."""
     bounded_batches(docs.sparkSession)
     pieces = PieceModel.load(model_path)
     model = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary
@@ -370,7 +377,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     margin = 2 * max(map(len, pieces.pieces)) + 2
     if chunk_chars < margin:
         raise ValueError("chunks are shorter than what a piece can reach")
-    return _encode_short(rows, model, chunk_chars).unionByName(_encode_giant(rows, model, chunk_chars, margin))
+    return _encode_short(rows, model, chunk_chars, kind).unionByName(_encode_giant(rows, model, chunk_chars, margin, kind))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
@@ -399,12 +406,15 @@ def token_table(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            raw = batch.to_pylist()
-            ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in raw], dtype=np.int64)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+            yield _listed(batch.to_pylist())
 
     return encoded.select("doc_id", _udf(run, "array<int>")("ids").alias("ids"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
+def tokens(docs: DataFrame, **how) -> DataFrame:
+    """token_table(encode(docs)) in one pass of Python: a task holds one worker and not two."""
+    return encode(docs, **how, kind="array<int>").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(encode(table(spark, sf_dir, "documents")))
