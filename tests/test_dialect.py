@@ -106,3 +106,21 @@ def test_s2_cells(spark):
     for r in got:
         assert r.level == 30 and r.none is None
         assert int(r.leaf.ljust(16, "0"), 16) >> 21 == int(r.want.rjust(16, "0"), 16) >> 21
+
+
+def test_distinct_values_are_counted_apart_from_sketches(engine):
+    rows = [(k, k % 7 if k % 3 else None, k * 0.25, k % 2 if k % 11 else None) for k in range(400)]
+    engine.register("odd", engine.spark.createDataFrame(rows, "id int, x int, v double, g int"))
+    text = "SELECT g, count(DISTINCT x) AS n, sum(DISTINCT x) * 2 AS s, approx_median(v) AS m, count(*) AS c FROM odd WHERE id < 390 GROUP BY g HAVING count(DISTINCT x) > 2 ORDER BY g"
+    assert "tw_d" in translate(text)
+    want = []
+    for g in (None, 0, 1):
+        group = [r for r in rows if r[3] == g and r[0] < 390]
+        xs, vs = {r[1] for r in group} - {None}, sorted(r[2] for r in group)
+        want.append((g, len(xs), sum(xs) * 2, vs[(len(vs) - 1) // 2], len(group)))
+    assert [tuple(r) for r in engine.sql(text).collect()] == want
+    assert one(engine, "SELECT count(DISTINCT x) AS n, percentile(v, 0.5) AS m FROM odd WHERE id < 0") == (0, None)
+    buffers = engine.sql(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("approx" not in line or "x#" not in line.split("Aggregate [")[1].split("]")[0] for line in buffers.splitlines() if "Aggregate [" in line)
+    for left in ("SELECT count(DISTINCT x), median(v) FROM odd", "SELECT g % 2 AS g, count(DISTINCT x) AS n, median(v) AS m FROM odd GROUP BY g", "SELECT count(DISTINCT x) AS n, sum(v) AS s FROM odd"):
+        assert "tw_d" not in translate(left)
