@@ -359,3 +359,30 @@ def test_flow_marks_outlive_the_manager(spark, tmp_path):
     assert second.flush("f", rows).count() == 2 and second.marks["f"] == 2
     second.drop("f")
     assert second._held("f") is None
+
+
+def test_change_over_windows_is_its_sql_to_the_last_digit(spark, tmp_path):
+    """Ties of the rounding, and samples of one millisecond in different microseconds."""
+    import random
+
+    import duckdb
+
+    from tidewater.plans.timeseries import ORACLE_SQL, QUERIES, rounded
+
+    ties = [k / 1000 for k in range(-3005, 3006, 10)] + [k / 40 for k in range(200)]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in ties], "v double").select(rounded(F.col("v"), 2).alias("v")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(v, 2) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [ties]).fetchall()]
+    assert math.isnan(spark.range(1).select(rounded(F.lit(math.nan), 2)).first()[0])
+    pick, rows = random.Random(5), []
+    for n in range(6000):
+        us = pick.randrange(48 * 3600) * 1_000_000 + pick.randrange(3) * 300
+        rows.append((n, T0 + timedelta(days=19000, microseconds=us), pick.randrange(40), ("click", "view")[n % 2], pick.randrange(40) / 4))
+        if n % 3 == 0:
+            rows.append((-n, rows[-1][1] + timedelta(microseconds=pick.choice([7, 90])), *rows[-1][2:4], pick.randrange(40) / 4))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("promql_delta", "promql_increase", "promql_rate", "promql_changes", "promql_idelta", "promql_irate", "promql_instant_selector", "promql_last_over_time"):
+        want = base.execute(f"SELECT event_type, user_id, epoch_us(ts), value FROM ({ORACLE_SQL[name]})").fetchall()
+        made = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("event_type", "user_id", F.unix_micros("ts"), "value").collect()]
+        assert sorted(made) == sorted(want), name

@@ -109,8 +109,8 @@ PANES = {
     "avg_over_time": lambda: ([F.sum("v").alias("a"), F.count("v").alias("n")], F.sum("a") / F.nullif(F.sum("n"), F.lit(0))),
     "min_over_time": lambda: ([F.min(not_nan(F.col("v"))).alias("a")], F.coalesce(F.min("a"), F.lit(NAN))),
     "max_over_time": lambda: ([F.max(not_nan(F.col("v"))).alias("a")], F.coalesce(F.max("a"), F.lit(NAN))),
-    "first_over_time": lambda: ([F.min_by("v", "ts").alias("a"), F.min("ts").alias("at")], F.min_by("a", "at")),
-    "last_over_time": lambda: ([F.max_by("v", "ts").alias("a"), F.max("ts").alias("at")], F.max_by("a", "at")),
+    "first_over_time": lambda: ([F.min_by("v", "us").alias("a"), F.min("us").alias("at")], F.min_by("a", "at")),
+    "last_over_time": lambda: ([F.max_by("v", "us").alias("a"), F.max("us").alias("at")], F.max_by("a", "at")),
     "present_over_time": lambda: ([F.lit(1.0).alias("a")], F.max("a")),
 }
 
@@ -157,10 +157,10 @@ class PromQL:
         return s.df if s.df is not None else self.grid_table(grid).select("_t", s.column.cast("double").alias("_v"))
 
     def samples(self, node: Selector, low: int, high: int) -> Vector:
-        """(labels, ts, v) with low < ts <= high, times after the offset; filters reach the scan."""
+        """(labels, ts, us, v) with low < ts <= high, times after the offset; filters reach the scan. Of equal milliseconds us has the order."""
         table = self.tables.get(node.name)
         if table is None:
-            return Vector(self.spark.createDataFrame([], "ts long, v double"), [])
+            return Vector(self.spark.createDataFrame([], "ts long, us long, v double"), [])
         fields, matchers = table.fields, []
         for label, op, value in node.matchers:
             if label == "__field__":
@@ -182,7 +182,7 @@ class PromQL:
         t, off = F.col(table.time_index), node.offset_ms
         df = df.where((t > F.timestamp_millis(F.lit(low - off - 1))) & (t < F.timestamp_millis(F.lit(high - off + 1))))
         labels = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in table.tags]
-        df = df.select(*labels, (ms(table.time_index) + off).alias("ts"), F.col(fields[0]).cast("double").alias("v"))
+        df = df.select(*labels, (ms(table.time_index) + off).alias("ts"), F.unix_micros(t.cast("timestamp")).alias("us"), F.col(fields[0]).cast("double").alias("v"))
         return Vector(df.where((F.col("ts") > low) & (F.col("ts") <= high) & F.col("v").isNotNull()), list(table.tags))
 
     def instant(self, node: Selector, grid: Grid) -> Vector:
@@ -190,7 +190,7 @@ class PromQL:
             return self.pinned(node, grid)
         src = self.samples(node, grid.start - grid.lookback, grid.end)
         cell = F.greatest(F.lit(0), F.ceil((F.col("ts") - grid.start) / grid.step)).cast("long")
-        last = src.df.groupBy(*src.labels, cell.alias("k")).agg(F.max_by("v", "ts").alias("_v"), F.max("ts").alias("ts"))
+        last = src.df.groupBy(*src.labels, cell.alias("k")).agg(F.max_by("v", "us").alias("_v"), F.max("ts").alias("ts"))
         after = F.lead("k").over(Window.partitionBy(*src.labels).orderBy("k")) if src.labels else F.lead("k").over(Window.partitionBy(F.lit(1)).orderBy("k"))
         until = F.floor((F.col("ts") + grid.lookback - 1 - grid.start) / grid.step).cast("long")
         until = F.least(until, F.coalesce(after - 1, F.lit(grid.points - 1)), F.lit(grid.points - 1))
@@ -203,11 +203,11 @@ class PromQL:
         return Vector(one.df.drop("_t").crossJoin(F.broadcast(self.grid_table(grid))), one.labels)
 
     def windows(self, node, grid: Grid) -> tuple[Vector, int]:
-        """Samples of a range: (labels, _t, ts, v, p, pt), p and pt being the sample before."""
+        """Samples of a range: (labels, _t, ts, us, v, p, pt), p and pt being the sample before."""
         src = self.ranged(node, grid)
-        w = Window.partitionBy(*src.labels).orderBy("ts") if src.labels else Window.partitionBy(F.lit(1)).orderBy("ts")
+        w = Window.partitionBy(*src.labels).orderBy("us") if src.labels else Window.partitionBy(F.lit(1)).orderBy("us")
         with_last = src.df.withColumn("p", F.lag("v").over(w)).withColumn("pt", F.lag("ts").over(w))
-        return Vector(self.spread(with_last, src.labels, ["ts", "v", "p", "pt"], grid, node.range_ms), src.labels), node.range_ms
+        return Vector(self.spread(with_last, src.labels, ["ts", "us", "v", "p", "pt"], grid, node.range_ms), src.labels), node.range_ms
 
     def panes(self, node, grid: Grid, aggs: list[Column]) -> Vector:
         """Windows of partial aggregates: (labels, _t, aggregates).
@@ -231,7 +231,7 @@ class PromQL:
         return held.select(*labels, *keep, F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t"))
 
     def ranged(self, node, grid: Grid) -> Vector:
-        """Samples (labels, ts, v) that windows of the grid can hold."""
+        """Samples (labels, ts, us, v) that windows of the grid can hold."""
         if isinstance(node, Subquery):
             step = node.step_ms or grid.step
             low = grid.start - node.range_ms - node.offset_ms
@@ -239,7 +239,7 @@ class PromQL:
             inner = self.eval(node.expr, Grid(first, grid.end - node.offset_ms, step, grid.lookback))
             if isinstance(inner, Scalar):
                 inner = Vector(self.scalar_table(inner, Grid(first, grid.end - node.offset_ms, step, grid.lookback)), [])
-            src = Vector(inner.df.select(*inner.labels, (F.col("_t") + node.offset_ms).alias("ts"), F.col("_v").alias("v")), inner.labels)
+            src = Vector(inner.df.select(*inner.labels, (F.col("_t") + node.offset_ms).alias("ts"), F.col("_t").alias("us"), F.col("_v").alias("v")), inner.labels)
         elif isinstance(node, Selector) and node.range_ms is not None:
             src = self.samples(node, grid.start - node.range_ms, grid.end)
         else:
@@ -458,8 +458,8 @@ class PromQL:
         low = F.greatest(F.lit(0), F.ceil((F.col("ts") - grid.start) / grid.step)).cast("long")
         high = F.least(F.lit(grid.points - 1), F.floor((F.col("ts") + grid.lookback - 1 - grid.start) / grid.step)).cast("long")
         df = src.df.withColumn("_lo", low).withColumn("_hi", high).where("_hi >= _lo")
-        df = df.select(*src.labels, "ts", "v", F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t"))
-        return Vector(df.groupBy(*src.labels, "_t").agg(F.max_by("v", "ts").alias("_v")), src.labels)
+        df = df.select(*src.labels, "us", "v", F.explode(F.sequence(F.col("_lo") * grid.step + grid.start, F.col("_hi") * grid.step + grid.start, F.lit(grid.step).cast("long"))).alias("_t"))
+        return Vector(df.groupBy(*src.labels, "_t").agg(F.max_by("v", "us").alias("_v")), src.labels)
 
     def relabel(self, name: str, args: list, grid: Grid) -> Vector:
         src = self.vector(args[0], grid)
@@ -522,18 +522,19 @@ class PromQL:
         if name in ("rate", "increase", "delta"):
             counter = name != "delta"
             stats = group.agg(
-                F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min_by("v", "ts").alias("v0"), F.max_by("v", "ts").alias("v1"),
+                F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min_by("v", "us").alias("v0"), F.max_by("v", "us").alias("v1"),
                 F.sum(F.when(held & (v < p), p).otherwise(0.0)).alias("drops"),
-            ).where("n > 1")
+            ).where("n > 1 and t1 > t0")
             return Vector(stats.select(*src.labels, "_t", self.extrapolated(counter, name == "rate", span).alias("_v")), src.labels)
         if name in ("irate", "idelta"):
-            last = group.agg(F.max_by(F.struct("ts", "v", F.when(held, p).alias("p"), "pt"), ts).alias("s")).select(*src.labels, "_t", "s.*").where("p is not null")
+            last = group.agg(F.max_by(F.struct("ts", "v", F.when(held, p).alias("p"), "pt"), F.col("us")).alias("s")).select(*src.labels, "_t", "s.*").where("p is not null")
             change = F.when(F.col("v") < F.col("p"), F.col("v")).otherwise(F.col("v") - F.col("p")) if name == "irate" else F.col("v") - F.col("p")
+            last = last.where("ts > pt") if name == "irate" else last
             value = change / ((F.col("ts") - F.col("pt")) / 1000) if name == "irate" else change
             return Vector(last.select(*src.labels, "_t", value.alias("_v")), src.labels)
         if name in ("double_exponential_smoothing", "holt_winters"):
             sf, tf = (self.constant(a) for a in params)
-            rows = group.agg(F.sort_array(F.collect_list(F.struct("ts", "v"))).alias("s")).where("size(s) > 1")
+            rows = group.agg(F.sort_array(F.collect_list(F.struct("us", "v"))).alias("s")).where("size(s) > 1")
             first, second = F.col("s")[0]["v"], F.col("s")[1]["v"]
             state = F.aggregate(
                 F.slice("s", 2, F.size("s") - 1), F.struct(first.alias("l"), (second - first).alias("b"), F.lit(True).alias("f")),
@@ -568,13 +569,12 @@ class PromQL:
     @staticmethod
     def extrapolated(counter: bool, per_second: bool, span: int) -> Column:
         """Change over the window, extended to its edges as Prometheus documents it."""
-        change = F.col("v1") - F.col("v0") + (F.col("drops") if counter else F.lit(0.0))
-        sampled = (F.col("t1") - F.col("t0")) / 1000
-        mean = sampled / (F.col("n") - 1)
+        change = F.col("v1") - F.col("v0") + F.col("drops") if counter else F.col("v1") - F.col("v0")
+        sampled, gaps = (F.col("t1") - F.col("t0")) / 1000, F.col("n") - 1
         to_start, to_end = (F.col("t0") - (F.col("_t") - span)) / 1000, (F.col("_t") - F.col("t1")) / 1000
         if counter:
-            to_zero = sampled * (F.col("v0") / F.when(change > 0, change))
+            to_zero = sampled * F.col("v0") / F.when(change > 0, change)
             to_start = F.when((change > 0) & (F.col("v0") >= 0), F.least(to_start, to_zero)).otherwise(to_start)
-        reach = lambda gap: F.when(gap < mean * 1.1, gap).otherwise(mean / 2)
-        factor = (sampled + reach(to_start) + reach(to_end)) / sampled
-        return change * factor / (span / 1000 if per_second else 1)
+        reach = lambda gap: F.when(gap < 1.1 * sampled / gaps, gap).otherwise(sampled / gaps / 2)
+        over = change * (sampled + reach(to_start) + reach(to_end)) / sampled  # in the order of its SQL, to the last bit
+        return over / (span / 1000) if per_second else over

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import geo, net, scalars, sketches, vector
@@ -38,6 +38,15 @@ def event_metric(spark: SparkSession, sf_dir: str) -> TimeSeriesTable:
     return TimeSeriesTable(events(spark, sf_dir).select("event_type", "user_id", "ts", "value"), "ts", ["event_type", "user_id"], ["value"], merge="last_row")
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """As the SQL rounds: the double product is rounded, half away from zero. Spark's round takes the shortest decimal form instead, which parts from it at ties."""
+    scaled = v * 10.0**digits
+    size = F.abs(scaled)
+    whole = F.floor(size).cast("double")
+    near = F.signum(scaled) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(size < 2.0**52, near).otherwise(v)  # larger ones are whole; NaN is greater than all
+
+
 HOURS = "(SELECT epoch_ms(min(ts)) // 3600000 FROM events)", "(SELECT (epoch_ms(max(ts)) + 3599999) // 3600000 FROM events)"
 
 
@@ -157,7 +166,7 @@ AHEAD = {"promql_offset": 3600}
 for _name, (_text, _sql) in PROMQL.items():
     _run = promql(_text, AHEAD.get(_name, 0))
     if _name in ROUNDED:
-        QUERIES[_name] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", F.round("value", d) + 0.0)
+        QUERIES[_name] = lambda spark, sf_dir, f=_run, d=ROUNDED[_name]: f(spark, sf_dir).withColumn("value", rounded(F.col("value"), d) + 0.0)
     else:
         QUERIES[_name] = _run
     ORACLE_SQL[_name] = _sql
