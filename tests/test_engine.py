@@ -10,6 +10,7 @@ from tidewater.functions import geo, net, scalars, sketches, vector
 from tidewater.operators.etl import PipelineError, dispatch, run_processors, table_suffix, transform
 from tidewater.operators.logquery import LogQueryError, canonical_time, log_query
 from tidewater.operators.promql import PromQL, PromQLError, parse
+from tidewater.operators.promql.evaluator import Grid
 from tidewater.operators.range_select import Item, RangeError, range_select
 from tidewater.plans.engine import Engine
 from tidewater.plans.tables import TimeSeriesTable
@@ -386,3 +387,22 @@ def test_change_over_windows_is_its_sql_to_the_last_digit(spark, tmp_path):
         want = base.execute(f"SELECT event_type, user_id, epoch_us(ts), value FROM ({ORACLE_SQL[name]})").fetchall()
         made = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("event_type", "user_id", F.unix_micros("ts"), "value").collect()]
         assert sorted(made) == sorted(want), name
+
+
+def test_windows_of_one_sample_are_not_aggregated(spark):
+    import statistics
+
+    samples = [(0, 3.0), (1, -2.0), (2, 7.5), (40, 1.0), (80, 4.0), (81, 2.0), (95, 0.5), (102, 9.0), (300, 6.0)]
+    table = TimeSeriesTable(spark.createDataFrame([("a", at(t), v) for t, v in samples] + [("b", at(7), 1.5)], "host string, ts timestamp, v double"), "ts", ["host"], ["v"])
+    engine, made = PromQL(spark, {"m": table}), {
+        "changes(m[15s])": lambda x: float(sum(a != b for a, b in zip(x, x[1:]))), "resets(m[15s])": lambda x: float(sum(b < a for a, b in zip(x, x[1:]))),
+        "stdvar_over_time(m[15s])": statistics.pvariance, "mad_over_time(m[15s])": lambda x: statistics.median(abs(v - statistics.median(x)) for v in x),
+        "quantile_over_time(0.5, m[15s])": statistics.median, "quantile_over_time(2, m[15s])": lambda x: math.inf, "idelta(m[15s])": lambda x: x[-1] - x[-2] if len(x) > 1 else None,
+    }
+    for query, value in made.items():
+        want = {(h, t): pytest.approx(y) for h, rows in (("a", samples), ("b", [(7, 1.5)])) for t in range(0, 400, 6) if (x := [v for s, v in rows if t - 15 < s <= t]) and (y := value(x)) is not None}
+        assert values(engine.query_range(query, 0, 399, 6), "host") == want, query
+    many, one, _ = engine.windows(parse("changes(m[15s])").args[0], Grid(0, 399_000, 6000, 300_000))
+    held = [(t, [s for s, _ in samples if t - 15 < s <= t]) for t in range(0, 400, 6)]
+    assert many.df.count() == sum(len(x) for _, x in held if len(x) > 1)
+    assert one.df.count() == sum(len(x) == 1 for _, x in held) + 2  # and two of b

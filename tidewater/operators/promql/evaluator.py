@@ -8,8 +8,8 @@ timestamps, never by a join with the grid:
   aggregate), finds the next cell that has one, and repeats the sample up to
   there or to the end of the lookback;
 * a range function gives each sample, with the one before it, to the grid times
-  whose window holds it and aggregates natively, so that windows are never
-  gathered into arrays, but for Holt's smoothing.
+  whose window holds it and another one and aggregates natively, so that windows
+  are never gathered into arrays, but for Holt's smoothing.
 """
 
 from __future__ import annotations
@@ -202,12 +202,28 @@ class PromQL:
         one = self.eval(replace(node, at=None), Grid(at, at, grid.step, grid.lookback))
         return Vector(one.df.drop("_t").crossJoin(F.broadcast(self.grid_table(grid))), one.labels)
 
-    def windows(self, node, grid: Grid) -> tuple[Vector, int]:
-        """Samples of a range: (labels, _t, ts, us, v, p, pt), p and pt being the sample before."""
-        src = self.ranged(node, grid)
+    def windows(self, node, grid: Grid) -> tuple[Vector, Vector, int]:
+        """Samples of a range: (labels, _t, ts, us, v, p, pt), p and pt being the sample before.
+
+        First come the windows of two samples or more, then those of one (labels, _t, v),
+        which need no aggregation: it would hold a group for each of them.
+        """
+        src, span = self.ranged(node, grid), node.range_ms
         w = Window.partitionBy(*src.labels).orderBy("us") if src.labels else Window.partitionBy(F.lit(1)).orderBy("us")
-        with_last = src.df.withColumn("p", F.lag("v").over(w)).withColumn("pt", F.lag("ts").over(w))
-        return Vector(self.spread(with_last, src.labels, ["ts", "us", "v", "p", "pt"], grid, node.range_ms), src.labels), node.range_ms
+        lined = src.df.select(*src.labels, "ts", "us", "v", F.lag("v").over(w).alias("p"), F.lag("ts").over(w).alias("pt"), F.lead("ts").over(w).alias("nt"))
+        first = lambda t: F.ceil((t - grid.start) / grid.step).cast("long")
+        last = lambda t: F.floor((t + span - 1 - grid.start) / grid.step).cast("long")
+        # windows _lo to _before hold the sample before too, _after to _hi the one after
+        lined = lined.withColumns({"_lo": F.greatest(F.lit(0).cast("long"), first(F.col("ts"))), "_hi": F.least(F.lit(grid.points - 1).cast("long"), last(F.col("ts")))}).where("_hi >= _lo")
+        before = F.when(F.col("pt").isNull(), F.col("_lo") - 1).otherwise(F.least(last(F.col("pt")), F.col("_hi")))
+        after = F.when(F.col("nt").isNull(), F.col("_hi") + 1).otherwise(F.greatest(first(F.col("nt")), F.col("_lo")))
+        lined = lined.withColumns({"_before": before, "_after": F.greatest(after, before + 1)})
+        at = lambda k: k * grid.step + grid.start
+        times = lambda a, b: F.when(a <= b, F.sequence(at(a), at(b), F.lit(grid.step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        lo, hi, before, after = (F.col(c) for c in ("_lo", "_hi", "_before", "_after"))
+        many = lined.select(*src.labels, "ts", "us", "v", "p", "pt", F.explode(F.concat(times(lo, before), times(after, hi))).alias("_t"))
+        one = lined.select(*src.labels, "v", F.explode(times(F.greatest(lo, before + 1), F.least(hi, after - 1))).alias("_t"))
+        return Vector(many, src.labels), Vector(one, src.labels), span
 
     def panes(self, node, grid: Grid, aggs: list[Column]) -> Vector:
         """Windows of partial aggregates: (labels, _t, aggregates).
@@ -514,7 +530,7 @@ class PromQL:
             parts, whole = PANES[name]()
             src = self.panes(ranged, grid, parts)
             return Vector(src.df.groupBy(*src.labels, "_t").agg(whole.alias("_v")), src.labels)
-        src, span = self.windows(ranged, grid)
+        src, single, span = self.windows(ranged, grid)
         t, ts, v, p = F.col("_t"), F.col("ts"), F.col("v"), F.col("p")
         held = F.col("pt") > t - span  # the sample before lies in the window too
         x = (ts - t) / 1000
@@ -547,7 +563,8 @@ class PromQL:
             return Vector(rows.select(*src.labels, "_t", state.alias("_v")), src.labels)
         if name == "quantile_over_time":
             q = self.constant(params[0])
-            agg = F.lit(NAN) if math.isnan(q) else F.lit(-math.inf) if q < 0 else F.lit(math.inf) if q > 1 else F.percentile(v, F.lit(q))
+            outside = NAN if math.isnan(q) else -math.inf if q < 0 else math.inf if q > 1 else None
+            agg, alone = (F.percentile(v, F.lit(q)), v) if outside is None else (F.lit(outside), F.lit(outside))
         elif name == "predict_linear":
             s = self.constant(params[0])
             slope = F.regr_slope(v, x)
@@ -555,16 +572,22 @@ class PromQL:
         elif name == "mad_over_time":
             rows = group.agg(F.collect_list("v").alias("s"), F.percentile(v, F.lit(0.5)).alias("m"))
             flat = rows.select(*src.labels, "_t", "m", F.explode("s").alias("v")).groupBy(*src.labels, "_t").agg(F.percentile(F.abs(F.col("v") - F.col("m")), F.lit(0.5)).alias("_v"))
-            return Vector(flat, src.labels)
+            return self.beside(flat, single, F.abs(v - v))
         else:
             agg = {
                 "stdvar_over_time": F.var_pop(v), "stddev_over_time": F.stddev_pop(v),
                 "changes": F.sum(F.when(held & (v != p), 1.0).otherwise(0.0)), "resets": F.sum(F.when(held & (v < p), 1.0).otherwise(0.0)), "deriv": F.when(F.count(F.lit(1)) > 1, F.regr_slope(v, x)),
             }[name]
+            alone = F.lit(0.0) if name in ("changes", "resets") else v - v
         out = group.agg(agg.alias("_v"))
         if name in ("deriv", "predict_linear"):
-            out = out.where("_v is not null")
-        return Vector(out, src.labels)
+            return Vector(out.where("_v is not null"), src.labels)
+        return self.beside(out, single, alone)
+
+    @staticmethod
+    def beside(many: DataFrame, single: Vector, value: Column) -> Vector:
+        """Windows of several samples, and those of one, whose value is a column over v."""
+        return Vector(many.unionByName(single.df.select(*single.labels, "_t", value.alias("_v"))), single.labels)
 
     @staticmethod
     def extrapolated(counter: bool, per_second: bool, span: int) -> Column:
