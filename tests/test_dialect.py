@@ -124,3 +124,27 @@ def test_distinct_values_are_counted_apart_from_sketches(engine):
     assert all("approx" not in line or "x#" not in line.split("Aggregate [")[1].split("]")[0] for line in buffers.splitlines() if "Aggregate [" in line)
     for left in ("SELECT count(DISTINCT x), median(v) FROM odd", "SELECT g % 2 AS g, count(DISTINCT x) AS n, median(v) AS m FROM odd GROUP BY g", "SELECT count(DISTINCT x) AS n, sum(v) AS s FROM odd"):
         assert "tw_d" not in translate(left)
+
+
+def test_intersect_and_except_aggregate_both_sides(engine):
+    import duckdb
+
+    rows = {"a": [(1, "x"), (1, "x"), (None, "y"), (None, None), (3, None), (4, "z")], "b": [(1, "x"), (None, "y"), (None, None), (5, "z"), (5, "z")], "c": [(1, "x"), (4, "z"), (7, "q")]}
+    base = duckdb.connect()
+    for name, values in rows.items():
+        engine.register(name, engine.spark.createDataFrame(values, "k int, s string"))
+        base.execute(f"CREATE TABLE {name} (k INT, s VARCHAR)")
+        base.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    for text in (
+        "SELECT k, s FROM a INTERSECT SELECT k, s FROM b", "SELECT k, s FROM a EXCEPT DISTINCT SELECT * FROM b ORDER BY s LIMIT 9", "SELECT k AS n FROM a EXCEPT SELECT CAST(k AS BIGINT) FROM b",
+        "SELECT * FROM a UNION ALL SELECT * FROM b INTERSECT SELECT * FROM c", "SELECT * FROM a EXCEPT SELECT * FROM b EXCEPT SELECT * FROM c", "(SELECT * FROM a UNION SELECT * FROM b) EXCEPT (SELECT * FROM c)",
+        "WITH t AS (SELECT * FROM a INTERSECT SELECT * FROM c) SELECT * FROM t EXCEPT SELECT * FROM b", "SELECT count(*) AS n FROM (SELECT s, k FROM a INTERSECT SELECT s, k FROM b) AS q",
+        "SELECT k FROM a INTERSECT ALL SELECT k FROM a EXCEPT SELECT k FROM c", "SELECT k FROM a WHERE k IN (SELECT k FROM b INTERSECT SELECT k FROM c)", "SELECT * FROM c EXCEPT SELECT * FROM a UNION SELECT * FROM b", "SELECT k, k AS j FROM a INTERSECT SELECT k, k FROM b",
+    ):
+        frame = engine.sql(text)
+        order = lambda found: sorted(map(str, map(tuple, found)))
+        assert order(frame.collect()) == order(base.execute(text).fetchall()), text
+        assert frame.columns == [c[0] for c in base.execute(text).description], text
+    plan = engine.sql("SELECT k FROM a INTERSECT SELECT k FROM b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert [r.k for r in engine.sql("SELECT * EXCEPT (s) FROM a WHERE k = 4").collect()] == [4]
