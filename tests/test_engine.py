@@ -406,3 +406,21 @@ def test_windows_of_one_sample_are_not_aggregated(spark):
     held = [(t, [s for s, _ in samples if t - 15 < s <= t]) for t in range(0, 400, 6)]
     assert many.df.count() == sum(len(x) for _, x in held if len(x) > 1)
     assert one.df.count() == sum(len(x) == 1 for _, x in held) + 2  # and two of b
+
+
+def test_gaps_are_filled_from_the_slots_before_them(spark):
+    held = {"x": {0: 3.0, 1: None, 4: 6.0, 2500: 1.0, 2503: None}, "y": {7: None, 9: 2.0}, None: {2: 5.0, 4: 9.0}}
+    df = spark.createDataFrame([(h, at(t), v) for h, rows in held.items() for t, v in rows.items()], "host string, ts timestamp, v double")
+    items = [Item("max", "v", "1s", "n", "NULL"), Item("max", "v", "1s", "p", "PREV"), Item("max", "v", "1s", "l", "LINEAR"), Item("max", "v", "1s", "c", 8), Item("count", "v", "1s", "z")]
+    made = range_select(df, "ts", items, "1s", ["host"])
+    want = []
+    for h, rows in held.items():
+        points = sorted((t, v) for t, v in rows.items() if v is not None)
+        for t in range(min(rows), max(rows) + 1):
+            lo, hi = max((p for p in points if p[0] <= t), default=None), min((p for p in points if p[0] >= t), default=None)
+            v = rows.get(t)
+            line = v if v is not None else lo[1] + (hi[1] - lo[1]) * (t - lo[0]) / (hi[0] - lo[0]) if lo and hi else None
+            want.append((h, t, v, lo and lo[1], None if line is None else pytest.approx(line), 8.0 if v is None else v, None if t not in rows else int(v is not None)))
+    got = {(r.host, int(r.ts.replace(tzinfo=timezone.utc).timestamp())): (r.n, r.p, r.l, r.c, r.z) for r in made.collect()}
+    assert got == {w[:2]: w[2:] for w in want} and len(want) == made.count()
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -138,33 +138,43 @@ def _panes(rows: DataFrame, by: list[str], items: list[Item], values: dict, span
     return rows.groupBy(*by, at.alias("_pane")).agg(*[c for pane in made.values() for c in pane.parts]).withColumnRenamed("_pane", "_us"), made
 
 
+#: Slots of one array at most when a gap is filled; longer gaps take several.
+BLOCK = 1024
+
+
 def _filled(out: DataFrame, by: list[str], items: list[Item], fills: list, step: int) -> DataFrame:
-    """Missing slots between a group's first and last one are made and filled."""
-    bounds = out.groupBy(*by).agg(F.min("_slot").alias("_a"), F.max("_slot").alias("_b"))
-    dense = bounds.select(*by, F.explode(F.sequence("_a", "_b", F.lit(step))).alias("_slot"))
-    held = out.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slot").alias("_s"), *[i.name for i in items])
-    cond = F.col("_slot") == F.col("_s")
-    for i, c in enumerate(by):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    df = dense.join(held, cond, "left").select(*by, "_slot", *[i.name for i in items])
-    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the next value is the last one seen from the other end: a frame that only grows, so linear in the slots
-    after = Window.partitionBy(*by).orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    made = {}
-    for item, fill in zip(items, fills):
-        v = F.col(item.name)
-        kind = fill.upper() if isinstance(fill, str) else fill
+    """Missing slots between a group's first and last one are made and filled.
+
+    A slot that exists knows the next one and the points that fill the gap between
+    them, so only slots that exist are sorted; the others are made from them in place.
+    """
+    slot = F.col("_slot")
+    order = Window.partitionBy(*by).orderBy("_slot")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the next point is the last one seen from the other end: a frame that only grows, so linear in the slots
+    after = Window.partitionBy(*by).orderBy(slot.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = {"_end": F.coalesce(F.lead("_slot").over(order) - step, slot)}
+    later, made = {}, {}
+    for i, (item, fill) in enumerate(zip(items, fills)):
+        v, kind = F.col(item.name), fill.upper() if isinstance(fill, str) else fill
+        here = F.col("_at") == slot  # the slot that existed
         if kind is None or kind == "NULL":
-            continue
-        if kind == "PREV":
-            made[item.name] = F.last(v, ignorenulls=True).over(before)
+            made[item.name] = F.when(here, v)
+        elif kind == "PREV":
+            known[f"_p{i}"] = F.last(v, ignorenulls=True).over(before)
+            made[item.name] = F.col(f"_p{i}")
         elif kind == "LINEAR":
-            point = F.when(v.isNotNull(), F.struct(F.col("_slot").alias("s"), v.cast("double").alias("v")))
-            lo, hi = F.last(point, ignorenulls=True).over(before), F.last(point, ignorenulls=True).over(after)
-            line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("_slot") - lo["s"]) / F.when(hi["s"] != lo["s"], hi["s"] - lo["s"])
-            made[item.name] = F.coalesce(v.cast("double"), line)
+            point = F.when(v.isNotNull(), F.struct(slot.alias("s"), v.cast("double").alias("v")))
+            known[f"_p{i}"], later[f"_n{i}"] = F.last(point, ignorenulls=True).over(before), F.last(point, ignorenulls=True).over(after)
+            lo, hi = F.col(f"_p{i}"), F.col(f"_n{i}")
+            line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("_at") - lo["s"]) / (hi["s"] - lo["s"])
+            made[item.name] = F.coalesce(F.when(here, v.cast("double")), line)
         elif isinstance(fill, str):
             raise RangeError(f"unknown FILL {fill!r}")
         else:
-            made[item.name] = F.coalesce(v, F.lit(fill).cast(out.schema[item.name].dataType))
-    return df.withColumns(made) if made else df
+            made[item.name] = F.coalesce(F.when(here, v), F.lit(fill).cast(out.schema[item.name].dataType))
+    df = out.withColumns(known).withColumns(later) if later else out.withColumns(known)
+    block = F.explode(F.sequence(slot, F.col("_end"), F.lit(BLOCK * step))).alias("_from")
+    df = df.select("*", block)
+    df = df.select("*", F.explode(F.sequence("_from", F.least(F.col("_from") + (BLOCK - 1) * step, F.col("_end")), F.lit(step))).alias("_at"))
+    return df.select(*by, F.col("_at").alias("_slot"), *[made[i.name].alias(i.name) for i in items])

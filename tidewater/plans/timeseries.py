@@ -194,7 +194,7 @@ FILL_SLOTS = "WITH s AS (SELECT user_id, epoch(time_bucket(INTERVAL '1 hour', ts
 def filled(kind):
     def run(spark, sf_dir):
         out = range_select(events(spark, sf_dir).withColumn("user_id", F.col("user_id")), "ts", [Item("avg", "value", "1h", "v", kind)], "1h", ["user_id"])
-        return out.withColumn("v", F.round(F.col("v") + 1e-7, 3))
+        return out.withColumn("v", rounded(F.col("v") + 1e-7, 3))
 
     return run
 
